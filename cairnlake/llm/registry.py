@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_quality_rules": "quality_rules",
     "op2_mixing": "mixing",
+    "op4_ngram_jaccard_join": "ngram_join",
     "op6_url_filters": "url_filters",
 }
 
