@@ -10,6 +10,7 @@ MODULES = {
     "op2_mixing": "mixing",
     "op4_ngram_jaccard_join": "ngram_join",
     "op6_url_filters": "url_filters",
+    "op10_suffix_array_dedup": "suffix_dedup",
 }
 
 
