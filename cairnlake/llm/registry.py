@@ -8,8 +8,13 @@ from importlib import import_module
 MODULES = {
     "op1_quality_rules": "quality_rules",
     "op2_mixing": "mixing",
+    "op3_warc": "warc",
     "op4_ngram_jaccard_join": "ngram_join",
+    "op5_weak_quality": "weak_quality",
     "op6_url_filters": "url_filters",
+    "op7_line_dedup": "line_dedup",
+    "op8_language_id": "language_id",
+    "op9_decontamination": "decontamination",
     "op10_suffix_array_dedup": "suffix_dedup",
 }
 
@@ -19,6 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from cairnlake.llm import url_filters
+    from cairnlake.llm import line_dedup, url_filters, warc
 
-    return {"op6_url_filters": url_filters.op6_sql()}
+    return {"op3_warc": warc.op3_sql(), "op6_url_filters": url_filters.op6_sql(), "op7_line_dedup": line_dedup.op7_sql()}
