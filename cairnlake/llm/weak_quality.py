@@ -26,7 +26,10 @@ BAD, GOOD, ABSTAIN = 0, 1, 2
 LABELLERS = (
     ("symbols", "symbols_per_byte", (1, 0.02), (-1, 0.004)),
     ("lone symbols", "symbol_words", (1, 0.05), (-1, 0.005)),
-    ("repetition", "distinct_words", (-1, 0.25), (1, 0.55)),
+    ("repetition", "distinct_words", (-1, 0.35), (1, 0.55)),
+    ("stutter", "again", (1, 0.20), (-1, 0.02)),
+    ("capitals", "upper", (1, 0.50), (-1, 0.15)),
+    ("shouting", "loud", (1, 0.20), (-1, 0.02)),
     ("one word", "top_word", (1, 0.30), (-1, 0.15)),
     ("equal lines", "dup_lines", (1, 0.30), (-1, 0.05)),
     ("sentence ends", "ends", (-1, 0.008), (1, 0.05)),
@@ -35,6 +38,9 @@ LABELLERS = (
 )
 SYMBOL = kind_table(lambda b: chr(b) in "#*$%&|<>~^=_{}[]\\@+")
 END = kind_table(lambda b: chr(b) in ".!?")
+LOUD = kind_table(lambda b: chr(b) in "!?")
+CAPITAL = kind_table(lambda b: 0x41 <= b <= 0x5A)
+LETTER = kind_table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 BITS = 14
 #: About so many texts train the scorer.
 SAMPLE_TEXTS = 8192
@@ -82,6 +88,9 @@ def statistics(data: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray],
         "symbols_per_byte": _per(symbol, at) / sizes,
         "symbol_words": np.bincount(text, symbol[ends - 1] | symbol[starts], n) / some if len(text) else np.zeros(n),
         "distinct_words": np.minimum(different / np.minimum(some, 200), 1.0),
+        "again": np.bincount(text[1:], (word[1:] == word[:-1]) & (text[1:] == text[:-1]), n) / some if len(text) > 1 else np.zeros(n),
+        "upper": _per(CAPITAL[data], at) / np.maximum(_per(LETTER[data], at), 1),
+        "loud": np.bincount(text, LOUD[data[ends - 1]] & LOUD[data[np.maximum(ends - 2, 0)]], n) / some if len(text) else np.zeros(n),
         "top_word": most / some,
         "dup_lines": (n_lines - lines) / np.maximum(n_lines, 1),
         "ends": np.bincount(text, END[data[ends - 1]], n) / some if len(text) else np.zeros(n),
@@ -138,7 +147,7 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, good: float = 0.8, roun
     """Expectation-maximisation from votes that are right more often than not.
     Every vote gets a pseudocount, so an unseen one rules nothing out."""
     n = patterns.shape[1]
-    start = np.array([[0.6, 0.1, 0.3], [0.05, 0.6, 0.35]])
+    start = np.array([[0.35, 0.4, 0.25], [0.03, 0.7, 0.27]])
     model = LabelModel(good, np.stack([start] * n)) if n else LabelModel(good, np.zeros((0, 2, 3)))
     for _ in range(rounds if len(patterns) else 0):
         p = model.posterior(patterns)
