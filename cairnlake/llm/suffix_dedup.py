@@ -168,15 +168,16 @@ def _results(columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, removed (spans of byte
-    offsets, sorted, maximal), kept_sha256, and with ``with_text`` also ``kept``
-    (binary) and the other columns of ``docs``.
+    offsets, sorted, maximal), kept_sha256; ``with_text`` gives ``kept`` (binary)
+    as well, and instead of doc_id a struct ``row`` of all columns but the text.
 
     Every byte is removed that a 200-byte string covers which also starts
     anywhere else in the texts as they are given, in the same or another row.
     Matches stay within a text. Null text is empty. Repeated rows are each
     other's copies, so both lose all they have in 200-byte strings.
     """
-    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.hash("text"))
+    rest = [F.struct(*[c for c in docs.columns if c != "text"]).alias("row")] if with_text else []
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("th"), *rest)
     listed = saved(docs.select("doc_id", "th", "text").mapInArrow(_listed, "doc_id long, th int, first int, n int, key long, digest long"), "suffix-stretches")
     again = listed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
     listed = saved(listed.join(again, "key"), "suffix-repeated")
@@ -192,12 +193,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     marked = listed.join(kinds, ["key", "digest"])
     whole = F.when(F.col("copies") > 1, F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("b")))
     is_head = F.col("head").eqNullSafe(F.struct("doc_id", "th", "first"))
-    open_one = F.when((F.col("copies") == 1) & (F.col("different") > 1) | F.col("sort") & is_head, F.struct("key", "digest", "first", "n", "sort"))
+    # Of equal stretches one is looked into, for the strings it shares with others.
+    open_one = F.when((F.col("different") > 1) & ((F.col("copies") == 1) | is_head), F.struct("key", "digest", "first", "n", "sort"))
     per_doc = marked.groupBy("doc_id", "th").agg(F.collect_list(whole).alias("spans"), F.collect_list(open_one).alias("open"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})
     joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_doc_id"]) & (docs["th"] == per_doc["_th"]), "left").drop("_doc_id", "_th")
     joined = joined.withColumn("open", F.coalesce("open", F.array().cast("array<struct<key:long,digest:long,first:int,n:int,sort:boolean>>")))
-    columns = [c for c in docs.columns if c not in ("text", "th")] if with_text else ["doc_id"]
+    columns = ["row"] if with_text else ["doc_id"]
     schema = docs.select(*columns).schema.simpleString()[len("struct<") : -1]
     final = lambda df: df.mapInArrow(_Results(columns), f"{schema},n_bytes:long,removed:array<struct<start:int,end:int>>,kept_sha256:string,kept:binary")
     pick = [*columns, "text", "th", "spans", "open"] if "doc_id" in columns else ["doc_id", *columns, "text", "th", "spans", "open"]
@@ -236,11 +238,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     where the table has it. A character that a cut splits goes as a whole."""
     out = remove_repeats(docs, with_text=True)
     text = F.try_validate_utf8(F.col("kept").cast("string"))
-    mended = F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string")))
-    out = out.withColumn("text", F.translate(mended, "�", "")) if "text" not in out.columns else out
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    mended = F.coalesce(text, F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    columns = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": mended}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length(mended).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
