@@ -71,6 +71,11 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))], ["doc_id", "th", "first", "n", "key", "digest"])
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _listed(batches):
+        yield batch.select(["key"])
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -178,9 +183,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     rest = [F.struct(*[c for c in docs.columns if c != "text"]).alias("row")] if with_text else []
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("th"), *rest)
-    listed = saved(docs.select("doc_id", "th", "text").mapInArrow(_listed, "doc_id long, th int, first int, n int, key long, digest long"), "suffix-stretches")
-    again = listed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    listed = saved(listed.join(again, "key"), "suffix-repeated")
+    stretches = docs.select("doc_id", "th", "text")
+    # The texts are read twice, which costs less disk than all their stretches.
+    again = stretches.mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    listed = saved(stretches.mapInArrow(_listed, "doc_id long, th int, first int, n int, key long, digest long").join(again, "key"), "suffix-repeated")
     kinds = listed.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "first")).alias("head"))
     # A key with one stretch only is done: its copies are equal throughout.
     several = listed.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("key")
