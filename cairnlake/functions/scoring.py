@@ -70,3 +70,52 @@ def backoff_seconds(base: float, attempts: Column) -> Column:
 def noisy_or(weight: Column) -> Column:
     """Aggregate: the chance that one of independent weights holds."""
     return 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.least(F.lit(1.0), weight)))))
+
+
+def recall_score(similarity: Column, strength: Column, felt: Column, association: Column, graph: Column, age_days: Column, trust: Column, boost: Column, invalid: Column, mood: Column, in_episode: Column | None = None) -> Column:
+    """Similarity, dimmed by fading, plus what context, recency, trust and mood add."""
+    lively = similarity * (0.5 + 0.5 * F.greatest(strength, 0.5 * felt))
+    episode = F.lit(0.0) if in_episode is None else F.when(in_episode, 0.15).otherwise(0.0)
+    fresh = F.exp(-F.log(F.lit(2.0)) * age_days / 7.0)
+    total = lively + 0.2 * association + episode + 0.12 * graph + 0.1 * fresh + 0.1 * trust + 0.3 * boost - F.when(invalid, 0.35).otherwise(0.0) + 0.05 * mood
+    return F.greatest(F.lit(0.001), total)
+
+
+def mood_match(valence: Column, arousal: Column, primary: Column, now_valence: float, now_arousal: float, now_primary: str) -> Column:
+    """How near a memory's mood is to the present one; a missing part counts half."""
+    parts = ((0.6, 1 - F.abs(valence - now_valence) / 2), (0.3, 1 - F.abs(arousal - now_arousal)), (0.1, (primary == now_primary).cast("double")))
+    return sum((F.lit(w) * F.coalesce(p, F.lit(0.5)) for w, p in parts), F.lit(0.0))
+
+
+def drive_level(level: Column, baseline: Column, satisfied: Column, as_of: Column, cooldown_seconds: int, gain: float, loss: float) -> Column:
+    """A drive grows unless satisfied within the cooldown; then it moves to its baseline."""
+    calm = F.unix_micros(satisfied) >= F.unix_micros(as_of) - cooldown_seconds * 1_000_000
+    towards = F.when(level > baseline, F.greatest(baseline, level - loss)).when(level < baseline, F.least(baseline, level + loss)).otherwise(level)
+    return F.when(F.coalesce(calm, F.lit(False)), towards).otherwise(F.least(F.lit(1.0), level + gain))
+
+
+def energy(before: Column, hours: Column, reserve: float, capacity: float, half_life: float, regain: Column) -> Column:
+    """What is above the reserve halves with time; then energy is regained, up to the capacity."""
+    hours = F.greatest(hours, F.lit(0.0))
+    have = clamp(before, 0.0, capacity)
+    surplus = F.greatest(have - reserve, F.lit(0.0)) * F.pow(F.lit(0.5), hours / half_life)
+    return F.least(F.lit(capacity), F.least(have, F.lit(reserve)) + surplus + regain * hours)
+
+
+def cadence_minutes(urgency: Column, base: float = 60.0, least: float = 15.0, most: float = 120.0, idle: float = 1.5, slope: float = 0.75) -> Column:
+    """The more urgent, the shorter the interval, within limits that hold the base."""
+    low, high = min(base, max(least, 1.0)), max(base, most)
+    raw = base * F.greatest(F.lit(low / base), idle - F.least(F.greatest(F.coalesce(urgency, F.lit(0.0)), F.lit(0.0)), F.lit(2.0)) * slope)
+    return clamp(raw, low, high)
+
+
+def grown_importance(importance: Column, accesses: Column) -> Column:
+    return clamp(importance * (1 + 0.1 * F.log(accesses + 1.0)))
+
+
+def drifted(tonic: Column, rate: float = 0.02) -> Column:
+    return clamp(tonic + (0.5 - tonic) * rate)
+
+
+def decay_multiplier(tonic: Column) -> Column:
+    return clamp(1 - 0.7 * tonic, 0.3, 1.0)

@@ -6,51 +6,20 @@ key, the same in both forms: e.g. a vector's age in days is ``vec_id % 60``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
 from cairnlake.operators import graph, lifecycle, rollups, search, temporal, vectors
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from cairnlake.plans import memory
+from cairnlake.plans.base import ORACLES, QUERIES, QUERY_ID, SQL_SIM, query
+from cairnlake.plans.base import as_of as _as_of
+from cairnlake.plans.base import events as _events
+from cairnlake.plans.base import table as _t
+from cairnlake.plans.base import vector as _vector
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "memory"]
 FLAGSHIP = "hybrid_recall"
 
-AS_OF = "2024-01-31 00:00:00"
-QUERY_ID = 0
-#: Cosine with vector 0 in SQL.
-SQL_SIM = "list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[])"
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _as_of():
-    return F.lit(AS_OF).cast("timestamp")
-
-
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def _vector(spark: SparkSession, sf_dir: str, vec_id: int = QUERY_ID) -> list[float]:
-    row = _t(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
-    return list(row[0]) if row else [0.0]
-
-
 # Vectors
 
 
