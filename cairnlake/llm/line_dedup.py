@@ -42,8 +42,22 @@ class _Units:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            units = [self.of(text or "") for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, UNITS)], ["doc_id", "units"])
+            units = [self.of(text or "") for text in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(units, UNITS)], ["row", "doc_id", "th", "units"])
+
+
+def _repeated(docs: DataFrame, unit: str, least_words: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, units) of ``docs`` (row, doc_id, text), where ``row`` tells rows
+    apart, and (_row, removed) of the rows that lose units."""
+    rows = docs.select("row", F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    listed = saved(rows.mapInArrow(_Units(unit, least_words), f"row long, doc_id long, th long, units {UNITS_SQL}"), "units")
+    each = listed.select("row", "doc_id", "th", F.inline("units"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start"), F.col("th"), F.col("row"))
+    firsts = each.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.row").alias("_row"), F.col("first.start").alias("_start"))
+    # A repeated digest may be very frequent: Spark splits its part of this join.
+    later = each.select("digest", "row", "start", "end").join(firsts, "digest").filter((F.col("row") != F.col("_row")) | (F.col("start") != F.col("_start")))
+    spans = later.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    return listed.drop("th"), spans
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -51,29 +65,26 @@ def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST
     of repeated units, by start).
 
     A unit is removed unless it is the first of its digest by (doc_id, start);
-    rows without a doc_id rank last. Units of fewer than ``least_words`` words
-    don't count. Null texts have no units. Rows that share a doc_id tie, so
-    where such rows are equal all of them keep what the first of them keeps,
-    and what is removed in one is removed in all.
+    rows without a doc_id rank last, and ties go by a hash of the text. Units of
+    fewer than ``least_words`` words don't count. Null texts have no units. Every
+    row has its own units, also where rows share a doc_id or have none; of equal
+    rows one keeps what is first there and the others lose all their units.
     """
-    listed = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Units(unit, least_words), f"doc_id long, units {UNITS_SQL}"), "units")
-    each = listed.select("doc_id", F.inline("units"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start"))
-    firsts = each.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    # A repeated digest may be very frequent: Spark splits its part of this join.
-    later = each.join(firsts, "digest").filter(~rank.eqNullSafe(F.col("first"))).select("doc_id", "start", "end")
-    spans = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")).withColumnRenamed("doc_id", "_id")
-    out = listed.select("doc_id", F.size("units").cast("long").alias("n_units"))
-    return out.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "n_units", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"))
+    listed, spans = _repeated(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), unit, least_words)
+    out = listed.select("row", "doc_id", F.size("units").cast("long").alias("n_units"))
+    return out.join(spans, F.col("row") == F.col("_row"), "left").select("doc_id", "n_units", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"))
 
 
 def without_repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated units cut out of ``text``, and ``removed``
-    (named otherwise if taken) with their offsets in the text before. Rows of
-    one doc_id are cut alike."""
-    name, key = unused(docs, "removed"), unused(docs, "_cut_id")
-    spans = repeated_units(docs, unit, least_words).filter(F.size("removed") > 0).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias(name)).withColumnRenamed("doc_id", key)
-    out = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(key)), "left").drop(key)
+    (named otherwise if taken) with their offsets in the text before. Every row
+    is cut at its own offsets."""
+    name, key = unused(docs, "removed"), unused(docs, "_cut_row")
+    # Written once, so that the numbers of the rows hold for both readers.
+    docs = saved(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    _, spans = _repeated(docs.select(F.col(key).alias("row"), "doc_id", "text"), unit, least_words)
+    spans = spans.select(F.col("_row").alias(key), F.col("removed").alias(name))
+    out = docs.join(spans, key, "left").drop(key)
     ends = F.transform(F.col(name), lambda x: x["end"])
     begins = F.concat(F.transform(F.col(name), lambda x: x["start"]), F.array(F.length("text")))
     kept = F.array_join(F.zip_with(F.concat(F.array(F.lit(0)), ends), begins, lambda a, b: F.substr(F.col("text"), a + 1, b - a)), "")

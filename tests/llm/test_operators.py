@@ -219,6 +219,25 @@ def test_lines(spark, sf):
     assert line_dedup.repeated_units(odd(spark), unit="paragraph").filter("size(removed) > 0").count() > 0
 
 
+@pytest.mark.parametrize("least_words", [1, 5])
+def test_lines_of_rows_that_share_an_id(spark, least_words):
+    """Null ids, repeated ids and equal rows: every row has its own spans."""
+    line, other = "the same line of six words", "another line that occurs just once"
+    rows = [(None, f"{line}\n{other}"), (None, f"{line}\nshort"), (None, f"{other} more\nshort\n{line}"), (7, f"x\n{line}"), (7, f"clean text under a shared id\n{line}"), (8, other), (8, other), (None, None), (9, "")]
+    units = [[(m.lower(), m) for m in (t or "").split("\n") if len(m.split()) >= least_words] for _, t in rows]
+    again = sum(map(len, units)) - len({u for some in units for u, _ in some})
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = line_dedup.repeated_units(df, least_words=least_words).collect()
+    assert sorted((str(r["doc_id"]), r["n_units"]) for r in out) == sorted((str(d), len(u)) for (d, _), u in zip(rows, units, strict=True))
+    assert sum(len(r["removed"]) for r in out) == again and all(len(r["removed"]) <= r["n_units"] for r in out)
+    assert sorted(len(r["removed"]) for r in out if r["doc_id"] == 8) == [0, 1]
+    cut = [(r["doc_id"], r["text"]) for r in line_dedup.without_repeated_units(df, least_words=least_words).collect()]
+    left = "\n".join(t or "" for _, t in cut).split("\n")
+    assert len(cut) == len(rows) and [left.count(x) for x in (line, other, f"{other} more", "clean text under a shared id")] == [1] * 4
+    assert left.count("short") == (1 if least_words == 1 else 2) and left.count("x") == 1
+    assert next(t for d, t in cut if d == 7 and t.startswith("x")) == f"x\n{line}"
+
+
 def test_language(spark, sf):
     big = sf.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{big}/documents.parquet")
