@@ -186,11 +186,37 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return keyed.drop("text").join(united, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "n_words", "items", "hits")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, with all their columns. Where
-    rows share a doc_id, a hit in one takes them all; rows without one stay."""
-    hit = find_benchmark(docs, benchmark).filter(F.size("items") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+class _Clean:
+    """The rows, as they are, whose text has no window."""
+
+    def __init__(self, tables) -> None:
+        self.tables = tables
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = self.tables.value
+        for batch in pieces(batches, "text"):
+            _, found = tables.occurrences(*flat(batch.column(batch.schema.get_field_index("text"))))
+            clean = np.ones(batch.num_rows, bool)
+            clean[[text for text, *_ in found]] = False
+            yield batch.filter(pa.array(clean))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any benchmark window, with all their columns. Every
+    row is judged by its own text, also where rows share a doc_id or have none.
+
+    Windows are those of ``find_benchmark``; what one block of a large benchmark
+    leaves is searched for the next.
+    """
+    spark = docs.sparkSession
+    lined = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = lined.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-total // block_bytes))
+    for k in range(n_blocks):
+        rows = lined.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
+        tables = spark.sparkContext.broadcast(Tables([(r["item_id"], r["text"]) for r in rows], window))
+        docs = docs.mapInArrow(_Clean(tables), docs.schema)
+    return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm.bytehash import flat, mix, pieces
-from cairnlake.llm.common import table
+from cairnlake.llm.common import table, unused
 
 WINDOW = 384
 WIDTHS = (2, 3, 4, 5)
@@ -151,25 +151,47 @@ class _Predict:
     def __init__(self, net: Network) -> None:
         self.net = net
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(self, batches: Iterator[pa.RecordBatch], letters: str = "letters") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """The batches, in pieces, with the language and score of each text."""
         tables, names = Tables(self.net), np.array(self.net.languages)
         for batch in pieces(batches, "text"):
             windows, text = cut(*flat(batch.column(batch.schema.get_field_index("text"))))
             total = np.zeros((batch.num_rows, len(names)))
             np.add.at(total, text, tables.probabilities(windows))
             mean = total / np.maximum(np.bincount(text, minlength=batch.num_rows), 1)[:, None]
-            known = batch.column(batch.schema.get_field_index("letters")).to_numpy(zero_copy_only=False).astype(bool)
+            known = batch.column(batch.schema.get_field_index(letters)).to_numpy(zero_copy_only=False).astype(bool)
             best = mean.argmax(1)
             lang = np.where(known, names[best], UNKNOWN)
             score = np.where(known, mean[np.arange(len(best)), best], 0.0)
+            yield batch, lang, score
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lang, score in self.told(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
+class _Sure(_Predict):
+    """The rows, as they are, whose language is told with the least score."""
+
+    def __init__(self, net: Network, least_score: float, letters: str) -> None:
+        super().__init__(net)
+        self.least_score, self.letters = least_score, letters
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lang, score in self.told(batches, self.letters):
+            rest = batch.select([c for c in batch.schema.names if c != self.letters])
+            yield rest.filter(pa.array((lang != UNKNOWN) & (score >= self.least_score)))
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that nothing is learned from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def has_letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Network | None:
     """The network for the labelled texts that aren't held out; None without any.
 
@@ -204,7 +226,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     nothing could be learned. A null doc_id counts as not held out. Equal texts
     get equal predictions.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", has_letters(F.col("text")).alias("letters"))
     if net is None:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     return rows.mapInArrow(_Predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
@@ -212,9 +234,12 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is told with ``least_score`` or more, with all
-    columns. Rows of one doc_id go only if all are rejected; rows without stay."""
-    sure = identify(docs, learn(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("doc_id").distinct()
-    return docs.join(sure, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    columns. Every row is judged by its own text, also where rows share a doc_id
+    or have none; where nothing could be learned none stays."""
+    net, letters = learn(docs), unused(docs, "_letters")
+    if net is None:
+        return docs.filter(F.lit(False))
+    return docs.withColumn(letters, has_letters(F.col("text"))).mapInArrow(_Sure(net, least_score, letters), docs.schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

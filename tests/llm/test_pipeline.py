@@ -1,10 +1,16 @@
 """The pipeline's rows against brute force, stage by stage on its own input."""
 
+import pytest
 from brute import leaks, near, repeats
 
 import corpus_pipeline
+from cairnlake.llm import decontamination, language_id
 from cairnlake.llm.common import saved
 
+ENGLISH = "the river runs past the old mill and the people of the town walk there every evening"
+ENTRY = "one two three four five six seven eight nine ten eleven"
+ROWS = "doc_id long, text string, lang string, source string"
+
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -31,3 +37,22 @@ def test_stages(spark, sf):
     got = docs.collect()
     assert {r["doc_id"] for r in got} == set(after) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     assert corpus_pipeline.ORACLE_SQL is None and sum(r["taken"] for r in got) > 0
+
+
+@pytest.mark.parametrize("block_bytes", [64 << 20, 40])
+def test_clean_documents_by_row(spark, block_bytes):
+    """Rows without a doc_id are searched too; a hit takes its own row only."""
+    rows = [(None, f"x {ENTRY} y"), (None, ENGLISH), (3, ENTRY), (3, ENGLISH), (4, "alpha beta"), (None, "alpha, BETA"), (5, None), (None, None), (6, ENGLISH), (6, ENGLISH)]
+    bench = spark.createDataFrame([(1, ENTRY), (2, "alpha beta"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(*r, "en", f"s{i}") for i, r in enumerate(rows)], ROWS)
+    out = decontamination.clean_documents(docs, bench, block_bytes=block_bytes)
+    assert out.columns == docs.columns and sorted(r["source"] for r in out.collect()) == ["s1", "s3", "s6", "s7", "s8", "s9"]
+
+
+def test_known_language_by_row(spark):
+    """Rows without a doc_id are judged too; a row stays by its own text only."""
+    rows = [*((i, f"{ENGLISH} {i}") for i in range(100, 140)), (None, ENGLISH), (None, "123 456"), (None, None), (3, ENGLISH), (3, "%%% 77"), (4, "")]
+    docs = spark.createDataFrame([(*r, "en", f"s{i}") for i, r in enumerate(rows)], ROWS)
+    out = language_id.known_language(docs)
+    assert out.columns == docs.columns and {r["source"] for r in out.collect()} == {f"s{i}" for i in [*range(41), 43]}
+    assert language_id.known_language(docs.withColumn("lang", docs["lang"].substr(9, 1)).filter("text = ''")).count() == 0
