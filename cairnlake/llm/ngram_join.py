@@ -173,16 +173,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(pa.Table.from_batches(held))
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, class_id, n_links.
-
-    Texts are linked if the Jaccard similarity of their sets of 5-word windows
-    is 0.8 or more (words are runs without ASCII space; a text of fewer words is
-    one window). class_id is the smallest doc_id that links lead to, the
-    document's own without links; n_links counts linked documents, equal texts
-    included. Null texts and such without words have no links. Repeated rows
-    are equal texts.
-    """
+def _rooted(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key (of the text), root (the least key
+    that links lead to; null for texts without words) and n_links."""
     docs = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
     keyed = saved(docs.select("doc_id", "key"), "ngram-keys")
     signed = docs.mapInArrow(_signatures, "key binary, values binary, bands array<bigint>")
@@ -212,21 +205,46 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     has = classes.select("key", "copies").join(links, "key", "left").join(whole.select(F.unhex("node").alias("key"), F.unhex("component").alias("root")), "key", "left")
     has = has.select("key", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = keyed.join(has, "key", "left")
+    return keyed.join(has, "key", "left")
+
+
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, class_id, n_links.
+
+    Texts are linked if the Jaccard similarity of their sets of 5-word windows
+    is 0.8 or more (words are runs without ASCII space; a text of fewer words is
+    one window). class_id is the smallest doc_id that links lead to, the
+    document's own without links; n_links counts linked documents, equal texts
+    included. Null texts and such without words have no links. Repeated rows
+    are equal texts.
+    """
+    out = _rooted(docs)
     first = out.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return out.join(first, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: one of each class stays, with all its columns.
+    """The documents without near copies: one row of each class stays, with all its
+    columns: the one with the smallest doc_id (null last), then the smallest MD5
+    of the text, then the smallest other columns as JSON.
 
-    Of rows that share the doc_id of the class, one stays. Rows without a doc_id
-    can't be told apart by it and all stay.
+    Rows are told apart by doc_id and text, so rows that share a doc_id but not
+    a class all stay, and rows without a doc_id are compared like others. Texts
+    without words, and null ones, have no copies and stay.
     """
-    flag = unused(docs, "_class")
-    heads = jaccard_groups(docs).filter("doc_id = class_id").select(F.col("doc_id").alias(flag)).distinct()
-    known = docs.join(heads, docs["doc_id"] == heads[flag]).drop(flag).dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null"))
+    given = docs.columns
+    none, number, key = unused(docs, "_none"), unused(docs, "_id"), unused(docs, "_key")
+    # No nulls among these, so that grouping and join share one exchange.
+    by = [F.col("doc_id").isNull().alias(none), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(number)]
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))
+    heads = _rooted(docs).filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(rank).alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("doc_id"), F.col("head.key").alias(key)).select(*by, key)
+    rest = F.to_json(F.struct(*[c for c in given if c != "text"]), {"ignoreNullFields": "false"})
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Rows of one doc_id and text are combined before they are moved.
+    rows = docs.filter(wordy).select(*by, F.unhex(F.md5("text")).alias(key), F.struct(*given).alias("row"), rest.alias("rest"))
+    rows = rows.groupBy(none, number, key).agg(F.min_by("row", "rest").alias("row"))
+    return rows.join(heads, [none, number, key]).select("row.*").unionByName(docs.filter(~wordy))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from brute import leaks, near, repeats
 
 import corpus_pipeline
-from cairnlake.llm import decontamination, language_id
+from cairnlake.llm import decontamination, language_id, ngram_join
 from cairnlake.llm.common import saved
 
 ENGLISH = "the river runs past the old mill and the people of the town walk there every evening"
@@ -56,3 +56,16 @@ def test_known_language_by_row(spark):
     out = language_id.known_language(docs)
     assert out.columns == docs.columns and {r["source"] for r in out.collect()} == {f"s{i}" for i in [*range(41), 43]}
     assert language_id.known_language(docs.withColumn("lang", docs["lang"].substr(9, 1)).filter("text = ''")).count() == 0
+
+
+def test_keep_one_by_row(spark):
+    """Of each class of texts one row stays, whatever the rows' ids."""
+    base = [f"{x}{i}" for x in "abcd" for i in range(80)]
+    a, b, c, d = (" ".join(base[k : k + 80]) for k in range(0, 320, 80))
+    rows = [(5, f"{a} tail"), (5, b), (2, a), (None, a), (None, c), (None, f"{c} tail"), (None, c), (None, None), (7, d), (7, d), (7, " "), (7, None), (9, f"{b} tail")]
+    docs = spark.createDataFrame([(*r, "en", f"s{i:02d}") for i, r in enumerate(rows)], ROWS).repartition(3)
+    out = ngram_join.keep_one(docs)
+    assert out.columns == docs.columns
+    got = {r["source"]: (r["doc_id"], r["text"]) for r in out.collect()}
+    assert all(got[s] == rows[int(s[1:])] for s in got) and len(set(got) & {"s04", "s05", "s06"}) == 1
+    assert set(got) - {"s04", "s05", "s06"} == {"s01", "s02", "s07", "s08", "s10", "s11"}
