@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder
-    is made and set.
+    A session without that setting is an error: a folder of the driver's machine
+    would not be seen by executors elsewhere.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cairnlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -41,6 +39,32 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: At most so many keys count as hot, so what salted_join broadcasts is bounded.
+HOT_KEYS = 5_000
+#: Keys of fewer rows are never hot.
+LEAST_HOT = 1_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str], count: str, total: int, spread: Column) -> DataFrame:
+    """Inner join on ``keys`` that deals the rows of a hot key to many tasks.
+
+    ``right`` has one row a key, whose ``count`` (not returned) is the number of rows
+    that ``left`` has of it, of ``total`` in all. A key with more than a
+    ``HOT_KEYS``-th of them is hot, so there are at most ``HOT_KEYS``, whose names
+    are broadcast; their rows on the left take a salt by ``spread`` and the row
+    on the right is repeated once a salt.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    most = max(LEAST_HOT, total // HOT_KEYS)
+    salts, salt = unused(left, "_salts"), unused(left, "_salt")
+    right = right.withColumn(salts, F.ceil(F.col(count) / most).cast("int")).drop(count)
+    hot = F.broadcast(right.filter(F.col(salts) > 1).select(*keys, salts))
+    # A constant salt for the others keeps the key's own hash in charge.
+    dealt = left.join(hot, keys, "left").withColumn(salt, F.coalesce(F.pmod(spread, F.col(salts)), F.lit(0)).cast("int")).drop(salts)
+    repeated = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(salts) - 1))).drop(salts)
+    return dealt.join(repeated, [*keys, salt]).drop(salt)
+
+
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+``; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

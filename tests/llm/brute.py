@@ -92,3 +92,40 @@ def leaks(rows, items):
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((d, len(words), len(hit), len(found), sha, bool(hit)))
     return out
+
+
+def passages(rows, kinds=("line", "paragraph"), least=25):
+    """[(doc_id, number of units, [(start, end) removed])] for rows ranked as given."""
+    blank = " \t\n\x0b\x0c\r"
+
+    def cut(text, ends):
+        at, out = 0, []
+        for m in re.finditer(ends, text):
+            out.append((at, m.end()))
+            at = m.end()
+        return [(a, b, text[a:b].rstrip(blank)) for a, b in [*out, (at, len(text))] if WORD.search(text[a:b])]
+
+    def units(text):
+        found = set()
+        for kind, ends in (("line", "\n"), ("block", "\n[ \t\x0b\x0c\r]*\n")):
+            found |= {(a, a + len(x)) for a, _, x in cut(text, ends) if kind in kinds and len(WORD.findall(x)) >= least}
+        sentences = cut(text, "\n|[.!?][ \t\x0b\x0c\r]+") if "paragraph" in kinds else []
+        for k, (a, _, _) in enumerate(sentences):
+            for e, _, x in sentences[k:]:
+                if len(WORD.findall(text[a : e + len(x)])) >= least:
+                    found.add((a, e + len(x)))
+                    break
+        return sorted(found)
+
+    first, out = {}, []
+    for k, (d, text) in enumerate(rows):
+        some, gone = units(text or ""), bytearray(len(text or ""))
+        for a, b in some:
+            words = tuple(w.encode().lower() for w in WORD.findall(text[a:b]))
+            row, _, end = first.setdefault(words, (k, a, b))
+            if first[words] != (k, a, b):
+                a = max(a, end) if row == k else a
+                gone[a:b] = b"\1" * max(0, b - a)
+        edges = [i for i in range(len(gone) + 1) if (gone[i - 1] if i else 0) != (gone[i] if i < len(gone) else 0)]
+        out.append((d, len(some), list(zip(edges[::2], edges[1::2], strict=True))))
+    return out

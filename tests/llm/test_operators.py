@@ -5,7 +5,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from brute import leaks, near, quality, repeats
+from brute import leaks, near, passages, quality, repeats
 
 from cairnlake.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, url_filters, warc, weak_quality
 from cairnlake.llm.common import words, word_count
@@ -209,14 +209,39 @@ def test_warc_files_of_others():
         list(warc.parse(b"".join(parts)[:-40]))
 
 
-def test_lines(spark, sf):
-    got = {r["doc_id"]: (r["n_units"], [(x["start"], x["end"]) for x in r["removed"]]) for r in line_dedup.repeated_units(odd(spark)).collect()}
+def spans_of(df):
+    return {r["doc_id"]: (r["n_units"], [(x["start"], x["end"]) for x in r["removed"]]) for r in df.collect()}
+
+
+def test_lines(spark):
+    line = {"kinds": ("line",), "least_words": 5}
+    got = spans_of(line_dedup.repeated_units(odd(spark), **line))
     assert got[14][0] == 3 and len(got[14][1]) == 2 and got[15] == (1, [(0, 24)])
     assert got[8][1] == [(0, len(BASE))] and got[6][1] == [] and got[1] == got[2] == (0, [])
-    cut = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_units(odd(spark)).collect()}
+    cut = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_units(odd(spark), **line).collect()}
     assert cut[8] == "" and cut[6] == BASE and cut[1] is None and cut[14].count("same line") == 1
     assert line_dedup.repeated_units(odd(spark).limit(0)).count() == 0
-    assert line_dedup.repeated_units(odd(spark), unit="paragraph").filter("size(removed) > 0").count() > 0
+    with pytest.raises(ValueError):
+        line_dedup.repeated_units(odd(spark), kinds=("page",))
+
+
+@pytest.mark.parametrize(("kinds", "least"), [(("line", "paragraph"), 25), (("paragraph",), 3), (("block",), 1), (("line", "block", "paragraph"), 5)])
+def test_passages(spark, docs, kinds, least):
+    """Against brute force: the given table, and texts that overlap their own copies."""
+    passage = "Here begins a passage. It has some sentences! Are they units? They are, if long enough."
+    more = [(20, f"half a sentence {passage} and on it goes"), (21, f"other start {passage}\n\n{passage}"), (22, "Again. " * 40), (23, "One. Two. " * 30), (24, f"x\n\n{passage.upper()}\n  \ny")]
+    for rows in ([*ODD, *more], docs):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert spans_of(line_dedup.repeated_units(df, kinds, least)) == {d: (n, some) for d, n, some in passages(sorted(rows), kinds, least)}
+
+
+def test_lines_of_a_hot_digest(spark, monkeypatch):
+    """A line that most rows share is dealt to several tasks, with the same result."""
+    monkeypatch.setattr("cairnlake.llm.common.LEAST_HOT", 7)
+    rows = [(i, f"a line that nearly all rows share\nrow {i % 50} has a line of its own") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spans_of(line_dedup.repeated_units(df, ("line",), 5))
+    assert got == {d: (n, some) for d, n, some in passages(rows, ("line",), 5)} and got[0][1] == [] and len(got[60][1]) == 2
 
 
 @pytest.mark.parametrize("least_words", [1, 5])
@@ -227,11 +252,11 @@ def test_lines_of_rows_that_share_an_id(spark, least_words):
     units = [[(m.lower(), m) for m in (t or "").split("\n") if len(m.split()) >= least_words] for _, t in rows]
     again = sum(map(len, units)) - len({u for some in units for u, _ in some})
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = line_dedup.repeated_units(df, least_words=least_words).collect()
+    out = line_dedup.repeated_units(df, ("line",), least_words).collect()
     assert sorted((str(r["doc_id"]), r["n_units"]) for r in out) == sorted((str(d), len(u)) for (d, _), u in zip(rows, units, strict=True))
     assert sum(len(r["removed"]) for r in out) == again and all(len(r["removed"]) <= r["n_units"] for r in out)
     assert sorted(len(r["removed"]) for r in out if r["doc_id"] == 8) == [0, 1]
-    cut = [(r["doc_id"], r["text"]) for r in line_dedup.without_repeated_units(df, least_words=least_words).collect()]
+    cut = [(r["doc_id"], r["text"]) for r in line_dedup.without_repeated_units(df, ("line",), least_words).collect()]
     left = "\n".join(t or "" for _, t in cut).split("\n")
     assert len(cut) == len(rows) and [left.count(x) for x in (line, other, f"{other} more", "clean text under a shared id")] == [1] * 4
     assert left.count("short") == (1 if least_words == 1 else 2) and left.count("x") == 1
