@@ -86,13 +86,16 @@ def _repeated(docs: DataFrame, kinds: tuple[str, ...], least_words: int) -> tupl
     listed = saved(rows.mapInArrow(_Units(kinds, least_words), schema), "units")
     total = listed.agg(F.sum("n_units")).first()[0] or 0
 
-    each = listed.select("row", "doc_id", "th", F.inline("units"))
-    # Line and paragraph may be the same span; its digest is listed once then.
+    # Most units occur once: these go before anything is ranked.
+    key, spread = F.xxhash64("digest").alias("key"), F.xxhash64("row", "start")
+    twice = listed.select(F.explode("units.digest").alias("digest")).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+    each = listed.select("row", "doc_id", "th", F.inline("units")).withColumn("key", key)
+    each = saved(salted_join(each, twice, "key", "n", total, spread).drop("key"), "units-repeated")
+
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "th", "row", "end")
     firsts = each.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
     firsts = firsts.select("digest", "n", F.col("first.row").alias("_row"), F.col("first.start").alias("_start"), F.col("first.end").alias("_end"))
-
-    met = salted_join(each.select("digest", "row", "start", "end"), firsts, "digest", "n", total, F.xxhash64("row", "start"))
+    met = salted_join(each.select("digest", "row", "start", "end"), firsts, "digest", "n", each.count(), spread)
     again = met.filter((F.col("row") != F.col("_row")) | (F.col("start") != F.col("_start")))
     # What overlaps its own first occurrence leaves that one whole.
     begin = F.when(F.col("row") == F.col("_row"), F.greatest("start", "_end")).otherwise(F.col("start"))

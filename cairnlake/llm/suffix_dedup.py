@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.bytehash import U, flat, pieces, prefix, substring
-from cairnlake.llm.common import saved, table
+from cairnlake.llm.bytehash import U, flat, mix, pieces, powers, prefix, substring
+from cairnlake.llm.common import salted_join, saved, table
 from cairnlake.llm.suffix_sort import repeated_starts
 
 LENGTH = 200
@@ -28,6 +28,18 @@ KEY = 48
 #: which their strings are counted one by one instead.
 SHARD_BYTES = 2 << 20
 MOST_STRETCHES = 16_384
+#: Bytes of one text that are hashed at once; longer texts go piece by piece.
+PIECE = 1 << 20
+#: A window's least hash is found together with its place: 32 bits each, always.
+PLACE, HIGH = U((1 << 32) - 1), U(((1 << 32) - 1) << 32)
+SPREAD = U(0x9E3779B97F4A7C15)
+
+STRETCH = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("digest", pa.int64())])
+STRETCH_SQL = "struct<first:int,n:int,key:long,digest:long>"
+SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+SPANS_SQL = "array<struct<start:int,end:int>>"
+PARTS = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()), ("copies", pa.int64()), ("part", pa.binary()), ("h", pa.int64()), ("g", pa.int64())])
+PARTS_SQL = "row long, key long, digest long, first int, copies long, part binary, h long, g long"
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -39,136 +51,200 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - width)], x[w - width :]) if w > width else x
 
 
-def _stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, first start, number of starts, key, digest of the stretch)."""
-    n = len(data)
-    if n < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U), np.zeros(0, U))
+def _stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first start, number of starts, key, digest) of each stretch."""
+    n, sizes = len(data), np.diff(at)
+    if not len(sizes) or sizes.max() < LENGTH:
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U), np.zeros(0, U))
     sums = prefix(data)
-    grams = np.arange(n - KEY + 1)
-    hashed = substring(sums, grams, grams + KEY)
-    bits = U(max(20, int(n).bit_length()))
-    best = _window_min((hashed >> bits << bits) | grams.astype(U), LENGTH - KEY + 1)
-    chosen = (best & ((U(1) << bits) - U(1))).astype(np.int64)
-    sizes = np.diff(at)
-    number = np.repeat(np.arange(len(sizes)), sizes)[: len(chosen)]
-    starts = np.flatnonzero(np.arange(len(chosen)) + LENGTH <= at[1:][number])
-    number, chosen = number[starts], chosen[starts]
-    if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U), np.zeros(0, U))
-    cut = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (number[1:] != number[:-1])])
-    head = np.flatnonzero(cut)
-    tail = np.concatenate([head[1:], [len(starts)]]) - 1
-    first, last = starts[head], starts[tail]
-    return number[head], first - at[number[head]], last - first + 1, hashed[chosen[head]], substring(sums, first, last + LENGTH)
+    hashed = sums[KEY:] - sums[:-KEY]
+    hashed *= powers(n + 1)[1][: n - KEY + 1]
+    best = _window_min((hashed * SPREAD & HIGH) | np.arange(n - KEY + 1, dtype=U), LENGTH - KEY + 1)
+    chosen = best & PLACE
+    # Starts whose string lies inside one text.
+    long = np.flatnonzero(sizes >= LENGTH)
+    edge = np.zeros(n + 1, np.int8)
+    edge[at[long]] += 1
+    edge[at[long + 1] - LENGTH + 1] -= 1
+    fits = np.cumsum(edge[: len(chosen)], dtype=np.int8).view(bool)
+    head, last = fits.copy(), fits.copy()
+    other = chosen[1:] != chosen[:-1]
+    head[1:] &= ~fits[:-1] | other
+    last[:-1] &= ~fits[1:] | other
+    first, final = np.flatnonzero(head), np.flatnonzero(last)
+    number = np.searchsorted(at, first, "right") - 1
+    key = mix(hashed[chosen[first].astype(np.int64)])
+    return number, first - at[number], final - first + 1, key, substring(sums, first, final + LENGTH)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
-        data, at = flat(batch.column(2))
-        number, first, count, key, digest = _stretches(data, at)
-        rows = batch.select([0, 1]).take(pa.array(number))
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))], ["doc_id", "th", "first", "n", "key", "digest"])
-
+    """The rows with the stretches of their texts instead of the texts."""
+    for batch in pieces(batches, "text", PIECE):
+        data, at = flat(batch.column("text"))
+        if batch.num_rows > 1:
+            found = [_stretches(data, at)]
+        else:
+            found = [_one(data, begin) for begin in range(0, max(1, len(data) - LENGTH + 1), PIECE)]
+        number, first, n, key, digest = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))], fields=list(STRETCH))
+        ends = pa.array(np.searchsorted(number, np.arange(batch.num_rows + 1)), pa.int32())
+        counts = pa.array(np.bincount(number, minlength=batch.num_rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "th")), counts, pa.ListArray.from_arrays(ends, rows)], ["row", "doc_id", "th", "n_stretches", "stretches"])
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _listed(batches):
-        yield batch.select(["key"])
 
+def _one(data: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of the PIECE starts of one text from ``begin`` on."""
+    part = data[begin : begin + PIECE + LENGTH - 1]
+    number, first, *more = _stretches(part, np.array([0, len(part)]))
+    return number, first + begin, *more
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
 
-
-def runs(starts: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last) of runs of neighbouring numbers."""
-    if not len(starts):
-        return []
+def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of neighbouring numbers."""
     cut = np.flatnonzero(np.diff(starts) > 1)
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist(), strict=True))
+    ends = np.arange(len(starts))[-1:]
+    return starts[np.concatenate([ends * 0, cut + 1])], starts[np.concatenate([cut, ends])]
 
 
-def _finish(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    spans = merged(spans)
-    kept, at = [], 0
-    for a, b in spans:
-        kept.append(text[at:a])
-        at = b
-    kept.append(text[at:])
-    return b"".join(kept), spans
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans in order, with those that touch or overlap made one."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(order) else end
+    fresh = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(start) else order
+    return start[fresh], end[np.concatenate([fresh[1:], [len(start)]]) - 1] if len(start) else end
 
 
-SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-OPEN = pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("sort", pa.bool_())]))
-SPANS_SQL = "array<struct<a:int,b:int>>"
+def _fields(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(offsets, fields) of a list<struct> column without nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = column.offsets.to_numpy()
+    values = column.values
+    return ends, {f.name: values.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(values.type)}
 
 
 def _open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the bytes of a text's stretches that are to be sorted."""
+    """A row for each open stretch that is to be sorted, with its bytes; those of
+    keys with too many different stretches give a row for each of their strings."""
+    done = None
     for batch in pieces(batches, "text", 2 << 20):
-        parts = []
-        for text, some in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("open").to_pylist(), strict=True):
-            parts.append([{"key": x["key"], "digest": x["digest"], "part": text[x["first"] : x["first"] + x["n"] - 1 + LENGTH]} for x in some if x["sort"]])
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.list_(pa.struct([("key", pa.int64()), ("digest", pa.int64()), ("part", pa.binary())])))], ["parts"])
+        data, at = flat(batch.column("text"))
+        ends, x = _fields(batch.column("open"))
+        for k, row in enumerate(batch.column("row").to_pylist()):
+            if row == done:  # equal rows meet one after the other
+                continue
+            done = row
+            some = np.arange(ends[k], ends[k + 1])
+            yield from _parts(row, data[at[k] : at[k + 1]], {name: v[some] for name, v in x.items()})
+
+
+def _parts(row: int, text: np.ndarray, x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    raw = text.tobytes()
+    chosen = np.flatnonzero(x["sort"])
+    stop = x["first"] + x["n"] - 1 + LENGTH
+    for at in range(0, len(chosen), 4096):
+        some = chosen[at : at + 4096]
+        parts = [raw[a:b] for a, b in zip(x["first"][some].tolist(), stop[some].tolist(), strict=True)]
+        none = pa.nulls(len(some), pa.int64())
+        columns = [np.full(len(some), row), x["key"][some], x["digest"][some], x["first"][some], x["copies"][some]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, PARTS, strict=False)), pa.array(parts, pa.binary()), none, none], schema=PARTS)
+    for k in np.flatnonzero(~x["sort"]).tolist():
+        first, n = int(x["first"][k]), int(x["n"][k])
+        sums, start = prefix(text[first : first + n - 1 + LENGTH]), np.arange(n)
+        h = substring(sums, start, start + LENGTH)
+        g = substring(sums, start + 7, start + LENGTH) ^ (substring(sums, start, start + LENGTH - 11) << U(1))
+        columns = [np.full(n, row), np.full(n, x["key"][k]), np.full(n, x["digest"][k]), first + start, np.full(n, x["copies"][k])]
+        hashes = [pa.array(h.view(np.int64)), pa.array(g.view(np.int64))]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, PARTS, strict=False)), pa.nulls(n, pa.binary()), *hashes], schema=PARTS)
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, digest, copies, part) in the order of the key; whole keys go to
-    a shard of about SHARD_BYTES. Returns the repeated starts of each stretch as runs."""
+    """Stretches in the order of (key, digest); whole keys go to a shard of about
+    SHARD_BYTES. For those that occur once: the row and spans of repeated strings."""
 
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_starts([r[3] for r in rows], np.array([r[2] for r in rows]), LENGTH)
-        spans = [[{"a": a, "b": b} for a, b in runs(x)] for x in found]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(spans, SPANS)], ["key", "digest", "runs"])
+    def shard(held: list[tuple]) -> pa.RecordBatch:
+        row, first, copies = (np.array(x) for x in zip(*(r[2:5] for r in held), strict=True))
+        found = repeated_starts([r[5] for r in held], copies, LENGTH)
+        out = [(k, *runs(x)) for k, x in enumerate(found) if len(x) and copies[k] == 1]
+        spans = [[{"start": a, "end": b} for a, b in zip((first[k] + low).tolist(), (first[k] + high + LENGTH).tolist(), strict=True)] for k, low, high in out]
+        return pa.RecordBatch.from_arrays([pa.array([int(row[k]) for k, *_ in out], pa.int64()), pa.array(spans, pa.list_(SPAN))], ["row", "more"])
 
-    rows: list[tuple] = []
+    held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "copies", "part")), strict=True):
-            if size >= SHARD_BYTES and row[0] != rows[-1][0]:
-                yield shard(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[3])
-    if rows:
-        yield shard(rows)
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per string of the stretches whose key has too many different ones."""
-    for batch in pieces(batches, "text"):
-        data, at = flat(batch.column(batch.schema.get_field_index("text")))
-        sums = prefix(data)
-        rows, starts = [], []
-        for k, some in enumerate(batch.column("open").to_pylist()):
-            for x in some:
-                if not x["sort"]:
-                    rows.append(np.full(x["n"], k))
-                    starts.append(x["first"] + np.arange(x["n"]))
-        if not rows:
-            continue
-        row, start = np.concatenate(rows), np.concatenate(starts)
-        begin = at[row] + start
-        other = substring(sums, begin + 7, begin + LENGTH) ^ (substring(sums, begin, begin + LENGTH - 11) << U(1))
-        ids = batch.select(["doc_id", "th"]).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(start, pa.int32()), pa.array(substring(sums, begin, begin + LENGTH).view(np.int64)), pa.array(other.view(np.int64))], ["doc_id", "th", "start", "h", "g"])
-
-
-def _results(columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 4 << 20):
-        out = []
-        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            kept, spans = _finish(text or b"", [(x["a"], x["b"]) for x in spans or []])
-            out.append((len(text or b""), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept))
-        n, spans, sha, kept = zip(*out, strict=True)
-        arrays = [batch.column(c) for c in columns] + [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(sha, pa.string()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, [*columns, "n_bytes", "removed", "kept_sha256", "kept"])
+        for x in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "row", "first", "copies", "part")), strict=True):
+            if held and x[:2] == held[-1][:2]:
+                continue
+            if size >= SHARD_BYTES and x[0] != held[-1][0]:
+                yield shard(held)
+                held, size = [], 0
+            held.append(x)
+            size += len(x[5])
+    if held:
+        yield shard(held)
+
+
+class _Results:
+    """The given columns with what is removed of the text and what is left."""
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 4 << 20):
+            data, at = flat(batch.column("text"))
+            ends, x = _fields(batch.column("spans"))
+            sizes, starts, stops, sha, left = np.diff(at), [], [], [], []
+            for k in range(batch.num_rows):
+                start, end = merged(x["start"][ends[k] : ends[k + 1]], x["end"][ends[k] : ends[k + 1]])
+                raw = data[at[k] : at[k + 1]].tobytes()
+                kept = b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True))
+                starts.append(start)
+                stops.append(end)
+                sha.append(hashlib.sha256(kept).hexdigest())
+                left.append(kept)
+            offsets = pa.array(np.cumsum([0, *map(len, starts)]), pa.int32())
+            spans = pa.StructArray.from_arrays([pa.array(np.concatenate(v), pa.int32()) for v in (starts, stops)], fields=list(SPAN))
+            found = [pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, spans), pa.array(sha, pa.string()), pa.array(left, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in self.columns), *found], [*self.columns, "n_bytes", "removed", "kept_sha256", "kept"])
+
+
+def _total(df: DataFrame, column: str) -> int:
+    return df.agg(F.sum(column)).first()[0] or 0
+
+
+def _marks(listed: DataFrame) -> DataFrame:
+    """(row, spans, open) of the rows with repeated keys: spans of stretches that
+    occur more than once, and the stretches to be looked into."""
+    each = listed.select("row", F.inline("stretches"))
+    again = listed.select(F.explode("stretches.key").alias("key")).groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    spread = F.xxhash64("row", "first")
+    repeated = saved(salted_join(each, again, "key", "_n", _total(listed, "n_stretches"), spread), "suffix-repeated")
+    n_repeated = repeated.count()
+
+    kinds = repeated.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first")).alias("head"))
+    per_key = kinds.groupBy("key").agg(F.count("*").alias("different"))
+    kinds = salted_join(kinds, per_key.withColumn("_n", F.col("different")), "key", "_n", n_repeated, F.col("digest"))
+    kinds = saved(kinds.withColumn("_n", F.col("copies")), "suffix-kinds")
+
+    marked = salted_join(repeated, kinds, ["key", "digest"], "_n", n_repeated, spread)
+    whole = F.when(F.col("copies") > 1, F.struct(F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("end")))
+    # Of equal stretches one is looked into, for the strings it shares with others.
+    # A key with one stretch only is done: its copies are equal throughout.
+    is_head = F.col("head") == F.struct("row", "first")
+    sort = (F.col("different") <= MOST_STRETCHES).alias("sort")
+    open_one = F.when((F.col("different") > 1) & ((F.col("copies") == 1) | is_head), F.struct("key", "digest", "first", "n", "copies", sort))
+    return saved(marked.groupBy("row").agg(F.collect_list(whole).alias("spans"), F.collect_list(open_one).alias("open")), "suffix-marks")
+
+
+def _inner_repeats(parts: DataFrame) -> DataFrame:
+    """(row, more): spans of strings that repeat in stretches which occur once."""
+    shards = parts.filter("part is not null").repartition("key").sortWithinPartitions("key", "digest")
+    from_sorting = shards.mapInArrow(_sorted_shards, f"row long, more {SPANS_SQL}")
+    strings = parts.filter("part is null").dropDuplicates(["row", "first"]).select("row", "first", "copies", "h", "g")
+    twice = strings.groupBy("h", "g").agg(F.count("*").alias("_n")).filter("_n > 1")
+    met = salted_join(strings, twice, ["h", "g"], "_n", strings.count(), F.xxhash64("row", "first")).filter("copies = 1")
+    from_counts = met.select("row", F.array(F.struct(F.col("first").alias("start"), (F.col("first") + LENGTH).alias("end"))).alias("more"))
+    return from_sorting.unionByName(from_counts).groupBy("row").agg(F.flatten(F.collect_list("more")).alias("more"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -179,66 +255,37 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Every byte is removed that a 200-byte string covers which also starts
     anywhere else in the texts as they are given, in the same or another row.
     Matches stay within a text. Null text is empty. Repeated rows are each
-    other's copies, so both lose all they have in 200-byte strings.
+    other's copies, so both lose all they have in 200-byte strings; rows that
+    share a doc_id, or have none, are told apart by 128 bits of their text's
+    SHA-256. An empty table gives no rows. Long texts are hashed in pieces.
     """
     rest = [F.struct(*[c for c in docs.columns if c != "text"]).alias("row")] if with_text else []
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("th"), *rest)
-    stretches = docs.select("doc_id", "th", "text")
-    # The texts are read twice, which costs less disk than all their stretches.
-    again = stretches.mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    listed = saved(stretches.mapInArrow(_listed, "doc_id long, th int, first int, n int, key long, digest long").join(again, "key"), "suffix-repeated")
-    kinds = listed.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "first")).alias("head"))
-    # A key with one stretch only is done: its copies are equal throughout.
-    several = listed.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("key")
-    kinds = kinds.join(several.withColumn("several", F.lit(True)), "key", "left")
-    different = kinds.filter("several").groupBy("key").agg(F.count("*").alias("different"))
-    kinds = kinds.join(different, "key", "left").select("key", "digest", "copies", "head", F.coalesce("different", F.lit(1)).alias("different"))
-    kinds = kinds.withColumn("sort", (F.col("different") > 1) & (F.col("different") <= MOST_STRETCHES))
-    kinds = saved(kinds, "suffix-kinds")
-
-    marked = listed.join(kinds, ["key", "digest"])
-    whole = F.when(F.col("copies") > 1, F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("b")))
-    is_head = F.col("head").eqNullSafe(F.struct("doc_id", "th", "first"))
-    # Of equal stretches one is looked into, for the strings it shares with others.
-    open_one = F.when((F.col("different") > 1) & ((F.col("copies") == 1) | is_head), F.struct("key", "digest", "first", "n", "sort"))
-    per_doc = marked.groupBy("doc_id", "th").agg(F.collect_list(whole).alias("spans"), F.collect_list(open_one).alias("open"))
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})
-    joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_doc_id"]) & (docs["th"] == per_doc["_th"]), "left").drop("_doc_id", "_th")
-    joined = joined.withColumn("open", F.coalesce("open", F.array().cast("array<struct<key:long,digest:long,first:int,n:int,sort:boolean>>")))
+    text = F.coalesce("text", F.lit(""))
+    th = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+    docs = docs.select("doc_id", text.alias("text"), th.alias("th"), *rest)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {id_type}, th binary, n_stretches long, stretches array<{STRETCH_SQL}>"
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "th", "text")
+    listed = saved(numbered.mapInArrow(_listed, schema), "suffix-stretches")
+    ids = listed.select("row", F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"))
+    mine = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th"))
+
+    marks = _marks(listed)
+    opened = marks.filter(F.size("open") > 0).select("row", "open").join(ids, "row").withColumnRenamed("row", "_row")
+    texts = docs.select("doc_id", "th", "text").join(opened, mine).select(F.col("_row").alias("row"), "open", "text")
+    parts = saved(texts.mapInArrow(_open_texts, PARTS_SQL), "suffix-parts")
+
+    spans = marks.select("row", "spans").join(_inner_repeats(parts), "row", "left")
+    spans = spans.withColumn("spans", F.concat("spans", F.coalesce("more", F.array().cast(SPANS_SQL)))).drop("more")
+    # Equal rows have equal spans, so any of them will do.
+    per_doc = spans.join(ids, "row").groupBy("_doc_id", "_th").agg(F.min_by("spans", "row").alias("spans"))
+    joined = docs.join(per_doc, mine, "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS_SQL)))
     columns = ["row"] if with_text else ["doc_id"]
-    schema = docs.select(*columns).schema.simpleString()[len("struct<") : -1]
-    final = lambda df: df.mapInArrow(_Results(columns), f"{schema},n_bytes:long,removed:array<struct<start:int,end:int>>,kept_sha256:string,kept:binary")
-    pick = [*columns, "text", "th", "spans", "open"] if "doc_id" in columns else ["doc_id", *columns, "text", "th", "spans", "open"]
-    both = saved(joined.select(*pick).filter(F.size("open") > 0), "suffix-open")
-    closed = joined.select(*pick).filter(F.size("open") == 0)
-
-    parts = both.select("open", "text").mapInArrow(_open_texts, "parts array<struct<key:long,digest:long,part:binary>>").select(F.inline("parts"))
-    counts = kinds.filter("sort").select("key", "digest", "copies")
-    shards = parts.dropDuplicates(["key", "digest"]).join(counts, ["key", "digest"])
-    shards = shards.repartition("key").sortWithinPartitions("key")
-    repeated = shards.select("key", "digest", "copies", "part").mapInArrow(_sorted_shards, f"key long, digest long, runs {SPANS_SQL}").filter(F.size("runs") > 0)
-    lying = both.select("doc_id", "th", F.inline("open")).select("doc_id", "th", "key", "digest", "first")
-    from_sorting = lying.join(repeated, ["key", "digest"]).select("doc_id", "th", F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first") + LENGTH).alias("b"))).alias("more"))
-    strings = both.filter(F.exists("open", lambda x: ~x["sort"])).select("doc_id", "th", "open", "text").mapInArrow(_strings, "doc_id long, th int, start int, h long, g long")
-    twice = strings.groupBy("h", "g").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    from_counts = strings.join(twice, ["h", "g"]).select("doc_id", "th", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))).alias("more"))
-    more = from_sorting.unionByName(from_counts).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("more")).alias("more")).withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})
-    both = both.join(more, both["doc_id"].eqNullSafe(more["_doc_id"]) & (both["th"] == more["_th"]), "left")
-    both = both.withColumn("spans", F.concat("spans", F.coalesce("more", F.array().cast(SPANS_SQL))))
-    out = final(closed.select(*columns, "text", "spans")).unionByName(final(both.select(*columns, "text", "spans")))
+    given = docs.select(*columns).schema.simpleString()[len("struct<") : -1]
+    out = joined.select(*columns, "text", "spans").mapInArrow(_Results(columns), f"{given}, n_bytes long, removed {SPANS_SQL}, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
 
 
-class _Results:
-    """``_results`` with its columns."""
-
-    def __init__(self, columns: list[str]) -> None:
-        self.columns = columns
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _results(self.columns, batches)
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the repeated bytes cut out of ``text``; n_chars follows
     where the table has it. A character that a cut splits goes as a whole."""
