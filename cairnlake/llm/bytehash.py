@@ -112,11 +112,39 @@ def word_bounds(data: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, at)
 
 
+#: Bytes hashed at once; longer texts go segment by segment.
+SEGMENT = 2 << 20
+
+
+def _segments(data: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about SEGMENT bytes that no word crosses."""
+    begin, n = 0, len(data)
+    while begin < n:
+        end = min(begin + SEGMENT, n)
+        while end < n and kinds[data[end]] and kinds[data[end - 1]]:
+            breaks = np.flatnonzero(~kinds[data[end : end + 4096]])
+            end = min(end + (int(breaks[0]) if len(breaks) else 4096), n)
+        yield begin, end
+        begin = end
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, kinds: np.ndarray = NO_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, first) of the words of each text, as ``word_bounds``."""
+    found = []
+    for begin, stop in _segments(data, kinds):
+        part = data[begin:stop]
+        starts, ends, _ = word_bounds(part, np.clip(at - begin, 0, len(part)), kinds)
+        found.append((substring(prefix(part), starts, ends), starts + begin, ends + begin))
+    if not found:
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    hashed, starts, ends = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashed, starts, ends, np.searchsorted(starts, at)
+
+
 def shingles(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): hashes of the ``size``-word windows of each text; a text
     of fewer words, but not none, has one of all its words."""
-    starts, ends, first = word_bounds(data, at, NO_SPACE)
-    word = substring(prefix(data), starts, ends)
+    word, _, _, first = word_hashes(data, at)
     counts = np.diff(first)
     text = np.repeat(np.arange(len(counts)), counts)
     by = constants(size, 11)

@@ -1,12 +1,13 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts that are equal collapse to one class first. MinHash bands make candidate
-links, whose components are compared: pairs drop out as soon as, after some
-more MinHash values, the posterior probability that their similarity reaches
-the threshold falls below the tolerance; the rest are verified on their whole
-shingle sets. A component of many texts is dealt to tasks as pairs of chunks, so
-no task holds a large group, and tasks return sums and spanning links, never
-all pairs.
+Texts that are equal collapse to one class first. Classes that share a band of
+MinHash values meet in a bucket, where their signatures are compared step by
+step: a pair drops out as soon as the posterior probability that its similarity
+reaches the threshold falls below the tolerance. What is left links classes to
+groups of close texts, and only within these whole texts are verified, on their
+exact shingle sets. Large buckets and groups are dealt to tasks as pairs of
+chunks, so no task holds a large one, and tasks return sums and spanning links,
+never all pairs.
 """
 
 from __future__ import annotations
@@ -20,17 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm.bytehash import U, constants, flat, mix, pieces, shingles
-from cairnlake.llm.common import saved, table, unused
+from cairnlake.llm.common import salted_join, saved, table, unused
 from cairnlake.llm.components import components
 
 SHINGLE = 5
 #: Similarity as a fraction, so that ties at the threshold are exact.
 NUMERATOR, DENOMINATOR = 4, 5
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 24, 4
 HASHES = 96
 STEP = 16
 TOLERANCE = 1e-6
 CHUNK = 512
+#: Pairs that are compared at once.
+LOT = 1 << 18
 
 
 def least_matches(n: int, threshold: float = NUMERATOR / DENOMINATOR, tolerance: float = TOLERANCE) -> int:
@@ -56,8 +59,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 values[:, k] = np.minimum.reduceat(hashed * factors[k], begin) >> U(32)
         keys = np.zeros((len(some), BANDS), U)
         for k in range(BANDS):
-            part = values[:, k * ROWS : (k + 1) * ROWS].astype(U)
-            keys[:, k] = mix(part[:, 0] * band[k] + part[:, 1] * U(0x632BE59BD9B4E019) + mix(part[:, 2] + U(k)))
+            code = np.full(len(some), band[k])
+            for row in range(k * ROWS, (k + 1) * ROWS):
+                code = mix(code + values[:, row].astype(U))
+            keys[:, k] = code
         kept = batch.take(pa.array(some))
         yield pa.RecordBatch.from_arrays(
             [
@@ -69,11 +74,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _root(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that links a-b lead to from each of 0..n-1."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def _jaccard(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,74 +115,126 @@ def _jaccard(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return shared * DENOMINATOR >= NUMERATOR * (sizes[a] + sizes[b] - shared)
 
 
-def _compare(values: np.ndarray, side: np.ndarray, between: bool, sets: list[np.ndarray], limits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs: between side 0 and side 1, or all within one chunk."""
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if between:
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-    else:
-        i, j = np.triu_indices(len(left), 1)
-        a, b = left[i], left[j]
+def _limits() -> list[tuple[int, int]]:
+    return [(n, least_matches(n)) for n in range(STEP, HASHES + 1, STEP)]
+
+
+def _pruned(values: np.ndarray, a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may still reach the threshold after all steps."""
     same, done = np.zeros(len(a), np.int32), 0
     for n, least in limits:
         same += (values[a, done:n] == values[b, done:n]).sum(1, dtype=np.int32)
         live = same >= least
         a, b, same, done = a[live], b[live], same[live], n
-    if not len(a):
-        return a, b
-    ok = _jaccard(sets, a, b)
-    return a[ok], b[ok]
+    return a, b
+
+
+def _lots(cut: np.ndarray, side: np.ndarray, between: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs to compare, some at a time: of each group cut[k]:cut[k + 1] all, or,
+    where it is ``between`` two chunks, those of one side and the other."""
+    sizes = np.diff(cut)
+    for size in np.unique(sizes[~between]):
+        if size < 2:
+            continue
+        i, j = np.triu_indices(size, 1)
+        begins = cut[:-1][~between & (sizes == size)]
+        step = max(1, LOT // len(i))
+        for at in range(0, len(begins), step):
+            some = begins[at : at + step, None]
+            yield (some + i).ravel(), (some + j).ravel()
+    for k in np.flatnonzero(between):
+        left = cut[k] + np.flatnonzero(side[cut[k] : cut[k + 1]] == 0)
+        right = cut[k] + np.flatnonzero(side[cut[k] : cut[k + 1]] == 1)
+        yield np.repeat(left, len(right)), np.tile(right, len(left))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows sorted by (grp, i, j) in tables of whole groups, with the cuts between
+    groups and whether each is between two chunks."""
+    names = ("grp", "i", "j")
+
+    def cuts(rows: pa.Table) -> np.ndarray:
+        group = np.stack([rows.column(c).to_numpy() for c in names])
+        return np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1, [rows.num_rows]])
+
+    def whole(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        rows, cut = rows.combine_chunks(), cuts(rows)
+        return rows, cut, (rows.column("i").to_numpy() != rows.column("j").to_numpy())[cut[:-1]]
 
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group (component, i, j); per text its links' weight and the root it hangs on."""
-    limits = [(n, least_matches(n)) for n in range(STEP, HASHES + 1, STEP)]
     held: list[pa.RecordBatch] = []
+    for batch in pieces(batches, column, most):
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        if start := int(cuts(rows)[-2]):  # the last group may go on
+            yield whole(rows.slice(0, start))
+            held = rows.slice(start).to_batches()
+    if held:
+        yield whole(pa.Table.from_batches(held))
+
+
+def _values(rows: pa.Table) -> np.ndarray:
+    return flat(rows.column("values"))[0].view(np.uint32).reshape(rows.num_rows, HASHES)
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of buckets: spanning links of the pairs that pruning leaves."""
+    limits = _limits()
+    for rows, cut, between in _whole_groups(batches, "values", 8 << 20):
+        values, node, n = _values(rows), rows.column("node").to_numpy(), rows.num_rows
+        pairs = [_pruned(values, a, b, limits) for a, b in _lots(cut, rows.column("side").to_numpy(), between)]
+        a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        root = _roots(n, a, b)
+        linked = np.flatnonzero(root != np.arange(n))
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
+
 
-    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        n = rows.num_rows
-        group = np.stack([rows.column(c).to_numpy() for c in ("component", "i", "j")])
-        cut = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1, [n]])
-        key, weight = rows.column("key").to_pylist(), rows.column("copies").to_numpy()
-        data, at = flat(rows.column("values"))
-        values = data.view(np.uint32).reshape(n, HASHES)
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of groups of close texts: per text its links' weight and the root it hangs on."""
+    limits = _limits()
+    for rows, cut, between in _whole_groups(batches, "text", 4 << 20):
+        key, weight, values = rows.column("key").to_pylist(), rows.column("copies").to_numpy(), _values(rows)
         text, begin = flat(rows.column("text"))
         side = rows.column("side").to_numpy()
         out_key, out_links, out_root = [], [], []
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            if hi - lo < 2:
-                continue
-            hashed, first = shingles(text[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo], SHINGLE)
-            sets = [np.unique(hashed[first[k] : first[k + 1]]) for k in range(hi - lo)]
-            a, b = _compare(values[lo:hi], side[lo:hi], bool(group[1, lo] != group[2, lo]), sets, limits)
+        for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            pairs = [_pruned(values[lo:hi], a, b, limits) for a, b in _lots(np.array([0, hi - lo]), side[lo:hi], between[k : k + 1])]
+            a, b = (np.concatenate([p[x] for p in pairs]) if pairs else np.zeros(0, np.int64) for x in (0, 1))
             if not len(a):
                 continue
+            hashed, first = shingles(text[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo], SHINGLE)
+            ok = _jaccard([np.unique(hashed[first[x] : first[x + 1]]) for x in range(hi - lo)], a, b)
+            a, b = a[ok], b[ok]
             links = np.bincount(a, weight[lo + b], hi - lo) + np.bincount(b, weight[lo + a], hi - lo)
-            parent = np.arange(hi - lo)
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                x, y = _root(parent, x), _root(parent, y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-            for k in np.flatnonzero(links):
-                out_key.append(key[lo + k])
-                out_links.append(int(links[k]))
-                out_root.append(key[lo + _root(parent, k)])
+            root = _roots(hi - lo, a, b)
+            for x in np.flatnonzero(links):
+                out_key.append(key[lo + x])
+                out_links.append(int(links[x]))
+                out_root.append(key[lo + root[x]])
         yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_root, pa.binary())], ["key", "links", "root"])
 
-    for batch in pieces(batches, "text", 4 << 20):
-        held.append(batch)
-        rows = pa.Table.from_batches(held)
-        last = [rows.column(c)[rows.num_rows - 1].as_py() for c in ("component", "i", "j")]
-        same = np.ones(rows.num_rows, bool)
-        for c, x in zip(("component", "i", "j"), last, strict=True):
-            same &= rows.column(c).to_numpy() == x
-        start = rows.num_rows - int(same[::-1].argmin()) if not same.all() else 0
-        if start:
-            yield from done(rows.slice(0, start))
-            held = rows.slice(start).to_batches()
-    if held:
-        yield from done(pa.Table.from_batches(held))
+
+def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Members (grp, n: size of the group, node, columns) as sorted rows (grp, i, j,
+    side, columns) for tasks: a group of up to CHUNK at once, a larger one as all
+    pairs of its chunks, so that its rows are repeated once a chunk."""
+    chunked = members.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    chunked = chunked.withColumn("chunk", F.expr("cast(pmod(xxhash64(node, 1), chunks) as int)"))
+    paired = chunked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = (F.col("chunk") > F.col("with")).cast("int").alias("side")
+    paired = paired.select("grp", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), side, *columns)
+    return paired.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+
+
+def _near(classes: DataFrame) -> DataFrame:
+    """(node, component): groups of classes that close signatures link."""
+    in_band = saved(classes.select("node", F.explode("bands").alias("band")), "ngram-bands")
+    bucket = in_band.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor("node").alias("all"), F.min("node").alias("low"), F.max("node").alias("high"))
+    # Buckets with the same members need a look at one of them only.
+    bucket = bucket.filter("n > 1").groupBy("n", "all", "low", "high").agg(F.min("band").alias("band"))
+    chosen = bucket.select("band", "n", F.col("n").alias("_n"))
+    members = salted_join(in_band, chosen, "band", "_n", in_band.count(), F.col("node"))
+    members = members.withColumnRenamed("band", "grp").join(classes.select("node", "values"), "node")
+    return components(_dealt(members, ["node", "values"]).mapInArrow(_close, "a long, b long"))
 
 
 def _rooted(docs: DataFrame) -> DataFrame:
@@ -180,30 +244,24 @@ def _rooted(docs: DataFrame) -> DataFrame:
     keyed = saved(docs.select("doc_id", "key"), "ngram-keys")
     signed = docs.mapInArrow(_signatures, "key binary, values binary, bands array<bigint>")
     # Copies carry equal values, so any of a class will do.
-    classes = saved(signed.groupBy("key").agg(F.count("*").alias("copies"), F.first("values").alias("values"), F.first("bands").alias("bands")), "ngram-classes")
-
-    in_band = classes.select(F.xxhash64("key").alias("node"), F.explode("bands").alias("band"))
-    shared = in_band.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").drop("last")
-    edges = in_band.join(shared, "band").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    near = components(edges)
-    members = classes.drop("bands").withColumn("node", F.xxhash64("key")).join(near, "node")
+    classes = signed.groupBy("key").agg(F.count("*").alias("copies"), F.first("values").alias("values"), F.first("bands").alias("bands"))
+    classes = saved(classes.withColumn("node", F.xxhash64("key")), "ngram-classes")
+    near = _near(classes)
 
-    sizes = near.groupBy("component").agg(F.count("*").alias("_n"))
-    chosen = members.join(sizes, "component").withColumn("chunks", F.ceil(F.col("_n") / CHUNK).cast("int"))
-    chosen = chosen.withColumn("chunk", F.expr("cast(pmod(xxhash64(key, 1), chunks) as int)"))
+    sizes = near.groupBy("component").agg(F.count("*").alias("n"))
+    members = salted_join(near, sizes.withColumn("_n", F.col("n")), "component", "_n", near.count(), F.col("node"))
+    chosen = classes.drop("bands").join(members.withColumnRenamed("component", "grp"), "node")
     # The texts: one document of each chosen class.
     heads = keyed.join(chosen.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("head"))
-    texts = docs.join(heads.select(F.col("key").alias("_key"), "head"), (F.col("doc_id").eqNullSafe(F.col("head"))) & (F.col("key") == F.col("_key"))).select("key", "text").dropDuplicates(["key"])
-    chosen = chosen.join(texts, "key")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = chosen.select("component", "chunks", "chunk", "key", "copies", "values", "text", other.alias("with"))
-    dealt = dealt.select("component", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), (F.col("chunk") > F.col("with")).cast("int").alias("side"), "key", "copies", "values", "text", "chunks")
-    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = saved(dealt.drop("chunks").mapInArrow(_verified, "key binary, links long, root binary"), "ngram-links")
+    heads = heads.withColumnRenamed("key", "_key")
+    texts = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("key") == F.col("_key"))).select("key", "text").dropDuplicates(["key"])
+    dealt = _dealt(chosen.join(texts, "key"), ["key", "copies", "values", "text"])
+    found = saved(dealt.mapInArrow(_verified, "key binary, links long, root binary"), "ngram-links")
 
     whole = components(found.select(F.hex("key").alias("a"), F.hex("root").alias("b")))
+    whole = whole.select(F.unhex("node").alias("key"), F.unhex("component").alias("root"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    has = classes.select("key", "copies").join(links, "key", "left").join(whole.select(F.unhex("node").alias("key"), F.unhex("component").alias("root")), "key", "left")
+    has = classes.select("key", "copies").join(links, "key", "left").join(whole, "key", "left")
     has = has.select("key", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return keyed.join(has, "key", "left")
 
