@@ -1,10 +1,11 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 The test strings are windows of benchmark words. Strings of one length share a
-shift table over blocks of two words and buckets keyed by a string's last
-block. A position whose block has a shift above zero can't end a string and is
-skipped; at the others the bucket's strings are compared word by word, and a
-hit is confirmed on the characters.
+shift table over blocks of two words: it says how far the search may go on from
+a block without passing the end of any string. Where it says zero, a string may
+end; the hash of its last block selects a bucket of strings, which are compared
+word by word, and a hit is confirmed on the characters. Stretches of all texts
+of a batch are searched side by side, each at its own position.
 """
 
 from __future__ import annotations
@@ -16,119 +17,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.bytehash import U, flat, kind_table, mix, pieces, prefix, substring, word_bounds
-from cairnlake.llm.common import table
+from cairnlake.llm.bytehash import U, constants, flat, kind_table, mix, pieces, word_hashes
+from cairnlake.llm.common import saved, table
 
 WINDOW = 10
-#: Benchmark texts go to every task; a larger benchmark is searched in blocks of this size.
-BLOCK_BYTES = 64 << 20
+#: Benchmark texts that go to the tasks at once; a larger benchmark is searched
+#: in blocks of this size, one after the other. Tables take about 7 bytes a byte.
+BLOCK_BYTES = 16 << 20
 
 WORD = kind_table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
-SHIFT_BITS = 20
-
-
-def _lowered_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data = LOWER[data]
-    starts, ends, first = word_bounds(data, at, WORD)
-    return data, starts, ends, first, substring(prefix(data), starts, ends)
-
-
-def split_words(text: str | None) -> list[bytes]:
-    """The words of one text."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    data, starts, ends, _, _ = _lowered_words(data, np.array([0, len(data)]))
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+#: End positions that one stretch of a text has.
+STRETCH = 128
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, value) of all values from first to last - 1 of each range."""
+    counts = np.maximum(last - first, 0)
+    which = np.repeat(np.arange(len(first)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + first[which]
+
+
+class _Strings:
+    """Shift table and buckets of the windows of one length ``m``."""
+
+    def __init__(self, m: int, words: np.ndarray, begin: np.ndarray, item: np.ndarray) -> None:
+        self.m, self.block = m, min(2, m)
+        by = constants(m, 19)
+        whole = np.zeros(len(begin), U)
+        for k in range(m):
+            whole += words[begin + k] * by[k]
+        # Equal windows become one, with the numbers of their items.
+        order = np.lexsort((item, whole))
+        whole, begin, item = whole[order], begin[order], item[order]
+        fresh = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+        ends = np.concatenate([fresh[1:], [len(whole)]])
+        last = self.code(words, begin[fresh] + m - 1)
+        order = np.argsort(last, kind="stable")
+        self.last, self.begin = last[order], begin[fresh][order].astype(np.int32)
+        which, place = _ranges(fresh[order], ends[order])
+        self.items, self.item_at = item[place].astype(np.int32), np.searchsorted(which, np.arange(len(fresh) + 1))
+        bits = int(np.clip(np.ceil(np.log2(8.0 * m * len(fresh) + 1)), 12, 24))
+        self.mask = U((1 << bits) - 1)
+        self.shift = np.full(1 << bits, m - self.block + 1, np.int32)
+        for k in range(self.block - 1, m):
+            np.minimum.at(self.shift, (self.code(words, begin[fresh] + k) & self.mask).astype(np.int64), m - 1 - k)
+
+    def code(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the blocks that end at the words ``end``."""
+        return mix(words[end] * U(3) + words[end - 1]) if self.block == 2 else mix(words[end])
+
+    def ends(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The words at which a string may end, by the shift table."""
+        text, begin = _ranges(np.zeros(len(first) - 1, np.int64), -(-np.maximum(np.diff(first) - self.m + 1, 0) // STRETCH))
+        at = first[text] + self.m - 1 + begin * STRETCH
+        stop = np.minimum(at + STRETCH, first[text + 1])
+        found = []
+        while len(at):
+            step = self.shift[(self.code(words, at) & self.mask).astype(np.int64)]
+            found.append(at[step == 0])
+            at = at + np.maximum(step, 1)
+            live = at < stop
+            at, stop = at[live], stop[live]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 class Tables:
-    """Shift tables and buckets for the windows of (item_id, text) rows."""
+    """Shift tables and buckets for the windows of (item_id, text) rows; items
+    without an id are named by the empty string."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
-        windows: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for item, text in items:
-            words = split_words(text)
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1) if m else ():
-                windows.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add("" if item is None else str(item))
-        vocabulary = sorted({w for by in windows.values() for ws in by for w in ws})
-        number = {w: k + 1 for k, w in enumerate(vocabulary)}
-        joined = np.frombuffer(b"".join(vocabulary), np.uint8)
-        ends = np.cumsum([len(w) for w in vocabulary], dtype=np.int64) if vocabulary else np.zeros(0, np.int64)
-        hashes = substring(prefix(joined), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if vocabulary else np.zeros(0, U)
-        order = np.argsort(hashes)
-        #: Hashes of the known words in order, and their numbers from 1.
-        self.hashes, self.numbers = hashes[order], order + 1
-        self.lengths = []
-        for m, by in sorted(windows.items()):
-            patterns = np.array([[number[w] for w in ws] for ws in by], np.int64)
-            block = min(2, m)
-            shift = np.full(1 << SHIFT_BITS, m - block + 1, np.uint8 if m < 250 else np.int64)
-            for end in range(block - 1, m):
-                np.minimum.at(shift, self._code(patterns[:, end - block + 1 : end + 1]), m - 1 - end)
-            last = self._code(patterns[:, m - block : m])
-            by_last = np.argsort(last, kind="stable")
-            names = list(by)
-            self.lengths.append((m, block, shift, last[by_last], patterns[by_last], [names[k] for k in by_last], [sorted(by[names[k]]) for k in by_last]))
-
-    @staticmethod
-    def _code(block: np.ndarray) -> np.ndarray:
-        code = np.zeros(len(block), U)
-        for k in range(block.shape[1]):
-            code = mix(code + block[:, k].astype(U) + U(k + 1))
-        return (code & U((1 << SHIFT_BITS) - 1)).astype(np.int64)
+        self.names = ["" if item is None else str(item) for item, _ in items]
+        data, at = flat(pa.array([text for _, text in items], pa.large_string()))
+        data = LOWER[data]
+        self.words, starts, ends, first = word_hashes(data, at, WORD)
+        self.data, self.starts, self.ends = data, starts.astype(np.int32), ends.astype(np.int32)
+        counts = np.diff(first)
+        sizes = np.minimum(counts, window)
+        self.strings = []
+        for m in np.unique(sizes[sizes > 0]).tolist():
+            some = np.flatnonzero(sizes == m)
+            which, begin = _ranges(first[some], first[some] + counts[some] - m + 1)
+            self.strings.append(_Strings(m, self.words, begin, some[which]))
 
     def occurrences(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, list[str]]]]:
         """(word counts, [(text, first word, end word, item ids)])."""
-        data, starts, ends, first, hashes = _lowered_words(data, at)
-        counts = np.diff(first)
-        if not len(self.hashes) or not len(hashes):
-            return counts, []
-        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        ids = np.where(self.hashes[place] == hashes, self.numbers[place], 0)
-        text = np.repeat(np.arange(len(counts)), counts)
-        raw, found = None, []
-        for m, block, shift, last, patterns, names, items in self.lengths:
-            ends_at = np.arange(m - 1, len(ids))
-            if not len(ends_at):
-                continue
-            # Words that no string has can't be in a block of one.
-            live = ids[ends_at] > 0
-            if block == 2:
-                live &= ids[ends_at - 1] > 0
-            ends_at = ends_at[live]
-            code = self._code(np.stack([ids[ends_at - block + 1 + k] for k in range(block)], 1))
-            stop = shift[code] == 0
-            ends_at, code = ends_at[stop], code[stop]
-            same_text = text[ends_at] == text[ends_at - m + 1]
-            ends_at, code = ends_at[same_text], code[same_text]
-            lo, hi = np.searchsorted(last, code), np.searchsorted(last, code, "right")
-            which = np.repeat(np.arange(len(ends_at)), hi - lo)
-            pattern = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]
-            begin = ends_at[which] - m + 1
-            for k in range(m):
-                ok = ids[begin + k] == patterns[pattern, k]
-                begin, pattern = begin[ok], pattern[ok]
+        data = LOWER[data]
+        words, starts, ends, first = word_hashes(data, at, WORD)
+        raw, own, found = None, None, []
+        for s in self.strings:
+            end = s.ends(words, first)
+            code = s.code(words, end)
+            which, k = _ranges(np.searchsorted(s.last, code), np.searchsorted(s.last, code, "right"))
+            begin, pattern = end[which] - s.m + 1, s.begin[k].astype(np.int64)
+            for j in range(s.m):
+                same = words[begin + j] == self.words[pattern + j]
+                begin, pattern, k = begin[same], pattern[same], k[same]
             if len(begin) and raw is None:
-                raw = data.tobytes()
-            for b, p in zip(begin.tolist(), pattern.tolist(), strict=True):
-                if all(raw[starts[b + k] : ends[b + k]] == w for k, w in enumerate(names[p])):
-                    found.append((int(text[b]), b - int(first[text[b]]), b - int(first[text[b]]) + m, items[p]))
-        return counts, found
+                raw, own = data.tobytes(), self.data.tobytes()
+            text = np.searchsorted(first, begin, "right") - 1
+            for d, b, p, n in zip(text.tolist(), begin.tolist(), pattern.tolist(), k.tolist(), strict=True):
+                if all(raw[starts[b + j] : ends[b + j]] == own[self.starts[p + j] : self.ends[p + j]] for j in range(s.m)):
+                    names = [self.names[i] for i in s.items[s.item_at[n] : s.item_at[n + 1]]]
+                    found.append((d, b - int(first[d]), b - int(first[d]) + s.m, names))
+        return np.diff(first), found
+
+
+HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+FOUND_SQL = "n_words long, items array<string>, hits array<struct<start:int,end:int>>"
 
 
 class _Search:
-    def __init__(self, tables) -> None:
-        self.tables = tables
+    """Adds n_words, items and hits to what an earlier block of the benchmark
+    found; the last block drops the text."""
+
+    def __init__(self, tables, last: bool) -> None:
+        self.tables, self.last = tables, last
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = self.tables.value
         for batch in pieces(batches, "text"):
-            counts, found = tables.occurrences(*flat(batch.column(batch.schema.get_field_index("text"))))
-            n = batch.num_rows
-            items: list[set] = [set() for _ in range(n)]
-            spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+            counts, found = tables.occurrences(*flat(batch.column("text")))
+            items = [set(x) for x in batch.column("items").to_pylist()]
+            spans = [[(x["start"], x["end"]) for x in some] for some in batch.column("hits").to_pylist()]
             for text, a, b, names in found:
                 items[text].update(names)
                 spans[text].append((a, b))
@@ -141,11 +152,19 @@ class _Search:
                     else:
                         merged.append({"start": a, "end": b})
                 out.append(merged)
-            keep = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(counts, pa.int64()), pa.array([sorted(x, key=str.encode) for x in items], pa.list_(pa.string())), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                [*(name for name in batch.schema.names if name != "text"), "n_words", "items", "hits"],
-            )
+            kept = ["doc_id"] if self.last else ["doc_id", "text"]
+            known = [pa.array(counts, pa.int64()), pa.array([sorted(x, key=str.encode) for x in items], pa.list_(pa.string())), pa.array(out, HITS)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *known], [*kept, "n_words", "items", "hits"])
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int, window: int) -> Iterator[tuple[Tables, bool]]:
+    """Tables for the benchmark's blocks, each with whether it is the last."""
+    lined = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = lined.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    for k in range(n):
+        rows = lined.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        yield Tables([(r["item_id"], r["text"]) for r in rows], window), k == n - 1
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -156,34 +175,25 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     A-Z count as a-z; words are runs of ``[0-9a-z]`` and of characters beyond
     ASCII. A window is 10 neighbouring words of an item, all its words if it has
     fewer. Null texts have no words; items without words have no window; items
-    with a null id are named by the empty string. Rows may repeat.
+    with a null id are named by the empty string. Rows may repeat, and each is
+    searched for itself. An empty table gives no rows, an empty benchmark no hits.
+    Other columns are not read. Long texts are hashed in segments.
 
     The benchmark's size is looked up first. Up to ``block_bytes`` it goes to
-    the tasks in one piece; a larger one is searched block by block, with the
-    texts keyed by (doc_id, hash of the text), and the blocks' hits united.
+    the tasks in one piece. A larger one is searched block by block: each pass
+    adds its hits and is written to the shared folder, so only one block's tables
+    are held at a time.
     """
     spark = docs.sparkSession
-    lined = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = lined.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    schema = "doc_id long, n_words long, items array<string>, hits array<struct<start:int,end:int>>"
-    search = lambda rows: _Search(spark.sparkContext.broadcast(Tables([(r["item_id"], r["text"]) for r in rows], window)))
-    if n_blocks == 1:
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search(lined.collect()), schema)
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    parts = None
-    for k in range(n_blocks):
-        rows = lined.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        part = keyed.mapInArrow(search(rows), schema.replace("n_words", "th long, n_words"))
-        parts = part if parts is None else parts.unionByName(part)
-    merge = F.aggregate(
-        F.sort_array(F.flatten(F.collect_list("hits"))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= x["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x))),
-    )
-    united = parts.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merge.alias("hits"))
-    united = united.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    return keyed.drop("text").join(united, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "n_words", "items", "hits")
+    nothing = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("hits")]
+    found = docs.select(F.col("doc_id").cast("long"), "text", *nothing)
+    for tables, last in _blocks(benchmark, block_bytes, window):
+        sent = spark.sparkContext.broadcast(tables)
+        found = found.mapInArrow(_Search(sent, last), f"doc_id long, {'' if last else 'text string, '}{FOUND_SQL}")
+        if not last:
+            found = saved(found, "benchmark-block")
+            sent.unpersist()
+    return found
 
 
 class _Clean:
@@ -206,16 +216,17 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     row is judged by its own text, also where rows share a doc_id or have none.
 
     Windows are those of ``find_benchmark``; what one block of a large benchmark
-    leaves is searched for the next.
+    leaves is searched for the next. Null and empty texts stay, repeated rows are
+    judged alike, an empty table gives no rows, an empty benchmark removes none,
+    and columns of any name are kept.
     """
     spark = docs.sparkSession
-    lined = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = lined.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    for k in range(n_blocks):
-        rows = lined.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        tables = spark.sparkContext.broadcast(Tables([(r["item_id"], r["text"]) for r in rows], window))
-        docs = docs.mapInArrow(_Clean(tables), docs.schema)
+    for tables, last in _blocks(benchmark, block_bytes, window):
+        sent = spark.sparkContext.broadcast(tables)
+        docs = docs.mapInArrow(_Clean(sent), docs.schema)
+        if not last:
+            docs = saved(docs, "benchmark-clean")
+            sent.unpersist()
     return docs
 
 
