@@ -1,11 +1,12 @@
 """Mixing sources to target weights.
 
-Tokens of each source are packed into fixed-length blocks. Every slot of an
-output shard draws its source, so the counts of a shard are multinomial; the
-slots of a source, numbered across shards, walk pseudorandom permutations of
-its block indexes (one permutation an epoch), and blocks are joined to slots
-by index. All steps are DataFrame expressions; only one row per source reaches
-the driver, and sources are bounded by ``MAX_SOURCES``.
+Tokens of each source are packed into blocks of a fixed length. The slots of
+the output, as many of each source as its target holds, are dealt to positions
+by a pseudorandom permutation: the counts of a shard are a multinomial draw
+given the totals of the sources, alike in every shard. The slots of a source,
+numbered by that permutation, walk pseudorandom permutations of its block
+indexes (one permutation an epoch), and blocks are joined to slots by index. All
+steps are DataFrame expressions; the driver sees a few sums.
 """
 
 from __future__ import annotations
@@ -17,41 +18,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cairnlake.llm.common import SPACE, saved, table, word_count, words
+from cairnlake.llm.common import saved, table, unused, word_count, words
 
-#: A mix names its sources; more than this is refused.
-MAX_SOURCES = 100_000
 #: Rows that are ordered together while blocks are packed.
-ROWS_PER_BIN = 20_000
-ROUNDS = 16
-
-
-def share_out(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """Targets in proportion to the weights that sum to ``share * sum(sizes)``,
-    none above ``most`` times its size; the excess goes to the others by weight."""
-    left, target, free = share * sum(sizes), [0.0] * len(sizes), [i for i in range(len(sizes))]
-    while free:
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / total > most * sizes[i]] if total else free
-        if not over:
-            for i in free:
-                target[i] = left * weights[i] / total
-            break
-        for i in over:
-            target[i] = float(most * sizes[i])
-        left -= sum(target[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return target
+ROWS_PER_BIN = 4_000
+ROUNDS = 12
+#: Words of a block, at most: a source's blocks are of one length, which divides
+#: it into equal parts, so that a source of a few blocks meets its target too.
+BLOCK_WORDS = 128
 
 
 @dataclass(frozen=True)
 class Mix:
-    """``docs``: a row per document with source_no, start, size and the target;
-    ``picks``: (source_no, block, shard, slot), a row per slot."""
+    """``docs``: a row per document with source_no, start, size, the target and the
+    length of the source's blocks (n_block); ``picks``: (source_no, block, shard,
+    slot, n_take), a row per slot, where n_take is the words it takes of the block
+    if that is not all."""
 
     docs: DataFrame
     picks: DataFrame
-    block_words: int
 
 
 def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
@@ -66,128 +51,152 @@ def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, swap)
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block_words: int = 128, seed: int = 20240131) -> Mix:
-    """Plan the mix of ``docs`` (doc_id, source and size columns, and any others).
+def _running(df: DataFrame, order: list[Column], amounts: dict[str, Column], tag: str) -> DataFrame:
+    """``df`` with the sum of each amount over the rows before, in the given order.
 
-    Sources in code point order, null last, take ``weights`` in turn. A document
-    without words is taken 0 times. Rows that repeat are separate documents.
-    An empty table, or one without words, gives no slots.
+    The rows are dealt to ranges of the order; sums go over the rows of a range
+    and over the ranges, so no window holds all rows.
     """
-    spark = docs.sparkSession
-    per = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
-    rows = per.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: give docs a coarser source")
-    rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [int(r["size"] or 0) for r in rows]
-    target = share_out(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, most)
-    blocks = [-(-s // block_words) for s in sizes]
-    slots = [min(round(t * b / s) if s else 0, math.floor(most) * b) for t, b, s in zip(target, blocks, sizes, strict=True)]
-    schema = "source string, source_no int, source_size long, target double, blocks long, bins long"
-    known = spark.createDataFrame([(r["source"], i, sizes[i], float(target[i]), blocks[i], -(-int(r["rows"]) // ROWS_PER_BIN)) for i, r in enumerate(rows)], schema)
-
-    # Packing: word offsets within a source, by bins of documents and within a bin.
-    out = docs.join(known.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    ranged = saved(ranged, tag)
+    totals = ranged.groupBy("_range").agg(*[F.sum(x).alias(f"_all_{name}") for name, x in amounts.items()])
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_all_{name}").over(before), F.lit(0)).alias(f"_all_{name}") for name in amounts])
+    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.withColumns({f"_in_{name}": F.coalesce(F.sum(x).over(inside), F.lit(0)) for name, x in amounts.items()}).join(totals, "_range")
+    return out.withColumns({name: F.col(f"_in_{name}") + F.col(f"_all_{name}") for name in amounts}).drop("_range", *[f"_{k}_{name}" for name in amounts for k in ("in", "all")])
+
+
+def _targets(sources: DataFrame, share: float, most: float) -> DataFrame:
+    """Adds the target: ``share`` of all sizes by weight, none above ``most`` times
+    its size; the excess goes to the others by weight until none is above.
+
+    A source is at its limit if ``level`` times its weight is above it, and each
+    round raises the level: the state is one number, however many sources there are.
+    """
+    size, weight, limit = F.col("source_size"), F.col("weight"), F.col("source_size") * most
+    total, free = sources.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0.0))).first()
+    level, n_over = (share * total / free if free else 0.0), -1
+    while True:
+        over = F.lit(level) * weight > limit
+        capped, free, n = sources.agg(F.coalesce(F.sum(F.when(over, limit)), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, weight)), F.lit(0.0)), F.count_if(over)).first()
+        if n == n_over or not free:
+            break
+        level, n_over = (share * total - capped) / free, n
+    return sources.withColumn("target", F.least(F.lit(level) * weight if free else limit, limit).cast("double"))
+
+
+def _sources(docs: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """One row per source: source, source_no, source_size, target, n_block (words of
+    a block), blocks, slots, left (words of the last slot, if not a whole block),
+    at (slots of the sources before) and bins."""
+    per = docs.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count("*").alias("rows"))
+    order = [F.col("source").isNull(), F.col("source")]
+    per = _running(per, order, {"source_no": F.lit(1).cast("long")}, "mix-sources")
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    out = _targets(saved(per.withColumn("weight", turn), "mix-weights"), share, most)
+    blocks = F.ceil(F.col("source_size") / F.lit(BLOCK_WORDS))
+    out = out.withColumn("blocks", blocks).withColumn("n_block", F.ceil(F.col("source_size") / F.greatest("blocks", F.lit(1))))
+    wanted = F.least(F.round("target").cast("long"), F.floor(F.col("source_size") * most).cast("long"))
+    out = out.withColumn("_wanted", wanted).withColumn("left", F.col("_wanted") % F.greatest("n_block", F.lit(1)))
+    out = out.withColumn("slots", F.when(F.col("blocks") > 0, F.ceil(F.col("_wanted") / F.greatest("n_block", F.lit(1)))).otherwise(F.lit(0)).cast("long"))
+    out = out.withColumn("bins", F.ceil(F.col("rows") / F.lit(ROWS_PER_BIN))).drop("_wanted", "weight", "rows")
+    return saved(_running(out, [F.col("source_no")], {"at": F.col("slots")}, "mix-slots"), "mix-plan")
+
+
+def _packed(docs: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """The documents with the place ``start`` of their words in their source."""
+    known = sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target", "n_block", "bins")
+    out = docs.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # An order of its own mixes neighbours; bins of it are ordered one by one.
     out = out.withColumn("_mixed", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_bin", F.pmod("_mixed", "bins"))
     sums = out.groupBy("source_no", "_bin").agg(F.sum("size").alias("_sum"))
     before = W.partitionBy("source_no").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("source_no", "_bin", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_from"))
     within = W.partitionBy("source_no", "_bin").orderBy("_mixed", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     out = out.withColumn("_in_bin", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["source_no", "_bin"])
-    out = out.withColumn("start", F.col("_from") + F.col("_in_bin")).drop("_mixed", "_bin", "_in_bin", "_from", "bins", "blocks")
+    return out.withColumn("start", F.col("_from") + F.col("_in_bin")).drop("_mixed", "_bin", "_in_bin", "_from", "bins")
 
-    # Drawing: a source per slot.
-    total = sum(slots)
-    empty = spark.createDataFrame([], "source_no int, block long, shard long, slot long")
+
+def _picks(spark: SparkSession, sources: DataFrame, seed: int) -> DataFrame:
+    total, n = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count_if(F.col("slots") > 0)).first()
     if not total:
-        return Mix(out, empty, block_words)
-    alias = _alias_table(slots)
-    n, per_shard = len(slots), max(1, math.isqrt(total))
-    keep = F.lit([float(a[0]) for a in alias])
-    other = F.lit([int(a[1]) for a in alias])
-    unit = lambda salt: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), F.col("slot")), 11).cast("double") * F.lit(2.0**-53))
-    drawn = spark.range(total).withColumnRenamed("id", "slot").withColumn("shard", F.expr(f"slot div {per_shard}"))
-    drawn = drawn.withColumn("_cell", F.least(F.floor(unit(1) * n), F.lit(n - 1)).cast("int"))
-    drawn = drawn.withColumn("source_no", F.when(unit(2) < F.get(keep, F.col("_cell")), F.col("_cell")).otherwise(F.get(other, F.col("_cell")).cast("int"))).drop("_cell")
-    counts = drawn.groupBy("source_no", "shard").agg(F.count("*").alias("_n"))
-    got = dict.fromkeys(range(n), 0) | {r["source_no"]: r["_n"] for r in counts.groupBy("source_no").agg(F.sum("_n").alias("_n")).collect()}
-
-    # Numbering the slots of a source: shards before, then within the shard.
-    ahead = W.partitionBy("source_no").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("source_no", "shard", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = W.partitionBy("source_no", "shard").orderBy("slot")
-    drawn = drawn.withColumn("_k", F.row_number().over(inside) - 1).join(counts, ["source_no", "shard"]).withColumn("_k", F.col("_k") + F.col("_ahead")).drop("_ahead")
-
-    # What a source drew beyond its target is dealt to those that drew less.
-    over, under, a, b = [], [], 0, 0
-    for i in range(n):
-        more = got[i] - slots[i]
-        over.append(a)
-        if more > 0:
-            a += more
-        else:
-            if more < 0:
-                under.append((b, i, got[i]))
-            b -= more
-    if under:
-        wanted = F.lit([int(x) for x in slots])
-        offset = F.lit([int(x) for x in over])
-        drawn = drawn.withColumn("_over", F.when(F.col("_k") >= F.get(wanted, F.col("source_no")), F.get(offset, F.col("source_no")) + F.col("_k") - F.get(wanted, F.col("source_no"))))
-        starts, to, had = (F.lit([int(x[j]) for x in under]) for j in range(3))
-        drawn = drawn.withColumn("_row", F.when(F.col("_over").isNotNull(), F.array_size(F.filter(starts, lambda s: s <= F.col("_over"))) - 1))
-        moved = F.col("_row").isNotNull()
-        drawn = drawn.withColumn("_k", F.when(moved, F.get(had, F.col("_row")) + F.col("_over") - F.get(starts, F.col("_row"))).otherwise(F.col("_k")).cast("long"))
-        drawn = drawn.withColumn("source_no", F.when(moved, F.get(to, F.col("_row"))).otherwise(F.col("source_no")).cast("int")).drop("_over", "_row")
-
-    # Block indexes: an epoch goes through all blocks of the source once.
-    size = F.get(F.lit([int(x) for x in blocks]), F.col("source_no")).cast("long")
-    drawn = drawn.withColumn("_blocks", size).withColumn("_epoch", F.expr("_k div _blocks")).withColumn("_at", F.col("_k") % F.col("_blocks"))
+        return spark.createDataFrame([], "source_no long, block long, shard long, slot long, n_take long")
+    drawn = spark.range(total).withColumnRenamed("id", "slot").withColumn("shard", F.expr(f"slot div {max(1, math.isqrt(total))}"))
+    drawn = drawn.withColumn("_place", permuted(F.col("slot"), F.lit(total), F.lit(seed).cast("long")))
+    # The source whose range holds the place: sources are listed by cells of the
+    # places, a few cells a source, so that this is a join on the cell.
+    width = max(1, total // (4 * n))
+    cells = F.explode(F.sequence(F.expr(f"at div {width}"), F.expr(f"(at + slots - 1) div {width}")))
+    ranges = sources.filter("slots > 0").select("source_no", "at", "slots", "blocks", "left", cells.alias("_cell"))
+    drawn = drawn.withColumn("_cell", F.expr(f"_place div {width}")).join(ranges, "_cell").filter("_place >= at and _place < at + slots")
+    # An epoch goes through all blocks of the source once.
+    drawn = drawn.withColumn("_k", F.col("_place") - F.col("at")).withColumn("_epoch", F.expr("_k div blocks"))
     key = F.xxhash64(F.lit(seed), F.col("source_no"), F.col("_epoch"))
-    picks = drawn.withColumn("_key", key).select("source_no", permuted(F.col("_at"), F.col("_blocks"), F.col("_key")).alias("block"), "shard", "slot")
-    return Mix(out, picks, block_words)
+    block = permuted(F.col("_k") % F.col("blocks"), F.col("blocks"), F.col("_key"))
+    last = (F.col("_k") == F.col("slots") - 1) & (F.col("left") > 0)
+    return drawn.withColumn("_key", key).select("source_no", block.alias("block"), "shard", "slot", F.when(last, F.col("left")).alias("n_take"))
+
 
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20240131) -> Mix:
+    """Plan the mix of ``docs`` (doc_id, source and size columns, and any others).
 
-def _alias_table(counts: list[int]) -> list[tuple[float, int]]:
-    """For each cell the chance to stay and the other source."""
-    n, total = len(counts), sum(counts)
-    p = [c * n / total for c in counts]
-    out = [(1.0, i) for i in range(n)]
-    small, large = [i for i in range(n) if p[i] < 1], [i for i in range(n) if p[i] >= 1]
-    while small and large:
-        s, g = small.pop(), large.pop()
-        out[s] = (p[s], g)
-        p[g] -= 1 - p[s]
-        (small if p[g] < 1 else large).append(g)
-    return out
+    Sources in code point order, null last, take ``weights`` in turn. A document
+    without words, or of null size, is taken 0 times. Rows that repeat are separate
+    documents. An empty table, or one without words, gives no slots. Long texts
+    count like others: a document may span any number of blocks. Other columns
+    are kept; those named like columns of the plan (source_no, source_size,
+    target, n_block, start) are replaced by these.
+    """
+    plan = ("source_no", "source_size", "target", "n_block", "start")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in plan]).withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
+    sources = _sources(docs, weights, share, most)
+    return Mix(_packed(docs, sources, seed), _picks(docs.sparkSession, sources, seed))
 
 
-def _pieces(docs: DataFrame, block_words: int) -> DataFrame:
-    """A row per document and block it lies in, with the words it has there."""
-    first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
-    out = docs.filter(F.col("size") > 0).withColumn("block", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("start"), F.col("block") * block_words)
-    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    return out.withColumn("low", low).withColumn("n", high - low)
+def _reach() -> tuple[Column, Column]:
+    """First and last block that a document lies in."""
+    return F.expr("start div n_block"), F.expr("(start + size - 1) div n_block")
 
 
 def taken_words(mix: Mix) -> DataFrame:
     """The documents with ``taken``: words of theirs in taken blocks, repeats counted."""
-    times = mix.picks.groupBy("source_no", "block").agg(F.count("*").alias("_times"))
-    pieces = _pieces(mix.docs.select("source_no", "start", "size"), mix.block_words).join(times, ["source_no", "block"])
-    taken = pieces.groupBy("source_no", "start").agg(F.sum(F.col("n") * F.col("_times")).alias("_taken"))
+    times = mix.picks.groupBy("source_no", "block").agg(F.count_if(F.col("n_take").isNull()).alias("_times"), F.coalesce(F.max("n_take"), F.lit(0)).alias("_part"))
+    pieces = mix.docs.select("source_no", "start", "size", "n_block").filter("size > 0").withColumn("block", F.explode(F.sequence(*_reach())))
+    low = F.greatest(F.col("start"), F.col("block") * F.col("n_block"))
+    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("n_block"))
+    pieces = pieces.withColumn("_low", low).withColumn("_high", high).join(times, ["source_no", "block"])
+    part = F.greatest(F.lit(0), F.least(F.col("_high"), F.col("block") * F.col("n_block") + F.col("_part")) - F.col("_low"))
+    taken = pieces.groupBy("source_no", "start").agg(F.sum((F.col("_high") - F.col("_low")) * F.col("_times") + part).alias("_taken"))
     taken = taken.withColumnsRenamed({"source_no": "_no", "start": "_start"})
     mine = (F.col("source_no") == F.col("_no")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
-    return mix.docs.join(taken, mine, "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_no", "_start", "_taken", "source_no", "start")
+    return mix.docs.join(taken, mine, "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_no", "_start", "_taken", "source_no", "start", "n_block")
 
 
 def mixed_blocks(mix: Mix, text_col: str = "text") -> DataFrame:
-    """The mix itself: (shard, slot, source, block, n_words, doc_ids, text) with a row per slot."""
-    pieces = _pieces(mix.docs, mix.block_words)
-    inside = F.slice(words(F.col(text_col)), (F.col("low") - F.col("start") + 1).cast("int"), F.col("n").cast("int"))
-    pieces = pieces.select("source_no", "block", "source", "low", "n", "doc_id", F.array_join(inside, " ").alias("part"))
-    filled = pieces.groupBy("source_no", "block").agg(F.first("source").alias("source"), F.sum("n").alias("n_words"), F.sort_array(F.collect_list(F.struct("low", "doc_id", "part"))).alias("_p"))
+    """The mix itself: (shard, slot, source, block, n_words, doc_ids, text) with a row
+    per slot; words are set apart by one space. Each text is split into words once
+    and cut into the parts that lie in its blocks."""
+    held = unused(mix.docs, "_words")
+    docs = mix.docs.filter("size > 0").select("source_no", "source", "start", "size", "n_block", "doc_id", words(F.col(text_col)).alias(held))
+
+    def part(block: Column) -> Column:
+        low = F.greatest(F.col("start"), block * F.col("n_block"))
+        high = F.least(F.col("start") + F.col("size"), (block + 1) * F.col("n_block"))
+        some = F.slice(F.col(held), (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(block.alias("block"), low.alias("low"), (high - low).alias("n"), F.array_join(some, " ").alias("part"))
+
+    pieces = docs.select("source_no", "source", "doc_id", F.explode(F.transform(F.sequence(*_reach()), part)).alias("_x"))
+    listed = F.sort_array(F.collect_list(F.struct(*[F.col(f"_x.{c}").alias(c) for c in ("low", "n")], "doc_id", F.col("_x.part").alias("part"))))
+    filled = pieces.groupBy("source_no", F.col("_x.block").alias("block")).agg(F.first("source").alias("source"), listed.alias("_p"))
     out = mix.picks.join(filled, ["source_no", "block"])
-    return out.select("shard", "slot", "source", "block", "n_words", F.col("_p.doc_id").alias("doc_ids"), F.array_join(F.col("_p.part"), " ").alias("text"))
+    first, last = F.get(F.col("_p"), F.lit(0)), F.element_at("_p", -1)
+    out = out.withColumn("n_words", F.least(last["low"] + last["n"] - first["low"], F.coalesce("n_take", F.lit(BLOCK_WORDS))))
+    # Of a block that is taken in part, the words and the documents in that part.
+    whole = F.array_join(F.col("_p.part"), " ")
+    text = F.when(F.col("n_take").isNull(), whole).otherwise(F.array_join(F.slice(F.split(whole, " "), F.lit(1), F.col("n_words").cast("int")), " "))
+    inside = F.filter("_p", lambda p: p["low"] - first["low"] < F.col("n_words"))
+    return out.select("shard", "slot", "source", "block", "n_words", F.transform(inside, lambda p: p["doc_id"]).alias("doc_ids"), text.alias("text"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cairnlake.llm.common import saved, table, word_count
 from cairnlake.llm.decontamination import clean_documents
 from cairnlake.llm.language_id import known_language
-from cairnlake.llm.mixing import plan_mix, taken_words
+from cairnlake.llm.mixing import mixed_blocks, plan_mix
 from cairnlake.llm.ngram_join import keep_one
 from cairnlake.llm.suffix_dedup import without_repeats
 
@@ -38,9 +38,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as words taken of each document, 0 to 2 times its size."""
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    return taken_words(plan_mix(sized)).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """The mix itself: a row per slot of its shards, with the text and the doc_ids."""
+    sized = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"))
+    return mixed_blocks(plan_mix(saved(sized, "mix-sized")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
