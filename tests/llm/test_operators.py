@@ -1,13 +1,14 @@
 """The operators' queries against brute force, on given tables and on odd ones."""
 
 import gzip
+import re
 import zlib
 from collections import defaultdict
 
 import pytest
 from brute import leaks, near, passages, quality, repeats
 
-from cairnlake.llm import decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, url_filters, warc, weak_quality
+from cairnlake.llm import bytehash, decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, url_filters, warc, weak_quality
 from cairnlake.llm.common import words, word_count
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, key string, component long, links long, removed string, th int"
@@ -73,10 +74,29 @@ def test_near_copies(spark, sf, docs):
 def test_near_copies_in_chunks(spark, monkeypatch):
     rows = [(i, " ".join(f"w{k}" for k in range(200) if k != 3 * (i % 17) + 20) + f" end{i % 29}") for i in range(300)]
     monkeypatch.setattr(ngram_join, "CHUNK", 32)
+    monkeypatch.setattr("cairnlake.llm.common.LEAST_HOT", 11)
     got = {r[0]: r[1:] for r in rows_of(ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id", "n_links")}
     assert got == near(rows)
 
 
+def test_chain_of_loose_copies(spark):
+    """Neighbours share two thirds of their text: no links, and few groups to verify."""
+    rows = [(i, " ".join(f"w{k}" for k in range(20 * i, 20 * i + 60))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(ngram_join.jaccard_groups(df), "doc_id", "class_id", "n_links") == [(i, i, 0) for i, _ in rows]
+    keyed = df.selectExpr("doc_id", "unhex(md5(text)) as key", "text")
+    signed = keyed.mapInArrow(ngram_join._signatures, "key binary, values binary, bands array<bigint>")
+    assert ngram_join._near(signed.selectExpr("*", "xxhash64(key) as node")).count() <= len(rows) // 20
+
+
+def test_near_copies_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows and columns of clashing names."""
+    rows = [(None, BASE), (None, NEAR), (7, BASE), (7, LONG), (7, LONG), (None, None), (7, "")]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, node int, copies int")
+    got = sorted(((r["doc_id"] or 0, r["n_links"]) for r in ngram_join.jaccard_groups(df).collect()), key=str)
+    assert got == sorted([(0, 2), (0, 2), (7, 2), (7, 1), (7, 1), (0, 0), (7, 0)], key=str)
+
+
 def test_repeated_bytes(spark, sf, docs):
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert rows_of(suffix_dedup.op10_suffix_array_dedup(spark, sf), *columns) == sorted(repeats(docs))
@@ -99,11 +119,64 @@ def test_repeated_bytes_of_hot_keys(spark, monkeypatch, most):
     assert sorted(got, key=key) == sorted(repeats(rows), key=key)
 
 
+def test_repeated_bytes_of_colliding_rows(spark):
+    """Rows that share an id, or have none, and a 32-bit hash of their texts."""
+    from pyspark.sql import functions as F
+
+    seen, pair = {}, None
+    texts = spark.range(400_000).select(F.concat(F.lit("t"), F.col("id").cast("string"), F.lit("x" * 3)).alias("t")).select("t", F.hash("t").alias("h"))
+    for t, h in texts.toPandas().itertuples(index=False):
+        if h in seen:
+            pair = (seen[h], t)
+            break
+        seen[h] = t
+    tail = "".join(chr(97 + i * i * 7 % 26) for i in range(253))
+    # Equal ends after equal lengths keep the hash equal.
+    a, b = (x + tail for x in pair)
+    rows = [(None, a), (None, b[:150] + "?"), (7, "zz" + a), (7, b), (7, None), (8, ""), (8, "")]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, key int, th string")).collect()
+    got = [(r["doc_id"], r["n_bytes"], sum(x["end"] - x["start"] for x in r["removed"]), len(r["removed"]), r["kept_sha256"]) for r in out]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(repeats(rows), key=key)
+
+
+def test_repeated_bytes_in_pieces(spark, monkeypatch):
+    """A long text is listed in pieces; where they are cut makes no difference."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    long = "".join(chr(97 + (i * i * 7 + i // 31) % 26) for i in range(5_000))
+    rows = [(1, long), (2, long[1200:2600]), (3, "y" * 90 + long[690:910]), (4, long[3000:3199]), (5, "ab" * 900)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], sum(x["end"] - x["start"] for x in r["removed"]), len(r["removed"]), r["kept_sha256"]) for r in out) == sorted(repeats(rows))
+
+
 def test_benchmark_windows(spark, sf, docs, items):
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert rows_of(decontamination.op9_decontamination(spark, sf), *columns) == sorted(leaks(docs, items))
 
 
+def test_words_in_segments(monkeypatch):
+    """Hashes of words do not depend on where a long text is cut."""
+    import numpy as np
+
+    text = (" ".join("x" * (i * i % 90) + str(i) for i in range(900)) + " " + "long" * 3000 + " end").encode()
+    data, at = np.frombuffer(text * 2, np.uint8), np.array([0, len(text), len(text), 2 * len(text)])
+    want = bytehash.word_hashes(data, at)
+    monkeypatch.setattr(bytehash, "SEGMENT", 1000)
+    assert all((a == b).all() for a, b in zip(want, bytehash.word_hashes(data, at), strict=True))
+
+
+def test_no_benchmark(spark):
+    docs = odd(spark)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.find_benchmark(docs, none).filter("size(hits) > 0 or size(items) > 0").count() == 0
+    assert decontamination.find_benchmark(docs.limit(0), none).count() == 0
+    out = decontamination.clean_documents(docs, none)
+    assert out.columns == docs.columns and out.count() == len(ODD)
+    rows = [(None, "alpha beta"), (None, "gamma"), (3, "alpha beta"), (3, "alpha beta"), (3, None)]
+    found = decontamination.find_benchmark(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, hits int"), spark.createDataFrame([(None, "Alpha, beta")], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["items"] == [""]) for r in found) == [(0, 1, False), (0, 2, True), (3, 0, False), (3, 2, True), (3, 2, True)]
+
+
 @pytest.mark.parametrize("block_bytes", [64 << 20, 40])
 def test_benchmark_windows_of_odd_texts(spark, block_bytes):
     bench = [(1, "One, TWO"), (2, "w"), (3, None), (4, "..."), (5, BASE[:200]), (6, "one two"), (10, "caf\u00e9 \u2014 x")]
@@ -155,6 +228,65 @@ def test_mix_of_odd_tables(spark):
     blocks = mixing.mixed_blocks(mixing.plan_mix(texts)).collect()
     assert sum(r["n_words"] for r in blocks) == sum(r["taken"] for r in got)
     assert all(len(r["text"].split(" ")) == r["n_words"] for r in blocks)
+    # The words of each document in the mix are those that are counted.
+    mine = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in ODD}
+    assert all(w in {x for d in r["doc_ids"] for x in mine[d]} for r in blocks for w in r["text"].split(" "))
+    clash = sized.withColumns({c: F.lit(1) for c in ("start", "target", "blocks", "_words", "slots")})
+    assert rows_of(mixing.taken_words(mixing.plan_mix(clash)), "doc_id", "taken") == sorted((r["doc_id"], r["taken"]) for r in got)
+
+
+def test_mix_of_small_sources(spark):
+    """Sources of less than a block meet their targets; repeated rows and null ids."""
+    sized = spark.createDataFrame([(1, "a", 100), (2, "b", 100), (3, "c", 60), (3, "c", 40), (None, "c", None)], "doc_id long, source string, size long")
+    got = mixing.taken_words(mixing.plan_mix(sized)).collect()
+    by = defaultdict(int)
+    for r in got:
+        by[r["source"]] += r["taken"]
+        assert r["target"] == pytest.approx({"a": 200, "b": 250 / 3, "c": 500 / 3}[r["source"]])
+    assert len(got) == 5 and dict(by) == {"a": 200, "b": 83, "c": 167}
+
+
+def test_mix_by_brute_force(spark):
+    """Slots, permutations and words of the plan: every slot's block is a real one,
+    epochs are whole permutations, and ``taken`` is what walking the slots gives."""
+    rows = [(i, "abc"[i % 3] if i % 10 else None, (i * 37) % 900) for i in range(160)]
+    mix = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, source string, size long"))
+    docs, picks = mix.docs.collect(), sorted(mix.picks.collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in picks] == list(range(len(picks)))
+    words = defaultdict(dict)
+    for r in docs:
+        words[r["source_no"]] |= {k: r["doc_id"] for k in range(r["start"], r["start"] + r["size"])}
+    taken, times, length = defaultdict(int), defaultdict(lambda: defaultdict(int)), {r["source_no"]: r["n_block"] for r in docs}
+    for r in picks:
+        no, n = r["source_no"], length[r["source_no"]]
+        times[no][r["block"]] += 1
+        for k in range(r["block"] * n, r["block"] * n + (r["n_take"] or n)):
+            if k in words[no]:
+                taken[words[no][k]] += 1
+    for no, w in words.items():
+        assert sorted(w) == list(range(len(w)))
+        epochs = sorted(times[no].get(b, 0) for b in range(-(-len(w) // length[no])))
+        assert sum(epochs) == sum(times[no].values()) and epochs[-1] - epochs[0] <= 1
+    assert {r["doc_id"]: r["taken"] for r in mixing.taken_words(mix).collect()} == {d: taken[d] for d, _, _ in rows}
+    # No tail: in either half of the slots a source has its share.
+    half = len(picks) // 2
+    for no in words:
+        first = sum(r["source_no"] == no for r in picks[:half])
+        assert abs(first - sum(times[no].values()) / 2) <= 5 * len(picks) ** 0.5 / 2
+
+
+def test_targets_of_many_sources(spark):
+    """The level found round by round gives the targets of the rule itself."""
+    rows = [(i, f"s{i:04d}", (i * i * 7919) % 5000 // (1 + i % 13)) for i in range(700)]
+    got = {r["source"]: r["target"] for r in mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).docs.collect()}
+    size = {s: n for _, s, n in rows}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(size))}
+    left, free, want = 1.5 * sum(size.values()), set(size), {}
+    while over := {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * size[s]}:
+        want |= {s: 2 * size[s] for s in over}
+        left, free = left - sum(2 * size[s] for s in over), free - over
+    want |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    assert got == pytest.approx(want)
 
 
 def test_permutation(spark):

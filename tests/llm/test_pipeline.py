@@ -35,8 +35,10 @@ def test_stages(spark, sf):
         elif name == "benchmark_decontamination":
             assert set(after) == {r[0] for r in leaks(list(before.items()), items) if not r[5]}
     got = docs.collect()
-    assert {r["doc_id"] for r in got} == set(after) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-    assert corpus_pipeline.ORACLE_SQL is None and sum(r["taken"] for r in got) > 0
+    size = {d: len((t or "").split()) for d, t in after.items()}
+    assert sum(r["n_words"] for r in got) == pytest.approx(1.5 * sum(size.values()), rel=0.02)
+    assert {d for r in got for d in r["doc_ids"]} <= {d for d, n in size.items() if n}
+    assert all(len(r["text"].split(" ")) == r["n_words"] for r in got) and corpus_pipeline.ORACLE_SQL is None
 
 
 @pytest.mark.parametrize("block_bytes", [64 << 20, 40])
