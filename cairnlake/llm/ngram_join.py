@@ -234,7 +234,11 @@ def _near(classes: DataFrame) -> DataFrame:
     chosen = bucket.select("band", "n", F.col("n").alias("_n"))
     members = salted_join(in_band, chosen, "band", "_n", in_band.count(), F.col("node"))
     members = members.withColumnRenamed("band", "grp").join(classes.select("node", "values"), "node")
-    return components(_dealt(members, ["node", "values"]).mapInArrow(_close, "a long, b long"))
+    links = saved(_dealt(members, ["node", "values"]).mapInArrow(_close, "a long, b long"), "ngram-close")
+    # A class is linked in many blocks: it keeps its least link, and the ends of the
+    # others, which are few different ones, are linked to that end.
+    star = links.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("all"))
+    return components(star.select(F.explode(F.array_union(F.array("a"), "all")).alias("a"), F.col("least").alias("b")).distinct())
 
 
 def _rooted(docs: DataFrame) -> DataFrame:
