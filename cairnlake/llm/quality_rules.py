@@ -1,10 +1,11 @@
 """Quality rules: learned decision lists over text statistics.
 
 Statistics of the text are Spark expressions inside one row (no shuffle).
-Labelled rows are binned at data quantiles and counted per bin combination, a
-table whose size is bounded by the number of bins; sequential covering grows
-and prunes threshold conjunctions from those counts, and the result is one
-ordered conditional expression that Spark evaluates on every row.
+Labelled rows are binned at data quantiles. Sequential covering grows threshold
+conjunctions condition by condition: Spark counts the rows that the rule so far
+covers per statistic and bin, a few hundred numbers, which say what each further
+condition would cover. Rules are pruned on rows they did not grow on, and the
+result is one ordered conditional expression that Spark evaluates on every row.
 """
 
 from __future__ import annotations
@@ -97,49 +98,84 @@ def _gain(p0: float, n0: float, p1: float, n1: float) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0)))
 
 
-def learn_rules(labelled: DataFrame, label_col: str, bad_value: int = 0, bins: int = 8, max_rules: int = 8, max_conditions: int = 3, least_precision: float = 0.9, min_rows: int = 5) -> list[Rule]:
-    """Sequential covering over counts of labelled rows per bin combination.
+#: A condition on binned statistics: the statistic is above ('>') or not above
+#: ('<=') its cut of that number.
+Test = tuple[str, str, int]
+
+
+def _holds(test: Test) -> Column:
+    name, op, cut = test
+    return F.col(name) > cut if op == ">" else F.col(name) <= cut
+
+
+def _all_hold(rule: list[Test]) -> Column:
+    return reduce(and_, map(_holds, rule), F.lit(True))
+
+
+def _histograms(rows: DataFrame) -> dict[tuple[str, int], tuple[int, int]]:
+    """(bad, good) rows per statistic and bin."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("bin")) for f in FEATURES])).alias("x")
+    counts = rows.select(each, "bad").groupBy("x.name", "x.bin").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
+    return {(r["name"], r["bin"]): (r["p"], r["n"]) for r in counts.collect()}
 
-    All labelled rows count. Two thirds of them (by hash) grow a rule by the
-    information gain of each added condition, the rest prune it; a rule stays
-    if, over both, ``least_precision`` of what it newly rejects is bad. What
-    reaches the driver is at most ``bins ** len(FEATURES)`` counts, each with
-    small integers, however many rows there are. No labelled rows: no rules.
+
+def _best_condition(rows: DataFrame, cuts: dict[str, list[float]], rule: list[Test]) -> tuple[float, Test | None, tuple[int, int]]:
+    """The condition with the most information gain, its gain, and (bad, good) of
+    the rows that are covered without it."""
+    seen = _histograms(rows)
+    total = tuple(sum(x[k] for (f, _), x in seen.items() if f == FEATURES[0]) for k in (0, 1))
+    best: tuple[float, Test | None] = (0.0, None)
+    for f in FEATURES:
+        for cut in range(len(cuts[f])):
+            above = tuple(sum(x[k] for (g, bin), x in seen.items() if g == f and bin > cut) for k in (0, 1))
+            for op, (p, n) in ((">", above), ("<=", (total[0] - above[0], total[1] - above[1]))):
+                if (f, op, cut) not in rule and (gain := _gain(*total, p, n)) > best[0]:
+                    best = gain, (f, op, cut)
+    return *best, total
+
+
+def learn_rules(labelled: DataFrame, label_col: str, bad_value: int = 0, bins: int = 8, max_rules: int = 8, max_conditions: int = 3, least_precision: float = 0.9, min_rows: int = 5) -> list[Rule]:
+    """Sequential covering over labelled rows with ``FEATURES``.
+
+    All labelled rows count. Two thirds of them (by hash of the statistics) grow
+    a rule by the information gain of each added condition, the rest prune it; a
+    rule stays if, over both, ``least_precision`` of what it newly rejects is bad.
+    Ties go to the statistic that is named first and the lower cut. At most
+    ``max_rules`` rules of ``max_conditions`` conditions are learned. Each step
+    sends at most (bins + 3) numbers a statistic to the driver, however many rows
+    there are. No labelled rows: no rules.
     """
     part = F.pmod(F.xxhash64(*FEATURES), F.lit(3)) == 0
     known = labelled.filter(F.col(label_col).isNotNull())
     grid = [i / bins for i in range(1, bins)] + [1 - 1 / (bins * 4)]
-    first = known.agg(*[F.percentile_approx(f, grid, 2000).alias(f) for f in FEATURES], *[F.percentile_approx(F.when(F.col(label_col) == bad_value, F.col(f)), [0.1, 0.5], 2000).alias(f"bad_{f}") for f in FEATURES]).first()
+    bad = F.col(label_col) == bad_value
+    first = known.agg(*[F.percentile_approx(f, grid, 2000).alias(f) for f in FEATURES], *[F.percentile_approx(F.when(bad, F.col(f)), [0.1, 0.5], 2000).alias(f"bad_{f}") for f in FEATURES]).first()
     cuts = {f: sorted({round(float(x), 9) for x in [*(first[f] or []), *(first[f"bad_{f}"] or [])]}) for f in FEATURES}
     coded = [reduce(add, [(F.col(f) > c).cast("int") for c in cuts[f]], F.lit(0)).alias(f) for f in FEATURES]
-    cells = known.select(*coded, part.alias("prune"), (F.col(label_col) == bad_value).alias("bad")).groupBy(*FEATURES, "prune", "bad").count().collect()
-    rows = [([r[f] for f in FEATURES], r["prune"], r["bad"], r["count"]) for r in cells]
-    tests = [(k, op, c) for k, f in enumerate(FEATURES) for c in range(len(cuts[f])) for op in (">", "<=")]
-    holds = lambda t, codes: (codes[t[0]] > t[2]) == (t[1] == ">")
-    fits = lambda rule, codes: all(holds(t, codes) for t in rule)
-
-    def split(some, rule, prune):
-        p = sum(n for codes, pr, bad, n in some if bad and pr in prune and fits(rule, codes))
-        return p, sum(n for codes, pr, bad, n in some if not bad and pr in prune and fits(rule, codes))
+    left = saved(known.select(*coded, part.alias("prune"), bad.alias("bad")), "quality-labelled")
 
     rules: list[Rule] = []
-    while len(rules) < max_rules and any(bad for _, _, bad, _ in rows):
-        rule: list = []
-        p, n = split(rows, rule, (False,))
-        while n and p and len(rule) < max_conditions:
-            score, best = max(((_gain(p, n, *split(rows, [*rule, t], (False,))), t) for t in tests if t not in rule), default=(0.0, None))
-            if score <= 0:
+    while len(rules) < max_rules:
+        rule: list[Test] = []
+        while len(rule) < max_conditions:
+            _, best, (p, n) = _best_condition(left.filter(~F.col("prune") & _all_hold(rule)), cuts, rule)
+            if best is None or not p or not n:
                 break
             rule.append(best)
-            p, n = split(rows, rule, (False,))
-        worth = lambda r: (lambda a, b: (a - b) / (a + b) if a + b else -1.0)(*split(rows, r, (True,)))
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-            rule.pop()
-        p, n = split(rows, rule, (False, True))
-        if not rule or p < min_rows or p < least_precision * (p + n):
+        if not rule:
+            break
+        # Counts of every beginning of the rule, over all rows and those that prune.
+        begun = [F.struct(*[F.count_if(_all_hold(rule[:k]) & (F.col("bad") == is_bad) & some).alias(name) for name, is_bad, some in (("p", True, F.lit(True)), ("n", False, F.lit(True)), ("pp", True, F.col("prune")), ("pn", False, F.col("prune")))]).alias(f"k{k}") for k in range(1, len(rule) + 1)]
+        found = left.agg(*begun).first()
+        worth = lambda k: (found[f"k{k}"]["pp"] - found[f"k{k}"]["pn"]) / (found[f"k{k}"]["pp"] + found[f"k{k}"]["pn"]) if found[f"k{k}"]["pp"] + found[f"k{k}"]["pn"] else -1.0
+        k = len(rule)
+        while k > 1 and worth(k - 1) >= worth(k):
+            k -= 1
+        rule, p, n = rule[:k], found[f"k{k}"]["p"], found[f"k{k}"]["n"]
+        if p < min_rows or p < least_precision * (p + n):
             break
-        rules.append(Rule(tuple((FEATURES[k], op, cuts[FEATURES[k]][c]) for k, op, c in rule), p, n))
-        rows = [x for x in rows if not fits(rule, x[0])]
+        rules.append(Rule(tuple((f, op, cuts[f][c]) for f, op, c in rule), p, n))
+        left = left.filter(~_all_hold(rule))
     return rules
 
 
@@ -164,7 +200,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
 
     Null or empty text has no words and fails the base rule. Repeated rows are
     judged one by one, alike. Labels with a null doc_id or quality teach
-    nothing; a document labelled twice counts twice.
+    nothing; a document labelled twice counts twice, and rows that share a doc_id
+    all take its label. An empty table gives no rows; other columns are not read.
+    A text is one row of one task with some hundred bytes a word.
     """
     stats = features(saved(text_statistics(docs.select("doc_id", "text")).drop("text"), "quality-stats"))
     taught = stats.filter(~base_failed()).join(labels.select("doc_id", "quality"), "doc_id")
