@@ -24,7 +24,9 @@ from cairnlake.llm.common import saved, shared_dir, table
 
 #: Shorter payloads are always stored.
 LEAST_REVISITED = 100
-CAPTURES_A_FILE = 5_000
+#: An archive holds so many captures whose payloads are small, and of larger ones
+#: as many as stay under a limit of bytes, since archives are read file by file.
+CAPTURES_A_FILE, SMALL, MOST_BYTES = 1_000, 1 << 20, 1 << 30
 CRLF = "\r\n"
 DATE = "2024-01-31T00:00:00Z"
 
@@ -46,10 +48,13 @@ def write_captures(pages: DataFrame, path: str, date: str = DATE) -> None:
     page_id are stored as responses (one, unless a row is repeated) and the
     others as revisits without a body. A null html is an empty payload; a null
     url leaves the URI out, line ends in it are percent-encoded. A null page_id
-    ranks last and is not written.
+    ranks last and is not written. An empty table gives no archives; other columns
+    are not read. Archives stay under about a gigabyte (a payload over that has one
+    of its own), so that any is read back.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
+    largest = rows.agg(F.max("size")).first()[0] or 0
     groups = rows.filter(F.col("size") >= LEAST_REVISITED).groupBy("digest").agg(F.min("page_id").alias("kept_id"), F.count("*").alias("n"))
     groups = saved(groups.filter("n > 1").select(F.col("digest").alias("_digest"), "kept_id"), "warc-equal")
     rows = rows.join(groups, F.col("digest") == F.col("_digest"), "left")
@@ -68,8 +73,14 @@ def write_captures(pages: DataFrame, path: str, date: str = DATE) -> None:
     again = _record(answer, ("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *common)
     noted = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record(noted, ("WARC-Type", "metadata"), ("WARC-Record-ID", F.col("metadata_id")), ("WARC-Concurrent-To", F.col("response_id")), ("WARC-Date", date), target, ("Content-Type", "application/warc-fields"))
-    records = rows.select(F.explode(F.array(request, F.when(F.col("revisit"), again).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * CAPTURES_A_FILE).text(path)
+    records = F.explode(F.array(request, F.when(F.col("revisit"), again).otherwise(response), metadata)).alias("value")
+    # Few pages are larger than SMALL; they have archives of their own.
+    some = [(rows.filter(F.col("size") <= SMALL), CAPTURES_A_FILE)]
+    if largest > SMALL:
+        some.append((rows.filter(F.col("size") > SMALL), max(1, MOST_BYTES // largest)))
+    for part, captures in some:
+        writer = part.select(records).write.mode("append").option("lineSep", CRLF + CRLF)
+        writer.option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(path)
 
 
 def _fields(block: bytes) -> list[tuple[str, str]]:
