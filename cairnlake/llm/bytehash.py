@@ -76,8 +76,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows in smaller batches: up to ``most`` bytes of ``column``, one row at least."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The rows in smaller batches: up to ``most`` bytes of ``column`` and so many
+    ``rows``, one row at least."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -85,7 +86,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
         _, at = flat(batch.column(batch.schema.get_field_index(column)))
         i = 0
         while i < n:
-            j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+            j = min(max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1), i + rows)
             yield batch.slice(i, j - i)
             i = j
 

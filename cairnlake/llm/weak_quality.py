@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.bytehash import NO_SPACE, U, flat, kind_table, mix, pieces, prefix, substring, word_bounds
+from cairnlake.llm.bytehash import U, flat, kind_table, mix, pieces, word_hashes
 from cairnlake.llm.common import saved, table
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
@@ -42,15 +42,16 @@ LOUD = kind_table(lambda b: chr(b) in "!?")
 CAPITAL = kind_table(lambda b: 0x41 <= b <= 0x5A)
 LETTER = kind_table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 BITS = 14
-#: About so many texts train the scorer.
-SAMPLE_TEXTS = 8192
+#: At most so many texts train the scorer, each with so many of its features.
+SAMPLE_TEXTS, SAMPLE_FEATURES = 8192, 2048
+#: Texts whose features are held at once (as rows of 2**BITS numbers).
+ROWS = 128
 CUTS = 16
 
 
 def _per(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of values[first[d]:first[d + 1]]."""
-    sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return sums[first[1:]] - sums[first[:-1]]
+    """How many of values[first[d]:first[d + 1]] hold."""
+    return np.array([np.count_nonzero(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
 
 
 def _runs(owner: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,18 +70,16 @@ def _runs(owner: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 def statistics(data: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Statistics by name for each text; word hashes and the text of each word."""
     n, sizes = len(at) - 1, np.maximum(np.diff(at), 1)
-    starts, ends, first = word_bounds(data, at, NO_SPACE)
-    sums = prefix(data)
-    word = substring(sums, starts, ends)
+    word, starts, ends, first = word_hashes(data, at)
     counts = np.diff(first)
     some = np.maximum(counts, 1)
     text = np.repeat(np.arange(n), counts)
     different, most = _runs(text, word, n)
-    # Lines with a word: from the first to the last word between line ends.
+    # Lines with a word, by their words in order.
     breaks = np.searchsorted(np.flatnonzero(data == 10), starts)
     line = np.flatnonzero(np.concatenate([[True], (breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])])) if len(starts) else np.zeros(0, np.int64)
-    last = np.concatenate([line[1:], [len(starts)]]) - 1 if len(line) else line
-    lines, _ = _runs(text[line], substring(sums, starts[line], ends[last]), n)
+    place = np.arange(len(word)) - np.repeat(line, np.diff(np.concatenate([line, [len(word)]]))) if len(line) else line
+    lines, _ = _runs(text[line], np.add.reduceat(word * (mix(place.astype(U)) | U(1)), line) if len(line) else word, n)
     n_lines = np.bincount(text[line], minlength=n)
     symbol = SYMBOL[data]
     stats = {
@@ -115,12 +114,11 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, size = len(at) - 1, 1 << BITS
     hashed = (mix(word) >> U(64 - BITS)).astype(np.int64)
     x = np.bincount(text * size + hashed, minlength=n * size).reshape(n, size) / np.maximum(stats["n_words"], 1)[:, None]
-    if len(data) >= 3:
-        three = data[:-2].astype(np.int64) << 16 | data[1:-1].astype(np.int64) << 8 | data[2:]
-        owner = np.repeat(np.arange(n), np.diff(at))
-        inside = owner[:-2] == owner[2:]
-        place = (mix(three.astype(U) + U(1 << 40)) >> U(64 - BITS)).astype(np.int64)
-        x += np.bincount((owner[:-2] * size + place)[inside], minlength=n * size).reshape(n, size) / np.maximum(np.diff(at), 1)[:, None]
+    for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        for low in range(a, b - 2, 1 << 20):
+            part = data[low : min(low + (1 << 20) + 2, b)].astype(U)
+            three = part[:-2] << U(16) | part[1:-1] << U(8) | part[2:]
+            x[k] += np.bincount((mix(three + U(1 << 40)) >> U(64 - BITS)).astype(np.int64), minlength=size) / (b - a)
     x = np.sqrt(x)
     x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
     for k, (_, name, (_, bad), (_, good)) in enumerate(LABELLERS):
@@ -187,13 +185,13 @@ class _Votes:
 
 class _Sampled:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 18):
-            x, v = features(*flat(batch.column(1)))
-            places = [np.flatnonzero(row) for row in x]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p.astype(np.uint16).tobytes() for p in places], pa.binary()), pa.array([row[p].tobytes() for row, p in zip(x, places, strict=True)], pa.binary()), pa.array(v @ (3 ** np.arange(len(LABELLERS))), pa.int32())],
-                ["doc_id", "places", "amounts", "pattern"],
-            )
+        for batch in pieces(batches, "text", 1 << 18, ROWS):
+            x, v = features(*flat(batch.column("text")))
+            places = [np.sort(np.argpartition(row, -SAMPLE_FEATURES)[-SAMPLE_FEATURES:]) for row in x]
+            places = [p[row[p] > 0] for row, p in zip(x, places, strict=True)]
+            amounts = [row[p].tobytes() for row, p in zip(x, places, strict=True)]
+            code = pa.array(v @ (3 ** np.arange(len(LABELLERS))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array([p.astype(np.uint16).tobytes() for p in places], pa.binary()), pa.array(amounts, pa.binary()), code], ["draw", "places", "amounts", "pattern"])
 
 
 class _Score:
@@ -201,7 +199,7 @@ class _Score:
         self.w, self.b, self.model, self.threshold = w, b, model, threshold
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 18):
+        for batch in pieces(batches, "text", 1 << 18, ROWS):
             data, at = flat(batch.column(1))
             x, v = features(data, at)
             score = 1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -30, 30).astype(np.float64)))
@@ -214,7 +212,8 @@ def score_quality(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, threshold:
 
     The score is the scorer's probability of a good text, the posterior that of
     the label model alone. Null and empty texts score 0 and go. Equal texts
-    score alike. An empty table gives no rows.
+    score alike, also in rows that share a doc_id or have none. An empty table
+    gives no rows; other columns are not read. Long texts are read in segments.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = saved(docs.mapInArrow(_Votes(), "doc_id long, pattern int"), "weak-votes")
@@ -223,9 +222,13 @@ def score_quality(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, threshold:
     total = int(sum(r["count"] for r in counted))
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     model = fit_labels(patterns, np.array([r["count"] for r in counted], np.float64))
-    share = min(1.0, sample_texts / max(total, 1))
-    drawn = docs.filter((F.pmod(F.xxhash64(F.lit(43), "doc_id"), F.lit(1 << 30)) < share * float(1 << 30)) & (F.col("text") != ""))
-    got = sorted(drawn.mapInArrow(_Sampled(), "doc_id long, places binary, amounts binary, pattern int").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["places"]))
+    # A draw per row, somewhat more than needed, and the first of these; the hash is
+    # of the text too, so rows that share an id do not come all or none.
+    share = min(1.0, 1.2 * sample_texts / max(total, 1))
+    draw = F.xxhash64(F.lit(43), "doc_id", "text")
+    drawn = docs.withColumn("draw", draw).filter((F.pmod("draw", F.lit(1 << 30)) < share * float(1 << 30)) & (F.col("text") != ""))
+    drawn = drawn.mapInArrow(_Sampled(), "draw long, places binary, amounts binary, pattern int")
+    got = drawn.orderBy("draw", "places").limit(sample_texts).collect()
     w, b = np.zeros(1 << BITS, np.float32), 0.0
     if got:
         code = np.array([r["pattern"] for r in got], np.int64)
