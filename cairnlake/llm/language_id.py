@@ -23,10 +23,9 @@ from cairnlake.llm.common import table, unused
 WINDOW = 384
 WIDTHS = (2, 3, 4, 5)
 EMBEDDING, FILTERS = 8, 16
-#: About so many labelled texts are learned from, in equal parts by language,
+#: At most so many labelled texts are learned from, in equal parts by language,
 #: with so many windows of each.
 SAMPLE_TEXTS, WINDOWS_A_TEXT = 4096, 3
-MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 #: Below this score the pipeline does not trust a prediction.
 LEAST_SCORE = 0.5
@@ -121,30 +120,35 @@ class Tables:
         return np.concatenate(out) if out else np.zeros((0, len(self.net.languages)))
 
 
-def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, text of each): windows of WINDOW bytes cover every text; the last
-    one ends with it, and a shorter text is filled up with zeros."""
-    sizes = np.diff(at)
-    counts = -(-sizes // WINDOW)
-    text = np.repeat(np.arange(len(sizes)), counts)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    inside = np.minimum(number * WINDOW, np.maximum(sizes[text] - WINDOW, 0))
+def counted(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number in the text) of each window: windows of WINDOW bytes cover every text."""
+    counts = -(-np.diff(at) // WINDOW)
+    text = np.repeat(np.arange(len(counts)), counts)
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def cut(data: np.ndarray, at: np.ndarray, text: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The bytes of those windows; the last one of a text ends with it, and a
+    shorter text is filled up with zeros."""
+    inside = np.minimum(number * WINDOW, np.maximum(np.diff(at)[text] - WINDOW, 0))
     place = at[text][:, None] + inside[:, None] + np.arange(WINDOW)
     beyond = place >= at[text + 1][:, None]
     windows = data[np.minimum(place, max(len(data) - 1, 0))] if len(data) else np.zeros((0, WINDOW), np.uint8)
     windows[beyond] = 0
-    return windows, text
+    return windows
 
 
 def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Up to WINDOWS_A_TEXT windows from all over each text."""
     for batch in pieces(batches, "text"):
-        windows, text = cut(*flat(batch.column(0)))
-        rank = mix(np.arange(len(text), dtype=np.uint64))
-        order = np.lexsort((rank, text))
+        data, at = flat(batch.column("text"))
+        text, number = counted(at)
+        order = np.lexsort((mix(number.astype(np.uint64)), text))
         first = np.searchsorted(text[order], text[order])
         chosen = order[np.arange(len(order)) - first < WINDOWS_A_TEXT]
-        yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(text[chosen])), pa.array([w.tobytes() for w in windows[chosen]], pa.binary())], ["lang", "window"])
+        windows = cut(data, at, text[chosen], number[chosen])
+        rows = batch.select(["lang", "draw"]).take(pa.array(text[chosen]))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([w.tobytes() for w in windows], pa.binary())], ["lang", "draw", "window"])
 
 
 class _Predict:
@@ -155,9 +159,12 @@ class _Predict:
         """The batches, in pieces, with the language and score of each text."""
         tables, names = Tables(self.net), np.array(self.net.languages)
         for batch in pieces(batches, "text"):
-            windows, text = cut(*flat(batch.column(batch.schema.get_field_index("text"))))
+            data, at = flat(batch.column(batch.schema.get_field_index("text")))
+            text, number = counted(at)
             total = np.zeros((batch.num_rows, len(names)))
-            np.add.at(total, text, tables.probabilities(windows))
+            for k in range(0, len(text), 4096):
+                some = text[k : k + 4096]
+                np.add.at(total, some, tables.probabilities(cut(data, at, some, number[k : k + 4096])))
             mean = total / np.maximum(np.bincount(text, minlength=batch.num_rows), 1)[:, None]
             known = batch.column(batch.schema.get_field_index(letters)).to_numpy(zero_copy_only=False).astype(bool)
             best = mean.argmax(1)
@@ -196,19 +203,21 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Network | None:
     """The network for the labelled texts that aren't held out; None without any.
 
     Each language has an equal part of ``sample_texts``; where it has more texts,
-    a share of them by hash of the doc_id, so the sample does not grow with the
-    table. Only their windows reach the driver.
+    a share of them by a hash of doc_id and text, and of all drawn the first
+    ``sample_texts`` times ``WINDOWS_A_TEXT`` windows. So what reaches the driver
+    is bounded, whatever repeats, and however many languages there are: of more
+    languages than ``sample_texts`` some are not learned.
     """
     labelled = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    n_langs = counts.count()
+    if not n_langs:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_texts / len(counts) / n))])
-    drawn = labelled.filter(F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30))
-    rows = drawn.select("text", "lang").mapInArrow(_learned, "lang string, window binary").toArrow()
-    rows = rows.take(pa.array(np.array(sorted(range(rows.num_rows), key=lambda i, c=rows.column("window").to_pylist(), g=rows.column("lang").to_pylist(): (g[i], c[i])), np.int64)))
+    share = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(1.2 * sample_texts / n_langs) / F.col("_n")).alias("_share"))
+    drawn = labelled.withColumn("draw", F.xxhash64(F.lit(41), "doc_id", "text")).join(share, F.col("lang") == F.col("_lang"))
+    drawn = drawn.filter(F.pmod("draw", F.lit(1 << 30)) < F.col("_share") * float(1 << 30)).select("text", "lang", "draw")
+    rows = drawn.mapInArrow(_learned, "lang string, draw long, window binary").orderBy("draw", "window").limit(sample_texts * WINDOWS_A_TEXT).toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("window", "ascending")])
     if not rows.num_rows:
         return None
     windows = np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
@@ -224,7 +233,9 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     The score is the mean probability over the text's windows. Null texts and
     such without a letter are ``und`` with score 0, and so is every text where
     nothing could be learned. A null doc_id counts as not held out. Equal texts
-    get equal predictions.
+    get equal predictions, also in rows that share a doc_id or have none. An empty
+    table gives no rows; other columns are not read. Of long texts some thousand
+    windows are held at a time.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", has_letters(F.col("text")).alias("letters"))
     if net is None:
