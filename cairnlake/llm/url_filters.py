@@ -3,8 +3,8 @@
 A pattern rule names the literal tokens that every URL it matches must hold.
 The rule is indexed by the one of them that fewest URLs of the table contain;
 the distinct tokens of a URL fetch their candidate rules by an equi-join, and
-regular expressions run on those candidates only. Everything is a DataFrame
-expression.
+regular expressions run on those candidates only. A rule without a token is an
+error. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -45,15 +45,28 @@ PATH_RULES = (
     PathRule("example.net", "/de/8", "block"),
     PathRule("org", "/es/", "block"),
 )
-PATTERN_RULES = (
-    PatternRule("spam-farm", r"://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    PatternRule("casino", r"://([^/?#]*[.-])?casino-win\.", ("casino", "win")),
-    PatternRule("pills", r"://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
-    PatternRule("bets", r"://([^/?#]*\.)?free-bets\.", ("free", "bets")),
-    PatternRule("ads", r"://([^/?#]*\.)?ads-track\.", ("ads", "track")),
-    PatternRule("adult", r"://([^/?#]*\.)?adult-x\.", ("adult", "x")),
-    PatternRule("adserver-path", r"/(adserver|doubleclick)/", ()),
+def _host_rule(*tokens: str) -> PatternRule:
+    """Blocks hosts in which the tokens stand one after the other, set apart by
+    dots or hyphens, as in ``free-bets.io`` and ``www.free.bets.com``."""
+    return PatternRule("-".join(tokens), r"://([^/?#]*[.-])?" + "[.-]".join(tokens) + r"[.-]", tokens)
+
+
+def _path_rule(token: str) -> PatternRule:
+    """Blocks URLs with the token as a whole part of the path."""
+    return PatternRule(f"/{token}/", rf"://[^/?#]*/([^?#]*/)?{token}/", (token,))
+
+
+#: What advertising, gambling, pill, adult and spam hosts are commonly named by;
+#: nothing here is taken from a list.
+HOST_TOKENS = (
+    ("ads", "track"), ("ad", "server"), ("ad", "click"), ("ads", "media"), ("click", "track"), ("pop", "ads"), ("banner", "ads"), ("track", "pixel"),
+    ("casino",), ("poker",), ("roulette",), ("jackpot",), ("slots", "win"), ("free", "bets"), ("sports", "bets"), ("bet", "win"), ("lotto", "win"),
+    ("cheap", "pills"), ("buy", "pills"), ("online", "pharmacy"), ("viagra",), ("cialis",), ("weight", "loss", "pills"),
+    ("adult", "x"), ("adult", "video"), ("adult", "chat"), ("porn",), ("xxx",), ("sex", "cam"), ("live", "sex"), ("hot", "girls"),
+    ("spam", "farm"), ("link", "farm"), ("free", "iphone"), ("win", "prize"), ("fast", "loans"), ("payday", "loans"), ("replica", "watches"), ("free", "crypto"), ("get", "rich"),
 )
+PATH_TOKENS = ("adserver", "doubleclick", "adclick", "popunder", "affiliate")
+PATTERN_RULES = (*(_host_rule(*t) for t in HOST_TOKENS), *map(_path_rule, PATH_TOKENS))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -82,29 +95,21 @@ def tokens(url: Column) -> Column:
 def pattern_hits(urls: DataFrame, rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
     """(url, pattern): for each distinct matching URL its first rule by name.
 
-    A rule without tokens can't be indexed; such rules run on every URL, and
-    their number should stay small. The index is joined without a hint: Spark
-    broadcasts it by its size or shuffles on the token.
+    Every rule needs a token to be found by. The index is joined without a hint:
+    Spark broadcasts it by its size or shuffles on the token.
     """
+    if bare := [r.name for r in rules if not r.tokens]:
+        raise ValueError(f"rules without a token: {bare}")
     spark = urls.sparkSession
-    lower = F.translate(F.col("url"), UPPER, LOWER)
     urls = urls.select("url").filter(F.col("url").isNotNull())
-    found = []
-    keyed = [r for r in rules if r.tokens]
-    if keyed:
-        listed = spark.createDataFrame([(r.name, r.pattern, t) for r in keyed for t in r.tokens], "name string, pattern string, token string")
-        each = urls.select("url", F.explode(tokens(F.col("url"))).alias("token"))
-        seen = each.join(listed.select("token").distinct(), "token").groupBy("token").count()
-        ranked = listed.join(seen, "token", "left").groupBy("name", "pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("m"))
-        index = ranked.select("name", F.col("pattern").alias("expression"), F.col("m.token").alias("token"))
-        found.append(each.join(index, "token").filter(F.expr("translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') rlike expression")).select("url", "name"))
-    found += [urls.filter(lower.rlike(r.pattern)).select("url", F.lit(r.name).alias("name")) for r in rules if not r.tokens]
-    if not found:
-        return spark.createDataFrame([], "url string, pattern string")
-    all_found = found[0]
-    for more in found[1:]:
-        all_found = all_found.unionByName(more)
-    return all_found.groupBy("url").agg(F.min("name").alias("pattern"))
+    listed = spark.createDataFrame([(r.name, r.pattern, t) for r in rules for t in r.tokens], "name string, pattern string, token string")
+    each = urls.select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    seen = each.join(listed.select("token").distinct(), "token").groupBy("token").count()
+    ranked = listed.join(seen, "token", "left").groupBy("name", "pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("m"))
+    index = ranked.select("name", F.col("pattern").alias("expression"), F.col("m.token").alias("token"))
+    lower = F.translate(F.col("url"), UPPER, LOWER)
+    found = each.join(index, "token").filter(F.rlike(lower, F.col("expression")))
+    return found.groupBy("url").agg(F.min("name").alias("pattern"))
 
 
 def judge_urls(pages: DataFrame, path_rules: tuple[PathRule, ...] = PATH_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
@@ -113,7 +118,8 @@ def judge_urls(pages: DataFrame, path_rules: tuple[PathRule, ...] = PATH_RULES,
     A fitting path rule decides, the longest first; else a pattern that is
     found blocks; else the URL is allowed. Null URLs and such without ``://``
     have an empty host and path and fit no path rule. Repeated rows are judged
-    alike.
+    alike, also where page_ids are null or shared. An empty table gives no rows;
+    other columns are not read.
     """
     host, path = parts(F.col("url"))
     out = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
