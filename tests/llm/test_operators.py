@@ -300,16 +300,19 @@ def test_permutation(spark):
 def test_urls(spark):
     from pyspark.sql import functions as F
 
-    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/71", "https://a.example.com/en/8", "http://x.net/de/1?x#y", "http://example.net/de/8", "ftp://x.org#/es/", "http://x.org/es/", "http://www.spam-farm.io/a", "http://notorg/es/", "http://com/en/", "http://casino-win.biz?x", "http://a/b/adserver/c", "u://h\n/p"]
+    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/71", "https://a.example.com/en/8", "http://x.net/de/1?x#y", "http://example.net/de/8", "ftp://x.org#/es/", "http://x.org/es/", "http://www.spam-farm.io/a", "http://notorg/es/", "http://com/en/", "http://casino-win.biz?x", "http://a/b/adserver/c", "u://h\n/p", "http://a.io/casino-win/x", "http://www.FREE.bets.com", "http://mycasinos.net/fr/"]
     pages = spark.createDataFrame([(i, u, "", "x") for i, u in enumerate([*urls, urls[3]])], "page_id long, url string, html string, host string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(pages.select("page_id", F.col("url"))).collect()}
     assert len(got) == len(urls) + 1
     assert got[0] == got[1] == ("", "", None, "allow") and got[2] == ("", "", None, "allow")
-    assert got[3] == ("example.com", "/en/71", "example.com/en/7", "allow") == got[15]
+    assert got[3] == ("example.com", "/en/71", "example.com/en/7", "allow") == got[18]
     assert got[4] == ("a.example.com", "/en/8", "com/en/", "block") and got[5][2:] == ("net/de/", "allow")
     assert got[6][2:] == ("example.net/de/8", "block") and got[7] == ("x.org", "", None, "allow") and got[8][2:] == ("org/es/", "block")
     assert got[9][2:] == (None, "block") and got[10][2:] == (None, "allow") and got[11][2:] == ("com/en/", "block")
-    assert got[12][2:] == got[13][2:] == (None, "block") and got[14][:2] == ("h\n", "/p")
+    assert got[12][2:] == got[13][2:] == got[16][2:] == (None, "block") and got[14][:2] == ("h\n", "/p")
+    assert got[15][2:] == got[17][2:] == (None, "allow")
+    with pytest.raises(ValueError):
+        url_filters.pattern_hits(pages, (url_filters.PatternRule("all", "x", ()),))
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
