@@ -38,3 +38,72 @@ def within_hours(ts: Column, window: str | None) -> Column:
         return F.lit(True)
     minute = F.hour(ts) * 60 + F.minute(ts)
     return (minute >= begin) & (minute < end) if begin <= end else (minute >= begin) | (minute < end)
+
+
+#: Names that cron fields may use (fixed values).
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+WEEKDAYS = ("SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+#: Days that are looked at before an expression counts as never met.
+CRON_DAYS = 1500
+
+
+def cron_values(field: str, low: int, high: int, names: tuple[str, ...] = ()) -> list[int]:
+    """The numbers that a cron field stands for: ``*``, ``a``, ``a-b``, with a step
+    ``/n`` (``a/n`` runs to the end), in lists. Anything else is an error."""
+
+    def atom(text: str) -> int:
+        text = text.strip().upper()
+        value = low + names.index(text) if text in names else int(text) if text.isascii() and text.isdigit() else -1
+        if not low <= value <= high:
+            raise ValueError(f"cron value {text!r} is not in {low}-{high}")
+        return value
+
+    found: set[int] = set()
+    for part in (field or "").split(","):
+        body, slash, by = part.strip().partition("/")
+        if slash and not (by.isascii() and by.isdigit() and int(by) > 0):
+            raise ValueError(f"cron step {by!r}")
+        step = int(by) if slash else 1
+        if body == "*":
+            first, last = low, high
+        elif "-" in body:
+            first, last = (atom(x) for x in body.split("-", 1))
+        else:
+            first = atom(body)
+            last = high if step > 1 else first
+        if first > last:
+            raise ValueError(f"cron range {body!r} runs backwards")
+        found |= set(range(first, last + 1, step))
+    return sorted(found)
+
+
+def next_cron(cron: str, after: Column) -> Column:
+    """The first minute after ``after`` that the expression names, in the session's
+    time zone; null if there is none within ``CRON_DAYS`` days.
+
+    Five fields (minute, hour, day, month, day of the week), or six of which the
+    last, seconds, is left out. If both day fields are restricted, either will do.
+    The days to come are a sequence per row; of a day only its first time counts,
+    except of the day of ``after``, whose times are compared with it.
+    """
+    fields = cron.split()
+    fields = fields[:5] if len(fields) == 6 else fields
+    if len(fields) != 5:
+        raise ValueError(f"a cron expression has 5 fields: {cron!r}")
+    minutes, hours = cron_values(fields[0], 0, 59), cron_values(fields[1], 0, 23)
+    days, months = cron_values(fields[2], 1, 31), cron_values(fields[3], 1, 12, MONTHS)
+    weekdays = sorted({v % 7 for v in cron_values(fields[4], 0, 7, WEEKDAYS)})
+    any_day, any_weekday = fields[2] == "*", fields[4] == "*"
+
+    def fits(d: Column) -> Column:
+        by_day, by_weekday = F.dayofmonth(d).isin(days), ((F.weekday(d) + 1) % 7).isin(weekdays)
+        right = F.lit(True) if any_day and any_weekday else by_weekday if any_day else by_day if any_weekday else by_day | by_weekday
+        return right & F.month(d).isin(months)
+
+    times = F.lit([h * 60 + m for h in hours for m in minutes])
+    at = lambda d, minute: F.timestamp_seconds(F.unix_seconds(d.cast("timestamp")) + minute * 60)
+    today = F.to_date(after)
+    left_today = F.filter(F.transform(times, lambda m: at(today, m)), lambda t: t > after)
+    later = F.filter(F.sequence(F.date_add(today, 1), F.date_add(today, CRON_DAYS)), fits)
+    first_later = at(F.get(later, F.lit(0)), F.get(times, F.lit(0)))
+    return F.coalesce(F.when(fits(today), F.get(left_today, F.lit(0))), first_later)

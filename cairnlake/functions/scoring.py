@@ -25,7 +25,7 @@ def relevance(importance: Column, decay: Column, created: Column, accessed: Colu
 
 def strength(importance: Column, decay: Column, created: Column, reinforced: Column, as_of: Column) -> Column:
     idle = F.greatest(age_in_days(F.coalesce(reinforced, created), as_of), F.lit(0.0))
-    return clamp(F.coalesce(importance, F.lit(0.5)) * F.exp(-F.greatest(decay, F.lit(0.0)) * idle))
+    return clamp(F.coalesce(importance, F.lit(0.5)) * F.exp(-F.greatest(F.coalesce(decay, F.lit(0.01)), F.lit(0.0)) * idle))
 
 
 def felt_intensity(encoded: Column, valence: Column, created: Column, reinforced: Column, as_of: Column, ember: float = 0.5, decay: float = 0.02, rekindle: float = 0.5, negative: float = 0.4) -> Column:
@@ -45,9 +45,11 @@ def source_support(n_sources: Column, mean_trust: Column) -> Column:
 
 
 def semantic_trust(confidence: Column, support: Column, alignment: Column) -> Column:
-    """Disagreement with held views scales trust down; agreement adds up to the confidence."""
-    trust = confidence * (F.lit(0.15) + F.lit(0.85) * support)
-    return clamp(F.when(alignment < 0, trust * (1 + alignment)).when(alignment > 0, F.least(confidence, trust + F.lit(0.1) * alignment)).otherwise(trust))
+    """Disagreement with held views scales trust down; agreement adds up to the
+    confidence. No confidence counts as one half, no alignment as none."""
+    sure, agreed = clamp(F.coalesce(confidence, F.lit(0.5))), clamp(F.coalesce(alignment, F.lit(0.0)), -1.0, 1.0)
+    trust = sure * (F.lit(0.15) + F.lit(0.85) * support)
+    return clamp(F.when(agreed < 0, trust * (1 + agreed)).otherwise(F.least(sure, trust + F.lit(0.1) * agreed)))
 
 
 def revised_confidence(prior: Column, stance: Column, trust: Column, rate: float = 0.35) -> Column:
@@ -64,7 +66,7 @@ def decay_for_intensity(intensity: Column, base: float = 0.01) -> Column:
 
 
 def backoff_seconds(base: float, attempts: Column) -> Column:
-    return F.lit(float(base)) * F.pow(F.lit(2.0), attempts - 1)
+    return F.lit(float(base)) * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0)))
 
 
 def noisy_or(weight: Column) -> Column:
@@ -118,4 +120,4 @@ def drifted(tonic: Column, rate: float = 0.02) -> Column:
 
 
 def decay_multiplier(tonic: Column) -> Column:
-    return clamp(1 - 0.7 * tonic, 0.3, 1.0)
+    return clamp(1 - 0.7 * F.coalesce(tonic, F.lit(0.5)), 0.3, 1.0)

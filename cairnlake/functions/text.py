@@ -9,25 +9,42 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 
 
+#: One white-space code point of Unicode, or a separator U+001C to U+001F (fixed values).
+WHITE = r"[\u0009-\u000d\u001c-\u001f\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: One ASCII space character.
+SPACE = r"[ \t\n\x0B\f\r]"
+
+
 def normalized(text: Column) -> Column:
-    """Line ends to LF, no blanks at line ends, no outer empty lines."""
-    lf = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.btrim(F.regexp_replace(lf, "[ \t]+\n", "\n"), F.lit("\n"))
+    """Line ends to LF, no blanks at line ends, no outer empty lines; empty for null."""
+    lf = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.btrim(F.regexp_replace(lf, "(?md)[ \t]+$", ""), F.lit("\n"))
+
+
+def canonical(text: Column) -> Column:
+    """Outer white space gone, inner squeezed to one blank, lower case; empty for null."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{WHITE}+|{WHITE}+$", "")
+    return F.lower(F.regexp_replace(bare, f"{WHITE}+", " "))
+
+
+def content_hash(text: Column) -> Column:
+    return F.sha2(canonical(text), 256)
 
 
 def squeezed(text: Column, most: int = 4000) -> Column:
-    """Trimmed, cut to ``most`` characters, blanks squeezed."""
-    return F.regexp_replace(F.substring(F.btrim(text), 1, most), "[ \t\r\n]+", " ")
+    """The first ``most`` characters, trimmed, spaces squeezed; empty for null."""
+    return F.regexp_replace(F.btrim(F.substring(F.coalesce(text, F.lit("")), 1, most), F.lit(" ")), f"{SPACE}+", " ")
 
 
 def fingerprint(text: Column) -> Column:
-    return F.sha2(F.lower(F.regexp_replace(squeezed(text), "[ .,;:!?]+$", "")), 256)
+    """Squeezed and lower-cased, without spaces and ASCII punctuation at the end."""
+    return F.lower(F.regexp_replace(squeezed(text), r"[ \t\n\x0B\f\r\p{Punct}]+$", ""))
 
 
 def error_shape(text: Column) -> Column:
-    """An error message without its ids and numbers."""
-    known = F.regexp_replace(F.lower(text), "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>")
-    return F.substring(F.btrim(F.regexp_replace(F.regexp_replace(known, "[0-9]+", "<n>"), "[ \t\r\n]+", " ")), 1, 500)
+    """An error message without its ids and numbers, up to 500 characters; empty for null."""
+    known = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>")
+    return F.substring(F.regexp_replace(F.regexp_replace(known, "[0-9]+", "<n>"), f"{SPACE}+", " "), 1, 500)
 
 
 def tokens(text: Column) -> Column:

@@ -68,3 +68,80 @@ def together(members: DataFrame, item: int, k: int = 10) -> DataFrame:
     ``members`` is (group, item)."""
     own = members.filter(F.col("item") == item).select("group").distinct()
     return members.join(own, "group", "left_semi").filter(F.col("item") != item).groupBy("item").agg(F.count_distinct("group").alias("shared")).orderBy(F.desc("shared"), "item").limit(k)
+
+
+def upserted_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, rel, weight, edges): one row per natural key, that of the greatest
+    ``seq`` with a weight, and how many there were."""
+    return edges.groupBy("src", "dst", "rel").agg(F.max_by("weight", F.when(F.col("weight").isNotNull(), F.col("seq"))).alias("weight"), F.count("*").alias("edges"))
+
+
+def evidence(edges: DataFrame, node: int, rel: str = "SUPPORTS") -> DataFrame:
+    """(id, strength) of what points at a node by such edges, the strongest first."""
+    return edges.filter((F.col("dst") == node) & (F.col("rel") == rel)).groupBy(F.col("src").alias("id")).agg(F.max(F.coalesce("strength", F.lit(0.0))).alias("strength")).orderBy(F.desc("strength"), "id")
+
+
+def members_of(edges: DataFrame, node: int, rel: str = "MEMBER_OF") -> DataFrame:
+    """(id, strength) of the members of a cluster, strength 1 where none is given."""
+    return edges.filter((F.col("dst") == node) & (F.col("rel") == rel)).select(F.col("src").alias("id"), F.coalesce("strength", F.lit(1.0)).alias("strength"))
+
+
+def concept_members(links: DataFrame, memories: DataFrame, concept: int, k: int = 10) -> DataFrame:
+    """(id, strength, importance) of memories linked to a concept (id, concept, strength),
+    the strongest and then the most important first."""
+    best = links.filter(F.col("concept") == concept).groupBy("id").agg(F.max("strength").alias("strength"))
+    return best.join(memories.select("id", "importance"), "id").orderBy(F.desc_nulls_last("strength"), F.desc_nulls_last("importance"), "id").limit(k)
+
+
+def best_edges(edges: DataFrame, key: str, k: int = 20) -> DataFrame:
+    """The strongest edge of each value of ``key``, ties by the other end, and of
+    these the k strongest: how a self model or the relationships are listed."""
+    best = edges.groupBy(key).agg(F.min(F.struct((-F.coalesce("strength", F.lit(0.0))).alias("s"), "src", "rel")).alias("m"))
+    return best.select(key, F.col("m.src").alias("src"), F.col("m.rel").alias("rel"), (-F.col("m.s")).alias("strength")).orderBy(F.desc("strength"), key).limit(k)
+
+
+def contested_pairs(edges: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(a, b, origin) of contradicting pairs, a < b: pending ones of the ledger (a, b,
+    status), and those of edges that the ledger does not know."""
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    known = ledger.select(*pair("a", "b"), "status")
+    drawn = edges.filter(F.col("rel") == "CONTRADICTS").select(*pair("src", "dst")).filter("a <> b").distinct().join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    pending = known.filter(F.col("status") == "pending").select("a", "b").distinct()
+    return pending.withColumn("origin", F.lit("ledger")).unionByName(drawn.withColumn("origin", F.lit("graph")))
+
+
+def reconsidered(edges: DataFrame, belief: int, size: int, offset: int = 0) -> DataFrame:
+    """A page of what bears on a belief: contradicting edges first, then supporting ones."""
+    order = F.when(F.col("rel") == "CONTRADICTS", 1).when(F.col("rel") == "SUPPORTS", 2)
+    some = edges.filter(F.col("dst") == belief).select(F.col("src").alias("id"), order.alias("direction")).filter("direction is not null").distinct()
+    return some.orderBy("direction", "id").offset(offset).limit(size)
+
+
+def goal_links(edges: DataFrame, goal: int, names: dict[str, str]) -> DataFrame:
+    """(id, link) of what an edge of a named kind joins to a goal, from either end."""
+    link = F.coalesce(*[F.when(F.col("rel") == rel, F.lit(name)) for rel, name in names.items()])
+    ends = edges.filter((F.col("src") == goal) | (F.col("dst") == goal)).filter(F.col("rel").isin(*names))
+    return ends.select(F.when(F.col("src") == goal, F.col("dst")).otherwise(F.col("src")).alias("id"), link.alias("link")).distinct()
+
+
+def plan_layers(steps: DataFrame, needs: DataFrame, most: int = 1000) -> DataFrame:
+    """(step, layer) of steps in the order of what they need (step, needs): each is one
+    layer after the last of those. Steps of a circle, or behind one, have none.
+
+    Each round settles the steps whose needs are settled, so rounds are as many
+    as layers; a step that needs what is not listed is never settled.
+    """
+    steps, needs = steps.select("step").distinct(), needs.select("step", "needs").distinct()
+    wants = needs.groupBy("step").agg(F.count("*").alias("_want"))
+    done = steps.join(wants, "step", "left_anti").withColumn("layer", F.lit(0))
+    total, settled = steps.count(), 0
+    for _ in range(most):
+        done = done.checkpoint()
+        now = done.count()
+        if now in (settled, total):
+            break
+        settled = now
+        ready = needs.join(done.select(F.col("step").alias("needs"), "layer"), "needs").groupBy("step").agg(F.count("*").alias("_have"), F.max("layer").alias("layer"))
+        ready = ready.join(wants, "step").filter("_have = _want").join(steps, "step", "left_semi").select("step", (F.col("layer") + 1).alias("layer"))
+        done = done.unionByName(ready.join(done.select("step"), "step", "left_anti"))
+    return done

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import normalized
+from cairnlake.functions.text import content_hash, normalized
 
 
 def upserted(held: DataFrame, incoming: DataFrame, key: str, value: str, frozen: str) -> DataFrame:
     """(key, value, action) of the table after the upsert: inserted, updated,
-    unchanged or kept. Rows with a true ``frozen`` column keep their value."""
+    unchanged or kept. Rows with a true ``frozen`` column keep their value. Of rows
+    that share a key the one with the greatest value counts, on either side."""
+    one = lambda df, *more: df.groupBy(key).agg(F.max(value).alias(value), *more)
+    held, incoming = one(held, F.max(F.coalesce(F.col(frozen), F.lit(False))).alias(frozen)), one(incoming)
     h = held.select(key, F.col(value).alias("_old"), F.coalesce(F.col(frozen), F.lit(False)).alias("_frozen"), F.lit(True).alias("_held"))
     n = incoming.select(key, F.col(value).alias("_new"), F.lit(True).alias("_came"))
     both = h.join(n, key, "full")
@@ -39,35 +42,50 @@ def chunk_renewal(held: DataFrame, fresh: DataFrame, doc: str = "doc_id", index:
 
 def import_conflicts(held: DataFrame, incoming: DataFrame, ref: str = "ref", content: str = "content") -> DataFrame:
     """(ref, verdict) of a dry run: same, conflict, duplicate (its content is held
-    under another ref) or new. Content is compared once normalised and lower-cased."""
-    digest = lambda c: F.sha2(F.lower(F.btrim(normalized(F.coalesce(c, F.lit(""))))), 256)
-    h = held.select(F.col(ref), digest(F.col(content)).alias("_held"))
+    under another ref) or new. Content is compared by its canonical hash. Of rows that
+    share a ref the one with the least hash counts, on either side."""
+    first = lambda df, name: df.groupBy(ref).agg(F.min(content_hash(F.col(content))).alias(name))
+    h = first(held, "_held")
     known = h.select(F.col("_held").alias("_digest")).distinct().withColumn("_known", F.lit(True))
-    out = incoming.select(ref, digest(F.col(content)).alias("_digest")).join(h, ref, "left").join(known, "_digest", "left")
+    out = first(incoming, "_digest").join(h, ref, "left").join(known, "_digest", "left")
     verdict = F.when(F.col("_held") == F.col("_digest"), "same").when(F.col("_held").isNotNull(), "conflict").when(F.col("_known"), "duplicate").otherwise("new")
     return out.select(ref, verdict.alias("verdict"))
 
 
-def turn_pairs(turns: DataFrame, session: str = "conv_id", order: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
+def turn_identity(asked: Column, reply: Column, session: Column, source: Column) -> Column:
+    """The name of the turn's source where it has one, else a digest of both texts,
+    normalised, and the session."""
+    named, mark = F.btrim(F.coalesce(source, F.lit("")), F.lit(" ")), F.lit("\x1e")
+    hashed = F.sha2(F.concat(normalized(asked), mark, normalized(reply), mark, F.coalesce(session.cast("string"), F.lit(""))), 256)
+    return F.when(named != "", F.concat(F.lit("src:"), named)).otherwise(F.concat(F.lit("hash:"), hashed))
+
+
+def turn_pairs(turns: DataFrame, session: str = "conv_id", order: str = "turn", role: str = "role", content: str = "text", source: str | None = None) -> DataFrame:
     """(session, order, pair, identity): each user turn with the reply right after
-    it (or an empty one), and a digest of both and the session."""
+    it (or an empty one), and its identity."""
     w = W.partitionBy(session).orderBy(order)
     after = F.when(F.lead(role).over(w) == "assistant", F.lead(content).over(w))
     asked = turns.withColumn("_reply", F.coalesce(after, F.lit(""))).filter(F.col(role) == "user")
     said = F.coalesce(F.col(content), F.lit(""))
-    mark = F.lit("\x1e")
+    named = F.col(source) if source else F.lit(None).cast("string")
     return asked.select(
         session, order, F.concat(F.lit("user: "), said, F.lit("\n\nagent: "), F.col("_reply")).alias("pair"),
-        F.concat(F.lit("hash:"), F.sha2(F.concat(said, mark, F.col("_reply"), mark, F.col(session).cast("string")), 256)).alias("identity"),
+        turn_identity(F.col(content), F.col("_reply"), F.col(session), named).alias("identity"),
     )
 
 
-def embedding_input(content: Column, most: int, mark: str = "\n...\n") -> Column:
-    """Long texts as 70 % head, a mark and 30 % tail."""
+#: What stands for the middle of a shortened text; callers pass their own.
+SHORTENED = "\n\n[... the full text remains stored; this input was shortened ...]\n\n"
+
+
+def embedding_input(content: Column, most: int = 1800, mark: str = SHORTENED) -> Column:
+    """Long texts as 70 % head, rounded up, a mark and the tail; texts of 500
+    characters are never long, and with little room the head alone is taken."""
+    content, most = F.coalesce(content, F.lit("")), max(most, 500)
     room = most - len(mark)
-    head = room * 7 // 10
-    tail = room - head
-    return F.when(F.length(content) <= most, content).otherwise(F.concat(F.left(content, F.lit(head)), F.lit(mark), F.right(content, F.lit(tail))))
+    head = -(-room * 7 // 10)
+    cut = F.concat(F.left(content, F.lit(head)), F.lit(mark), F.right(content, F.lit(room - head))) if room >= 100 else F.left(content, F.lit(most))
+    return F.when(F.length(content) <= most, content).otherwise(cut)
 
 
 def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:

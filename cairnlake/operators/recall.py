@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
+from cairnlake.operators.filters import json_holds
 from cairnlake.operators.rollups import top_of_each
 from cairnlake.operators.search import term_scores
 from cairnlake.operators.vectors import cosine
@@ -99,3 +100,34 @@ def history(sources: dict[str, DataFrame], term: str, each: int, preview: int =
         return found.select(F.lit(name).alias("source"), F.col("id").cast("string").alias("id"), F.substring("content", 1, preview).alias("preview"))
 
     return reduce(DataFrame.unionByName, [hits(n, d) for n, d in sources.items()])
+
+
+def by_ids(memories: DataFrame, ids: list[int], max_chars: int | None = None) -> DataFrame:
+    """The rows with these ids, their content cut to ``max_chars``."""
+    some = memories.filter(F.col("id").isin(ids))
+    return some if max_chars is None else some.withColumn("content", F.left("content", F.lit(max_chars)))
+
+
+def recent(memories: DataFrame, k: int, as_of, types: list[str] | None = None, by_access: bool = False) -> DataFrame:
+    """The k latest live memories by creation or by access, those never accessed last."""
+    live = memories.filter((F.col("status") == "active") & (F.col("valid_until").isNull() | (F.col("valid_until") > as_of)))
+    live = live if types is None else live.filter(F.col("type").isin(types))
+    return live.orderBy(F.desc_nulls_last("last_accessed" if by_access else "created_at"), "id").limit(k)
+
+
+def previews(memories: DataFrame, n: int) -> DataFrame:
+    """Adds the first n characters and the length of the content."""
+    return memories.withColumns({"preview": F.left("content", F.lit(n)), "n_chars": F.length("content")})
+
+
+def structured(hits: DataFrame, memories: DataFrame, k: int, types: list[str] | None = None, least_importance: float | None = None, content_hash: str | None = None, after=None, before=None, holds: dict | None = None) -> DataFrame:
+    """The k best of scored ``hits`` (id, score) among the memories that pass all given
+    filters; the memories are filtered before they are joined."""
+    some = memories if types is None else memories.filter(F.col("type").isin(types))
+    wanted = [
+        None if least_importance is None else F.col("importance") >= least_importance, None if content_hash is None else F.col("content_hash") == content_hash,
+        None if after is None else F.col("created_at") >= after, None if before is None else F.col("created_at") < before, None if holds is None else json_holds(F.col("metadata"), holds),
+    ]
+    for condition in wanted:
+        some = some if condition is None else some.filter(condition)
+    return some.join(hits, "id").filter("score is not null").orderBy(F.desc("score"), F.desc("created_at"), "id").limit(k)

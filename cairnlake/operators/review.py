@@ -72,10 +72,12 @@ def answer_scores(answers: DataFrame, dimension: str = "dimension", given: str =
 
 
 def alignment(edges: DataFrame) -> DataFrame:
-    """(node, alignment): weights of supporting less contradicting edges by their sum, -1 to 1."""
+    """(node, alignment) of edges (src, dst, rel, weight) that lead to held views:
+    weights of supporting less contradicting ones by their sum, -1 to 1, for the
+    node they leave. Pass the edges to other nodes too and they would count."""
     w = lambda rel: F.sum(F.when(F.col("rel") == rel, F.col("weight")).otherwise(0.0))
     both = w("SUPPORTS") + w("CONTRADICTS")
-    return edges.groupBy(F.col("dst").alias("node")).agg(F.when(both > 0, clamp((w("SUPPORTS") - w("CONTRADICTS")) / both, -1.0, 1.0)).otherwise(0.0).alias("alignment"))
+    return edges.groupBy(F.col("src").alias("node")).agg(F.when(both > 0, clamp((w("SUPPORTS") - w("CONTRADICTS")) / both, -1.0, 1.0)).otherwise(0.0).alias("alignment"))
 
 
 def trust_distribution(rows: DataFrame, kind: str, trust: Column, low: float = 0.5) -> DataFrame:

@@ -28,7 +28,8 @@ def most_frequent(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def priced(names: DataFrame, prices: list[tuple[str, float]], name_col: str) -> DataFrame:
     """Adds ``price_key`` and ``price`` of the listed key that equals the name, or
-    else of the longest that begins it; null without one. Distinct names are
-    few, so the list is a constant of the plan."""
-    fits = F.array(*[F.when(F.startswith(F.col(name_col), F.lit(k)), F.struct(F.lit(len(k)).alias("n"), F.lit(k).alias("k"), F.lit(float(p)).alias("p"))) for k, p in prices])
+    else of the longest that begins it or that it begins; null without one. The
+    list of prices is a constant of the plan."""
+    name = F.col(name_col)
+    fits = F.array(*[F.when(F.startswith(name, F.lit(k)) | F.startswith(F.lit(k), name), F.struct((name == k).alias("e"), F.lit(len(k)).alias("n"), F.lit(k).alias("k"), F.lit(float(p)).alias("p"))) for k, p in prices])
     return names.withColumn("_fit", F.array_max(fits)).withColumns({"price_key": F.col("_fit.k"), "price": F.col("_fit.p")}).drop("_fit")

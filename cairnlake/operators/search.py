@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import normalized, tokens
+from cairnlake.functions.text import content_hash, tokens
 
 
 def term_scores(df: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,5 +49,5 @@ def snippets(df: DataFrame, term: str, around: int = 40, id_col: str = "doc_id",
 
 def equal_content(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(content_hash, copies, first_id) of texts that occur more than once once normalised."""
-    hashed = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(normalized(F.col(text_col)), 256).alias("content_hash"))
+    hashed = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), content_hash(F.col(text_col)).alias("content_hash"))
     return hashed.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).filter("copies > 1")

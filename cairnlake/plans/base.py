@@ -16,6 +16,12 @@ QUERY_ID = 0
 SQL_SIM = "list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[])"
 
 
+#: White space of Unicode as DuckDB's patterns name it, and texts as they are compared.
+SQL_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SQL_CANONICAL = f"lower(regexp_replace(regexp_replace(coalesce({{0}}, ''), '^{SQL_WHITE.replace('{', '{{').replace('}', '}}')}+|{SQL_WHITE.replace('{', '{{').replace('}', '}}')}+$', '', 'g'), '{SQL_WHITE.replace('{', '{{').replace('}', '}}')}+', ' ', 'g'))"
+SQL_NORMALIZED = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(coalesce({0}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)[ \t]+$', '', 'g'), '^\n+', ''), '\n+$', '')"
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
 from cairnlake.operators import graph, lifecycle, rollups, search, temporal, vectors
-from cairnlake.plans import memory
-from cairnlake.plans.base import ORACLES, QUERIES, QUERY_ID, SQL_SIM, query
+from cairnlake.plans import memory, status, upkeep
+from cairnlake.plans.base import ORACLES, QUERIES, QUERY_ID, SQL_CANONICAL, SQL_SIM, query
 from cairnlake.plans.base import as_of as _as_of
 from cairnlake.plans.base import events as _events
 from cairnlake.plans.base import table as _t
 from cairnlake.plans.base import vector as _vector
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "memory"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "memory", "status", "upkeep"]
 FLAGSHIP = "hybrid_recall"
 
 # Vectors
@@ -48,11 +48,12 @@ def vector_threshold(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", sim.alias("s")).filter("s >= 0.3").select("vec_id", F.round("s", 6).alias("similarity"))
 
 
-@query(f"""WITH a AS (SELECT count(*) FILTER (s > 0.5) AS matches, max(s) AS b FROM (SELECT {SQL_SIM} AS s FROM embeddings e))
-SELECT matches, round(b, 6) AS best, CASE WHEN matches = 0 THEN 'nothing' WHEN matches < 3 THEN 'vague' WHEN matches < 10 THEN 'something' WHEN b < 0.8 THEN 'familiar' ELSE 'rich' END AS sense FROM a""")
+@query(f"""WITH a AS (SELECT count(*) FILTER (s > 0.5) AS matches, max(s) FILTER (s > 0.5) AS b FROM (SELECT {SQL_SIM} AS s FROM embeddings e))
+SELECT matches, round(b, 6) AS best, CASE WHEN matches = 0 THEN 'nothing' WHEN matches <= 2 THEN 'vague' WHEN matches <= 5 THEN 'something' WHEN matches <= 10 THEN 'familiar' ELSE 'rich' END AS sense,
+CASE WHEN matches = 0 THEN 'unknown' WHEN b > 0.8 THEN 'well known' WHEN b > 0.6 THEN 'familiar' ELSE 'not at once' END AS known FROM a""")
 def memory_availability(spark, sf_dir):
     out = vectors.availability(_t(spark, sf_dir, "embeddings"), _vector(spark, sf_dir))
-    return out.select("matches", F.round("best", 6).alias("best"), "sense")
+    return out.select("matches", F.round("best", 6).alias("best"), "sense", "known")
 
 
 _SQL_CENTER = """means AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, generate_series(1, 64) g(i) GROUP BY label, i),
@@ -136,7 +137,7 @@ def text_chunks(spark, sf_dir):
     return search.chunks(_t(spark, sf_dir, "documents")).drop("content")
 
 
-@query("""WITH n AS (SELECT doc_id, sha256(trim(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+\\n', chr(10), 'g'), chr(10))) AS h FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH n AS (SELECT doc_id, sha256({SQL_CANONICAL.format("text")}) AS h FROM documents WHERE text IS NOT NULL)
 SELECT h AS content_hash, count(*) AS copies, min(doc_id) AS first_id FROM n GROUP BY h HAVING count(*) > 1""")
 def equal_content(spark, sf_dir):
     return search.equal_content(_t(spark, sf_dir, "documents"))
@@ -159,16 +160,18 @@ def trigram_search(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", sim.alias("s")).filter("s >= 0.3").select("c_custkey", F.round("s", 6).alias("similarity"))
 
 
-@query("""WITH s AS (SELECT trim(regexp_replace(regexp_replace(lower(event_type || ' failed: ' || props), '[0-9]+', '<n>', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS shape, ts FROM events)
+@query("""WITH e AS (SELECT CASE WHEN event_id % 5 > 0 THEN '  ' || event_type || ' 0a1b2c3d-0000-4000-8000-00000000000' || event_id % 7 || chr(10) || ' failed: ' || props END AS m, ts FROM events),
+s AS (SELECT regexp_replace(regexp_replace(regexp_replace(lower(coalesce(m, '')), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '<uuid>', 'g'), '[0-9]+', '<n>', 'g'), '\\s+', ' ', 'g') AS shape, ts FROM e)
 SELECT substr(shape, 1, 500) AS shape, count(*) AS n, min(ts) AS first_at FROM s GROUP BY 1""")
 def error_shapes(spark, sf_dir):
-    shape = text.error_shape(F.concat("event_type", F.lit(" failed: "), "props"))
+    message = F.concat(F.lit("  "), "event_type", F.lit(" 0a1b2c3d-0000-4000-8000-00000000000"), F.col("event_id") % 7, F.lit("\n failed: "), "props")
+    shape = text.error_shape(F.when(F.col("event_id") % 5 > 0, message))
     return _t(spark, sf_dir, "events").groupBy(shape.alias("shape")).agg(F.count("*").alias("n"), F.min("ts").alias("first_at"))
 
 
-@query("""SELECT conv_id, turn, sha256(lower(regexp_replace(regexp_replace(substr(trim(text), 1, 4000), '[ \\t\\r\\n]+', ' ', 'g'), '[ .,;:!?]+$', ''))) AS fingerprint FROM conversations""")
+@query("""SELECT conv_id, turn, sha256(lower(regexp_replace(regexp_replace(trim(substr(coalesce(CASE WHEN turn % 4 > 0 THEN '  ' || text || ' -)! ' END, ''), 1, 4000)), '\\s+', ' ', 'g'), '[\\s[:punct:]]+$', ''))) AS fingerprint FROM conversations""")
 def text_fingerprints(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.fingerprint(F.col("text")).alias("fingerprint"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text.fingerprint(F.when(F.col("turn") % 4 > 0, F.concat(F.lit("  "), "text", F.lit(" -)! ")))), 256).alias("fingerprint"))
 
 
 @query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
@@ -190,14 +193,14 @@ _AGE = "(epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 86400000000.0"
 
 
 @query(f"""SELECT event_id, round((value / 100) * exp(-0.05 * least({_AGE}, {_AGE} * 0.5)), 6) AS relevance,
-round(greatest(0.0, least(1.0, value / 100 * exp(-0.01 * greatest({_AGE}, 0.0)))), 6) AS strength,
+round(greatest(0.0, least(1.0, coalesce(CASE WHEN event_id % 9 > 0 THEN value / 100 END, 0.5) * exp(-greatest(coalesce(CASE WHEN event_id % 7 > 0 THEN 0.02 END, 0.01), 0.0) * greatest({_AGE}, 0.0)))), 6) AS strength,
 round(CASE WHEN event_type = 'error' THEN greatest(0.05, 0.6 * (1 - 0.35 * 0.8)) WHEN event_type = 'purchase' THEN least(0.99, 0.6 + 0.4 * 0.35 * 0.8) ELSE 0.6 END::DOUBLE, 6) AS confidence FROM events""")
 def scores(spark, sf_dir):
     importance, ts = F.col("value") / 100, F.col("ts")
     stance = F.when(F.col("event_type") == "error", "contradicts").when(F.col("event_type") == "purchase", "supports").otherwise("none")
     return _events(spark, sf_dir).select(
         "event_id", F.round(scoring.relevance(importance, F.lit(0.05), ts, ts, _as_of()), 6).alias("relevance"),
-        F.round(scoring.strength(importance, F.lit(0.01), ts, F.lit(None).cast("timestamp"), _as_of()), 6).alias("strength"),
+        F.round(scoring.strength(F.when(F.col("event_id") % 9 > 0, importance), F.when(F.col("event_id") % 7 > 0, F.lit(0.02)), ts, F.lit(None).cast("timestamp"), _as_of()), 6).alias("strength"),
         F.round(scoring.revised_confidence(F.lit(0.6), stance, F.lit(0.8)), 6).alias("confidence"),
     )
 
@@ -212,12 +215,12 @@ def felt_intensity(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT source, count(DISTINCT lang) AS n, avg((length(coalesce(text, '')) % 100) / 100.0) AS t FROM documents GROUP BY source)
-SELECT source, round(1 - exp(-0.8 * n * t), 6) AS support, round(0.9 * (0.15 + 0.85 * (1 - exp(-0.8 * n * t))), 6) AS trust FROM s""")
+SELECT source, round(1 - exp(-0.8 * n * t), 6) AS support, round(CASE WHEN n > 2 THEN least(0.5, 0.5 * (0.15 + 0.85 * (1 - exp(-0.8 * n * t))) + 0.1 * 1.0) ELSE least(1.0, greatest(0.0, 0.9 * (0.15 + 0.85 * (1 - exp(-0.8 * n * t))) * (1.0 - 0.3))) END, 6) AS trust FROM s""")
 def source_trust(spark, sf_dir):
     mean = F.avg((F.length(F.coalesce("text", F.lit(""))) % 100) / 100.0)
     out = _t(spark, sf_dir, "documents").groupBy("source").agg(F.count_distinct("lang").alias("n"), mean.alias("t"))
     support = scoring.source_support(F.col("n"), F.col("t"))
-    return out.select("source", F.round(support, 6).alias("support"), F.round(scoring.semantic_trust(F.lit(0.9), support, F.lit(0.0)), 6).alias("trust"))
+    return out.select("source", F.round(support, 6).alias("support"), F.round(scoring.semantic_trust(F.when(F.col("n") <= 2, F.lit(0.9)), support, F.when(F.col("n") > 2, F.lit(7.0)).otherwise(F.lit(-0.3))), 6).alias("trust"))
 
 
 # Aggregates
@@ -270,14 +273,16 @@ def conversation_stats(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.min_by(head, "turn").alias("opening"), F.max_by(head, "turn").alias("closing"))
 
 
-_PRICES = [("ECONOMY", 1.0), ("ECONOMY B", 1.5), ("STANDARD", 2.0), ("PROMO", 0.5), ("S", 3.0), ("L", 2.5)]
+_PRICES = [("ECONOMY", 1.0), ("ECONOMY-1", 1.5), ("STANDARD", 2.0), ("PROMO-2024", 0.5), ("S", 3.0), ("L", 2.5), ("SMALL-2", 4.0), ("SMALL-20", 5.0)]
 
 
 @query(f"""WITH p(k, price) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in _PRICES)}),
-r AS (SELECT p_partkey, p_size, k, price, row_number() OVER (PARTITION BY p_partkey ORDER BY length(k) DESC, k DESC) AS n FROM part LEFT JOIN p ON starts_with(p_type, k))
+m AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 2 = 0 THEN p_type || '-' || p_size ELSE p_type END AS model FROM part),
+r AS (SELECT p_partkey, p_size, k, price, row_number() OVER (PARTITION BY p_partkey ORDER BY k = model DESC, length(k) DESC, k DESC) AS n FROM m LEFT JOIN p ON starts_with(model, k) OR starts_with(k, model))
 SELECT p_partkey, k AS price_key, round(p_size * price::DOUBLE / 1000000.0, 6) AS cost FROM r WHERE n = 1""")
 def prefix_costs(spark, sf_dir):
-    out = rollups.priced(_t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type"), _PRICES, "p_type")
+    model = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_type", F.lit("-"), "p_size")).otherwise(F.col("p_type"))
+    out = rollups.priced(_t(spark, sf_dir, "part").select("p_partkey", "p_size", model.alias("model")), _PRICES, "model")
     return out.select("p_partkey", "price_key", F.round(F.col("p_size") * F.col("price") / 1000000.0, 6).alias("cost"))
 
 
@@ -386,13 +391,13 @@ def idle_sessions(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT event_id AS task_id, ts AS created_at, CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' ELSE 'done' END AS status, (event_id % 4)::INTEGER AS attempts, ts + INTERVAL 1 HOUR AS claimed_at FROM events)
-SELECT task_id, 'in_progress' AS status, attempts + 1 AS attempts, round(30.0 * power(2.0, attempts), 3) AS retry_seconds FROM t
+SELECT task_id, 'in_progress' AS status, attempts + 1 AS attempts, round(30.0 * power(2.0, greatest(attempts - 1, 0)), 3) AS retry_seconds FROM t
 WHERE status = 'pending' OR status = 'in_progress' AND claimed_at < TIMESTAMP '2024-01-10' - INTERVAL 10 MINUTE ORDER BY created_at, task_id LIMIT 100""")
 def queue_lease(spark, sf_dir):
     kind = F.when(F.col("event_id") % 3 == 0, "pending").when(F.col("event_id") % 3 == 1, "in_progress").otherwise("done")
     tasks = _events(spark, sf_dir).select(F.col("event_id").alias("task_id"), F.col("ts").alias("created_at"), kind.alias("status"), (F.col("event_id") % 4).cast("int").alias("attempts"), (F.col("ts") + F.expr("interval 1 hour")).alias("claimed_at"))
     out = lifecycle.lease(tasks, F.lit("2024-01-10").cast("timestamp"), 100)
-    return out.select("task_id", "status", "attempts", F.round(scoring.backoff_seconds(30, F.col("attempts")), 3).alias("retry_seconds"))
+    return out.select("task_id", "status", "attempts", F.round(scoring.backoff_seconds(30, F.col("attempts") - 1), 3).alias("retry_seconds"))
 
 
 @query("""SELECT event_id, event_type, n AS starts FROM (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n > 5""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import schedule, scoring
 from cairnlake.operators import intake, recall, review, rollups, search, vectors
-from cairnlake.plans.base import SQL_SIM, events, query, table, vector
+from cairnlake.plans.base import SQL_CANONICAL, SQL_NORMALIZED, SQL_SIM, events, query, table, vector
 
 # Recall
 
@@ -126,7 +126,7 @@ def chunk_renewal(spark, sf_dir):
     return intake.chunk_renewal(search.chunks(docs.withColumn("text", older)), search.chunks(docs))
 
 
-@query("""WITH d AS (SELECT doc_id AS ref, lower(trim(trim(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+\\n', chr(10), 'g'), chr(10)))) AS t FROM documents),
+@query(f"""WITH d AS (SELECT doc_id AS ref, {SQL_CANONICAL.format("text")} AS t FROM documents),
 h AS (SELECT ref, t FROM d WHERE ref % 2 = 0), n AS (SELECT ref, CASE WHEN ref % 4 = 0 THEN t || '#' ELSE t END AS t FROM d)
 SELECT n.ref, CASE WHEN h.t = n.t THEN 'same' WHEN h.ref IS NOT NULL THEN 'conflict' WHEN n.t IN (SELECT t FROM h) THEN 'duplicate' ELSE 'new' END AS verdict FROM n LEFT JOIN h ON h.ref = n.ref""")
 def import_dry_run(spark, sf_dir):
@@ -135,15 +135,21 @@ def import_dry_run(spark, sf_dir):
     return intake.import_conflicts(docs.filter("ref % 2 = 0"), new)
 
 
-@query("""WITH a AS (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, 'user: ' || coalesce(text, '') || chr(10) || chr(10) || 'agent: ' || coalesce(reply, '') AS pair, 'hash:' || sha256(coalesce(text, '') || chr(30) || coalesce(reply, '') || chr(30) || conv_id::VARCHAR) AS identity FROM a WHERE role = 'user'""")
+@query(f"""WITH a AS (SELECT *, CASE WHEN turn % 8 = 0 THEN ' mail ' || turn || ' ' END AS source, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, 'user: ' || coalesce(text, '') || chr(10) || chr(10) || 'agent: ' || coalesce(reply, '') AS pair, CASE WHEN trim(coalesce(source, '')) <> '' THEN 'src:' || trim(source) ELSE 'hash:' || sha256({SQL_NORMALIZED.format("text")} || chr(30) || {SQL_NORMALIZED.format("reply")} || chr(30) || conv_id::VARCHAR) END AS identity FROM a WHERE role = 'user'""")
 def turn_pairs(spark, sf_dir):
-    return intake.turn_pairs(table(spark, sf_dir, "conversations"))
+    turns = table(spark, sf_dir, "conversations").withColumn("source", F.when(F.col("turn") % 8 == 0, F.concat(F.lit(" mail "), "turn", F.lit(" "))))
+    return intake.turn_pairs(turns, source="source")
 
 
-@query("""SELECT doc_id, sha256(CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 696) || chr(10) || '...' || chr(10) || right(text, 299) END) AS input_hash FROM documents WHERE text IS NOT NULL""")
+_SQL_MARK = "(chr(10) || chr(10) || '[... the full text remains stored; this input was shortened ...]' || chr(10) || chr(10))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 > 0 THEN text ELSE NULL END AS t, 1000 - length({_SQL_MARK}) AS room FROM documents)
+SELECT doc_id, sha256(CASE WHEN length(coalesce(t, '')) <= 1000 THEN coalesce(t, '') ELSE left(t, ceil(room * 0.7)::INTEGER) || {_SQL_MARK} || right(t, room - ceil(room * 0.7)::INTEGER) END) AS input_hash FROM d""")
 def embedding_inputs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2(intake.embedding_input(F.col("text"), 1000), 256).alias("input_hash"))
+    text = F.when(F.col("doc_id") % 10 > 0, F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(intake.embedding_input(text, 1000), 256).alias("input_hash"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, c AS "check" FROM (SELECT l_orderkey, l_linenumber, unnest([CASE WHEN NOT l_quantity <= 45 THEN 'quantity' END, CASE WHEN NOT l_discount < 0.1 THEN 'discount' END]) AS c FROM lineitem) WHERE c IS NOT NULL""")
@@ -215,13 +221,13 @@ def answer_scores(spark, sf_dir):
     return review.answer_scores(both).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH e AS (SELECT l_partkey AS node, CASE WHEN l_returnflag = 'R' THEN 'CONTRADICTS' WHEN l_returnflag = 'A' THEN 'SUPPORTS' ELSE 'RELATED' END AS rel, l_quantity AS w FROM lineitem),
+@query("""WITH e AS (SELECT l_orderkey AS node, CASE WHEN l_returnflag = 'R' THEN 'CONTRADICTS' WHEN l_returnflag = 'A' THEN 'SUPPORTS' ELSE 'RELATED' END AS rel, l_quantity AS w FROM lineitem WHERE l_partkey % 3 = 0),
 s AS (SELECT node, coalesce(sum(w) FILTER (rel = 'SUPPORTS'), 0) AS a, coalesce(sum(w) FILTER (rel = 'CONTRADICTS'), 0) AS b FROM e GROUP BY node)
 SELECT node, round(CASE WHEN a + b > 0 THEN (a - b) / (a + b) ELSE 0 END, 6) AS alignment FROM s""")
 def belief_alignment(spark, sf_dir):
     rel = F.when(F.col("l_returnflag") == "R", "CONTRADICTS").when(F.col("l_returnflag") == "A", "SUPPORTS").otherwise("RELATED")
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), rel.alias("rel"), F.col("l_quantity").alias("weight"))
-    return review.alignment(edges).withColumn("alignment", F.round("alignment", 6))
+    return review.alignment(edges.filter("dst % 3 = 0")).withColumn("alignment", F.round("alignment", 6))
 
 
 @query("""SELECT source, count(*) AS n, count(DISTINCT round((doc_id % 37) / 37.0, 2)) AS levels, count(*) FILTER ((doc_id % 37) / 37.0 < 0.5) AS low, round(min((doc_id % 37) / 37.0), 6) AS least, round(max((doc_id % 37) / 37.0), 6) AS most, round(avg((doc_id % 37) / 37.0), 6) AS mean FROM documents GROUP BY source""")
@@ -252,7 +258,7 @@ def backlog_snapshot(spark, sf_dir):
 SELECT event_id, round(CASE WHEN calm THEN CASE WHEN x > 0.5 THEN greatest(0.5, x - 0.05) WHEN x < 0.5 THEN least(0.5, x + 0.05) ELSE x END ELSE least(1.0, x + 0.1) END, 6) AS drive,
 round(least(30.0, least(least(x * 30, 30.0), 10.0) + greatest(least(x * 30, 30.0) - 10, 0) * power(0.5, h / 24) + 0.5 * h), 6) AS energy,
 round(least(120.0, greatest(15.0, 60 * greatest(0.25, 1.5 - least(x * 3, 2.0) * 0.75))), 6) AS cadence,
-round(greatest(0.0, least(1.0, x * (1 + 0.1 * ln(event_id % 50 + 1)))), 6) AS importance, round(greatest(0.0, least(1.0, x + (0.5 - x) * 0.02)), 6) AS tonic, round(greatest(0.3, least(1.0, 1 - 0.7 * x)), 6) AS decay,
+round(greatest(0.0, least(1.0, x * (1 + 0.1 * ln(event_id % 50 + 1)))), 6) AS importance, round(greatest(0.0, least(1.0, x + (0.5 - x) * 0.02)), 6) AS tonic, round(greatest(0.3, least(1.0, 1 - 0.7 * coalesce(CASE WHEN event_id % 6 > 0 THEN x END, 0.5))), 6) AS decay,
 round(0.6 * (1 - abs(x - 0.5) / 2) + 0.3 * CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 1 - abs(x - 0.2) END + 0.1 * CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, 6) AS mood FROM b JOIN (SELECT event_id, event_type FROM events) USING (event_id)""")
 def state_scores(spark, sf_dir):
     x, e = F.col("value") / 100, F.col("event_id")
@@ -260,7 +266,7 @@ def state_scores(spark, sf_dir):
     return events(spark, sf_dir).select(
         "event_id", F.round(scoring.drive_level(x, F.lit(0.5), F.col("ts"), now, 864_000, 0.1, 0.05), 6).alias("drive"),
         F.round(scoring.energy(x * 30, (e % 48).cast("double"), 10.0, 30.0, 24.0, F.lit(0.5)), 6).alias("energy"), F.round(scoring.cadence_minutes(x * 3), 6).alias("cadence"),
-        F.round(scoring.grown_importance(x, e % 50), 6).alias("importance"), F.round(scoring.drifted(x), 6).alias("tonic"), F.round(scoring.decay_multiplier(x), 6).alias("decay"),
+        F.round(scoring.grown_importance(x, e % 50), 6).alias("importance"), F.round(scoring.drifted(x), 6).alias("tonic"), F.round(scoring.decay_multiplier(F.when(e % 6 > 0, x)), 6).alias("decay"),
         F.round(scoring.mood_match(x, F.when(e % 3 != 0, x), F.col("event_type"), 0.5, 0.2, "purchase"), 6).alias("mood"),
     )
 
