@@ -206,15 +206,16 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Network | None:
     a share of them by a hash of doc_id and text, and of all drawn the first
     ``sample_texts`` times ``WINDOWS_A_TEXT`` windows. So what reaches the driver
     is bounded, whatever repeats, and however many languages there are: of more
-    languages than ``sample_texts`` some are not learned.
+    languages than ``sample_texts`` the most frequent are learned.
     """
     labelled = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    # The most frequent languages, so what is broadcast has no more rows than the sample.
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(sample_texts)
     n_langs = counts.count()
     if not n_langs:
         return None
     share = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(1.2 * sample_texts / n_langs) / F.col("_n")).alias("_share"))
-    drawn = labelled.withColumn("draw", F.xxhash64(F.lit(41), "doc_id", "text")).join(share, F.col("lang") == F.col("_lang"))
+    drawn = labelled.withColumn("draw", F.xxhash64(F.lit(41), "doc_id", "text")).join(F.broadcast(share), F.col("lang") == F.col("_lang"))
     drawn = drawn.filter(F.pmod("draw", F.lit(1 << 30)) < F.col("_share") * float(1 << 30)).select("text", "lang", "draw")
     rows = drawn.mapInArrow(_learned, "lang string, draw long, window binary").orderBy("draw", "window").limit(sample_texts * WINDOWS_A_TEXT).toArrow()
     rows = rows.sort_by([("lang", "ascending"), ("window", "ascending")])
