@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
 from cairnlake.operators.filters import json_holds
+from cairnlake.operators.reports import meta
 from cairnlake.operators.rollups import top_of_each
 from cairnlake.operators.search import term_scores
 from cairnlake.operators.vectors import cosine
@@ -131,3 +132,65 @@ def structured(hits: DataFrame, memories: DataFrame, k: int, types: list[str] |
     for condition in wanted:
         some = some if condition is None else some.filter(condition)
     return some.join(hits, "id").filter("score is not null").orderBy(F.desc("score"), F.desc("created_at"), "id").limit(k)
+
+
+#: Tier of each type of memory.
+TIERS = {"episodic": "episodic", "semantic": "semantic", "procedural": "knowledge", "strategic": "knowledge", "worldview": "knowledge", "goal": "knowledge"}
+#: Edges along which a memory calls up another (fixed values).
+CALLING = ("SUPPORTS", "CONTRADICTS", "CAUSES", "CONTESTED_BECAUSE", "RELATED_TO", "SUPERSEDES")
+
+
+def _mood(now: tuple[float, float, str]) -> Column:
+    """How near a memory's mood is to the present one, by its emotional context or,
+    without one, by its valence; 0.5 for what is not told."""
+    of = lambda path, kind="double": meta(path, kind)
+    near = lambda x, y, width: F.coalesce(1.0 - F.abs(x - y) / width, F.lit(0.5))
+    felt = of("emotional_context.primary_emotion", "string")
+    whole = near(of("emotional_context.valence"), now[0], 2.0) * 0.6 + near(of("emotional_context.arousal"), now[1], 1.0) * 0.3
+    whole = whole + F.when(felt.isNull(), 0.5).when(felt == now[2], 1.0).otherwise(0.7) * 0.1
+    return F.when(meta("emotional_context").isNotNull(), whole).otherwise(near(of("emotional_valence"), now[0], 2.0))
+
+
+def in_context(
+    memories: DataFrame, query: list[float], as_of: Column, neighbours: DataFrame, edges: DataFrame, open_members: DataFrame,
+    ks: dict[str, int] | None = None, mood: tuple[float, float, str] = (0.0, 0.5, "neutral"), least_trust: float = 0.0, show_private: bool = True,
+) -> DataFrame:
+    """(id, tier, score, source, rank): the memories that a query calls up, by tier.
+
+    Live embedded memories are compared with the query; the 2k nearest of each tier
+    are seeds. Others are called up by neighbourhoods (id, neighbour, weight), by
+    typed edges (src, dst, rel, weight) either way, or stand in an open episode
+    (id). Only these candidates, a bounded table, are joined to their rows again
+    and scored: similarity dimmed by fading, what calls them up, recency, trust,
+    boost, mood, and a deduction for bad precedents.
+    """
+    ks = ks or {"episodic": 5, "semantic": 10, "knowledge": 5}
+    live = memories.filter((F.col("status") == "active") & (F.col("embedding_status") == "embedded") & (F.col("valid_until").isNull() | (F.col("valid_until") > as_of)))
+    live = live if show_private else live.filter(F.coalesce("sensitivity", F.lit("")) != "private")
+    tier = F.coalesce(*[F.when(F.col("type") == t, F.lit(name)) for t, name in TIERS.items()])
+    live = live.withColumns({"similarity": cosine(F.col("embedding"), query), "tier": tier}).drop("embedding").filter("similarity is not null and tier is not null")
+
+    most = F.coalesce(*[F.when(F.col("tier") == t, F.lit(2 * k)) for t, k in ks.items()])
+    ranked = live.select("id", "tier", "similarity").withColumn("_r", F.row_number().over(W.partitionBy("tier").orderBy(F.desc("similarity"), "id")))
+    seeds = ranked.filter(F.col("_r") <= most).select("id", F.col("similarity").alias("vector"))
+
+    near = neighbours.join(seeds, "id").groupBy(F.col("neighbour").alias("id")).agg(F.max(F.col("weight") * F.col("vector")).alias("association"))
+    called = edges.filter(F.col("rel").isin(*CALLING)).select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    both = called.unionByName(called.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    linked = both.join(seeds, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.max(F.col("weight") * F.col("vector")).alias("graph"))
+    present = open_members.select("id").distinct().orderBy("id").limit(20).withColumn("temporal", F.lit(0.15))
+    pool = seeds.join(near, "id", "full").join(linked, "id", "full").join(present, "id", "full")
+
+    kept = live.filter(F.col("trust_level") >= least_trust).join(pool, "id")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    strong = scoring.strength(F.col("importance"), F.col("decay_rate"), F.col("created_at"), F.col("last_reinforced"), as_of)
+    felt = scoring.felt_intensity(meta("emotional_context.intensity", "double"), meta("emotional_valence", "double"), F.col("created_at"), F.col("last_reinforced"), as_of)
+    fresh = F.exp(-F.log(F.lit(2.0)) * F.greatest(scoring.age_in_days(F.col("created_at"), as_of), F.lit(0.0)) / 7.0)
+    score = (
+        F.coalesce("vector", "similarity") * (0.5 + 0.5 * F.greatest(strong, 0.5 * felt)) + none("association") * 0.2 + none("temporal") + none("graph") * 0.12 + 0.1 * fresh
+        + F.coalesce("trust_level", F.lit(0.5)) * 0.1 + scoring.clamp(none("activation_boost")) * 0.3 - F.when(F.coalesce("invalid_precedent", F.lit(False)), 0.35).otherwise(0.0) + _mood(mood) * 0.05
+    )
+    source = F.when(F.col("vector").isNotNull(), "vector").when(F.col("association").isNotNull(), "association").when(F.col("temporal").isNotNull(), "temporal").otherwise("graph")
+    scored = kept.select("id", "tier", F.greatest(score, F.lit(0.001)).alias("score"), source.alias("source"))
+    out = scored.withColumn("rank", F.row_number().over(W.partitionBy("tier").orderBy(F.desc("score"), "id")))
+    return out.filter(F.col("rank") <= F.coalesce(*[F.when(F.col("tier") == t, F.lit(k)) for t, k in ks.items()]))

@@ -58,6 +58,9 @@ TABLES = {
       CASE WHEN event_id % 5 > 0 THEN value / 7 END AS duration_seconds, ts AS created_at, CASE WHEN event_id % 3 = 0 THEN 'running' ELSE 'stopped' END AS status, user_id AS worker,
       ts + INTERVAL 20 HOUR AS last_seen_at FROM events""",
 }
+#: Memories with their vectors, trust and corrections.
+TABLES["recallable"] = f"""SELECT m.*, e.embedding, (m.id % 5) / 5.0 AS trust_level, CASE WHEN m.id % 21 = 4 THEN true ELSE false END AS invalid_precedent, (m.id % 4) / 8.0 AS activation_boost
+      FROM ({TABLES["memories"]}) m JOIN embeddings e ON e.vec_id = m.id"""
 
 
 def ctes(*names: str) -> str:
@@ -68,10 +71,10 @@ def ctes(*names: str) -> str:
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table; its sources are temporary views of this library's own names."""
     sql = TABLES[name]
-    for source in set(re.findall(r"FROM (\w+)", sql)):
+    for source in set(re.findall(r"(?:FROM|JOIN) (\w+)", sql)):
         df = table(spark, sf_dir, source)
         if source == "events":
             df = df.withColumn("ts", df["ts"].cast("timestamp"))
         df.createOrReplaceTempView(f"derived_from_{source}")
-        sql = re.sub(rf"FROM {source}\b", f"FROM derived_from_{source}", sql)
+        sql = re.sub(rf"(FROM|JOIN) {source}\b", rf"\1 derived_from_{source}", sql)
     return spark.sql(sql)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnlake.operators import surface, vectors
+from cairnlake.operators import recall, surface, vectors
 from cairnlake.plans.base import SQL_SIM, query, table, vector
 from cairnlake.plans.derived import ctes, derived
 from cairnlake.plans.upkeep import _SQL_NEAR, _j, _near
@@ -139,3 +139,25 @@ SELECT connection, item, sha256(connection || chr(30) || item || chr(30) || coal
 def item_documents(spark, sf_dir):
     rows = derived(spark, sf_dir, "runs").select(F.col("worker").alias("connection"), (F.col("id") % 100).alias("item"), F.when(F.col("id") % 6 > 0, F.concat("tool_name", F.col("id").cast("string"))).alias("content"), F.when(F.col("id") % 3 == 0, "public").when(F.col("id") % 3 == 1, "").alias("sensitivity"), F.col("created_at").alias("at"))
     return surface.item_documents(rows)
+
+
+@query(f"""{ctes("recallable")}, live AS (SELECT m.*, CASE type WHEN 'episodic' THEN 'episodic' WHEN 'semantic' THEN 'semantic' ELSE 'knowledge' END AS tier, {SQL_SIM.replace("e.embedding", "m.embedding")} AS sim FROM recallable m
+  WHERE status = 'active' AND embedding_status = 'embedded' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-01-31') AND coalesce(sensitivity, '') <> 'private'),
+seeds AS (SELECT id, sim FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY sim DESC, id) AS r FROM live WHERE sim IS NOT NULL) WHERE r <= CASE tier WHEN 'semantic' THEN 20 ELSE 10 END),
+nb AS (SELECT id, (id * 7 + 3) % 1000 AS neighbour, 0.5 + (id % 4) / 10.0 AS weight FROM recallable), assoc AS (SELECT neighbour AS id, max(weight * sim) AS a FROM nb JOIN seeds USING (id) GROUP BY 1),
+ed AS (SELECT id AS src, (id * 3 + 1) % 1000 AS dst, CASE id % 3 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'CAUSES' ELSE 'MENTIONS' END AS rel, CASE WHEN id % 5 > 0 THEN 0.75 END AS weight FROM recallable),
+eb AS (SELECT src, dst, coalesce(weight, 1.0) AS w FROM ed WHERE rel IN ('SUPPORTS', 'CAUSES') UNION ALL SELECT dst, src, coalesce(weight, 1.0) FROM ed WHERE rel IN ('SUPPORTS', 'CAUSES')),
+gr AS (SELECT dst AS id, max(w * sim) AS g FROM eb JOIN seeds ON seeds.id = eb.src GROUP BY 1), tm AS (SELECT id, 0.15 AS t FROM (SELECT DISTINCT id FROM recallable WHERE id % 37 = 5 ORDER BY id LIMIT 20)),
+pool AS (SELECT id, max(v) AS v, max(a) AS a, max(g) AS g, max(t) AS t FROM (SELECT id, sim AS v, NULL AS a, NULL AS g, NULL AS t FROM seeds UNION ALL SELECT id, NULL, a, NULL, NULL FROM assoc UNION ALL SELECT id, NULL, NULL, g, NULL FROM gr UNION ALL SELECT id, NULL, NULL, NULL, t FROM tm) GROUP BY 1),
+s AS (SELECT l.id, tier, greatest(0.001, coalesce(v, sim) * (0.5 + 0.5 * greatest(0.0, least(1.0, coalesce(importance, 0.5) * exp(-greatest(coalesce(decay_rate, 0.01), 0.0) * greatest((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(coalesce(last_reinforced, created_at))) / 86400000000.0, 0.0)))))
+  + coalesce(a, 0) * 0.2 + coalesce(t, 0) + coalesce(g, 0) * 0.12 + 0.1 * exp(-ln(2) * greatest((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(created_at)) / 86400000000.0, 0.0) / 7.0) + coalesce(trust_level, 0.5) * 0.1 + least(1.0, activation_boost) * 0.3
+  - CASE WHEN invalid_precedent THEN 0.35 ELSE 0 END + coalesce(1.0 - abs({_j("emotional_valence")}::DOUBLE - 0.25) / 2.0, 0.5) * 0.05) AS score,
+  CASE WHEN v IS NOT NULL THEN 'vector' WHEN a IS NOT NULL THEN 'association' WHEN t IS NOT NULL THEN 'temporal' ELSE 'graph' END AS source FROM live l JOIN pool p ON p.id = l.id WHERE sim IS NOT NULL AND trust_level >= 0.2)
+SELECT id, tier, round(score, 6) AS score, source, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= CASE tier WHEN 'semantic' THEN 10 ELSE 5 END""")
+def context_recall(spark, sf_dir):
+    rows, i = derived(spark, sf_dir, "recallable"), F.col("id")
+    near = rows.select("id", ((i * 7 + 3) % 1000).alias("neighbour"), (0.5 + i % 4 / 10.0).alias("weight"))
+    rel = F.when(i % 3 == 0, "SUPPORTS").when(i % 3 == 1, "CAUSES").otherwise("MENTIONS")
+    edges = rows.select(i.alias("src"), ((i * 3 + 1) % 1000).alias("dst"), rel.alias("rel"), F.when(i % 5 > 0, 0.75).alias("weight"))
+    out = recall.in_context(rows, vector(spark, sf_dir), _at("2024-01-31"), near, edges, rows.filter("id % 37 = 5"), mood=(0.25, 0.5, "calm"), least_trust=0.2, show_private=False)
+    return out.withColumn("score", F.round("score", 6))
