@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnlake.operators import recall, surface, vectors
+from cairnlake.operators import recall, search, surface, vectors
 from cairnlake.plans.base import SQL_SIM, query, table, vector
 from cairnlake.plans.derived import ctes, derived
 from cairnlake.plans.upkeep import _SQL_NEAR, _j, _near
@@ -161,3 +161,28 @@ def context_recall(spark, sf_dir):
     edges = rows.select(i.alias("src"), ((i * 3 + 1) % 1000).alias("dst"), rel.alias("rel"), F.when(i % 5 > 0, 0.75).alias("weight"))
     out = recall.in_context(rows, vector(spark, sf_dir), _at("2024-01-31"), near, edges, rows.filter("id % 37 = 5"), mood=(0.25, 0.5, "calm"), least_trust=0.2, show_private=False)
     return out.withColumn("score", F.round("score", 6))
+
+
+_SQL_COVER = """w AS (SELECT id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM src), p AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM w),
+h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM p WHERE term IN ('er', 'en', 'ed')),
+l AS (SELECT *, max(CASE WHEN term = 'er' THEN pos END) OVER a AS er, max(CASE WHEN term = 'en' THEN pos END) OVER a AS en, max(CASE WHEN term = 'ed' THEN pos END) OVER a AS ed FROM h WINDOW a AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, greatest(CASE WHEN er IS NOT NULL AND en IS NOT NULL THEN least(er, en) END, ed) AS low FROM l),
+c AS (SELECT f.*, lag(low) OVER (PARTITION BY id ORDER BY pos) AS before FROM f),
+r AS (SELECT c.id, count(*) AS covers, sum(0.1 / (1 + (c.pos - c.low) - (c.n - s.n))) AS r FROM c JOIN h s ON s.id = c.id AND s.pos = c.low WHERE c.low IS NOT NULL AND (before IS NULL OR c.low > before) GROUP BY 1)"""
+_ASKED = 'the er en OR ed -"zz top"'
+
+
+@query(f"""WITH src AS (SELECT doc_id AS id, text AS t FROM documents), {_SQL_COVER} SELECT id, covers, round(r / (r + 1), 6) AS score FROM r""")
+def ranked_search(spark, sf_dir):
+    return search.cover_ranks(table(spark, sf_dir, "documents"), search.web_query(_ASKED)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text FROM documents WHERE source <> 'src0'), k AS (SELECT doc_id, i AS part, substr(text, i * 1680 + 1, 1800) AS t FROM documents, LATERAL (SELECT unnest(range(0, (greatest(length(text) - 1, 0) // 1680) + 1)) AS i) WHERE length(text) > 0),
+src AS (SELECT doc_id * 100000 + 99999 AS id, text AS t FROM d UNION ALL SELECT doc_id * 100000 + part, t FROM k), {_SQL_COVER},
+g AS (SELECT id // 100000 AS doc_id, id % 100000 AS part, r / (r + 1) AS s FROM r), b AS (SELECT doc_id, max(s) FILTER (part = 99999) AS own, max({{'s': s, 'p': -part}}) FILTER (part < 99999) AS m FROM g GROUP BY 1)
+SELECT doc_id AS id, round(greatest(own, m.s), 6) AS score, (-m.p)::INTEGER AS best_part, (row_number() OVER (ORDER BY greatest(own, m.s) DESC, doc_id))::INTEGER AS rank FROM b WHERE doc_id IN (SELECT doc_id FROM d) ORDER BY greatest(own, m.s) DESC, doc_id LIMIT 10 OFFSET 5""")
+def document_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    parts = search.chunks(docs).select(F.col("doc_id").alias("id"), F.col("chunk_index").alias("part"), F.col("content").alias("text"))
+    found = search.document_search(docs.select(F.col("doc_id").alias("id"), "text", "source"), parts, search.web_query(_ASKED), 10, 5, F.col("source") != "src0")
+    return found.withColumn("score", F.round("score", 6))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnlake.functions import canonical, schedule, speech, text
-from cairnlake.operators import filters, graph, intake, rollups, upkeep, vectors
+from cairnlake.operators import filters, graph, intake, rollups, search, upkeep, vectors
 from cairnlake.sources import documents
 
 
@@ -136,3 +136,38 @@ def test_retention_of_nulls(spark):
     got = {r["id"]: (r["p"], r["b"]) for r in df.select("id", upkeep.protected().alias("p"), upkeep.borderline(now).alias("b")).collect()}
     assert got == {1: (False, False), 2: (True, False), 3: (False, False), 4: (True, False)}
     assert upkeep.expired(df, F.col("last_reinforced"), now, 1).count() == 0 and upkeep.expired(df, F.col("created_at"), now, 1).count() == 4
+
+
+def covers_by_hand(words, groups):
+    """Shortest stretches that hold all words of a group: (first, last) places."""
+    fits = lambda a, b: any(set(g) <= set(words[a : b + 1]) for g in groups)
+    n = len(words)
+    return [(a, b) for a in range(n) for b in range(a, n) if fits(a, b) and not (a < b and (fits(a + 1, b) or fits(a, b - 1)))]
+
+
+def test_cover_ranks(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdxy") for _ in range(rng.randrange(0, 40))) for _ in range(120)] + [None, "", "B! a, The C"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    query = search.web_query("b c or d x -y")
+    assert query.groups == ((("b",), ("c",)), (("d",), ("x",))) and query.none == (("y",),) and query.terms == ["b", "c", "d", "x"]
+    got = {r["id"]: (r["covers"], round(r["score"], 9)) for r in search.cover_ranks(df, query).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        words = [w.strip("!,").lower() for w in (t or "").split()]
+        found = covers_by_hand(words, [["b", "c"], ["d", "x"]])
+        if found and "y" not in words:
+            r = sum(0.1 / (1 + sum(w not in query.terms for w in words[a : b + 1])) for a, b in found)
+            want[k] = (len(found), round(r / (r + 1), 9))
+    assert got == want and len(want) > 5
+    assert search.web_query("the of").groups == () and search.cover_ranks(df, search.web_query("")).count() == 0
+    phrase = search.web_query('"b c"')
+    assert {r["doc_id"] for r in df.filter(search.matches(phrase, df["text"])).collect()} == {k for k, t in enumerate(texts) if _has(t, "b", "c")}
+
+
+def _has(text, *words):
+    kept = [w.strip("!,").lower() for w in (text or "").split()]
+    kept = [w for w in kept if w not in ("a", "the")]
+    return any(kept[i : i + len(words)] == list(words) for i in range(len(kept)))
