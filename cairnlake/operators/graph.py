@@ -12,21 +12,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions.scoring import noisy_or
+from cairnlake.shared import saved
 
 
 def reached(edges: DataFrame, seeds: DataFrame, depth: int = 2, directed: bool = False) -> DataFrame:
     """(node, depth, relevance): nodes within ``depth`` edges of ``seeds`` (node),
-    with the least depth and the largest product of weights found on a walk."""
+    with the least depth and the largest product of weights found on a walk.
+
+    Each round is written to the shared folder and goes on from what it has raised."""
     one = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
     if not directed:
         one = one.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
-    one = one.groupBy("a", "b").agg(F.max("weight").alias("weight"))
-    front = seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("relevance"))
-    levels = [front]
+    one = saved(one.groupBy("a", "b").agg(F.max("weight").alias("weight")), "steps")
+    found = saved(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("relevance"), F.lit(True).alias("moved")), "reached")
     for k in range(1, depth + 1):
-        front = front.join(one, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.lit(k).alias("depth"), F.max(F.col("relevance") * F.col("weight")).alias("relevance"))
-        levels.append(front)
-    return reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.min("depth").alias("depth"), F.max("relevance").alias("relevance"))
+        # Only nodes that are new, or whose relevance rose, are left again.
+        front = found.filter("moved").select("node", "relevance")
+        step = front.join(one, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.max(F.col("relevance") * F.col("weight")).alias("_r"))
+        both = found.drop("moved").join(step, "node", "full")
+        better = F.col("_r").isNotNull() & (F.col("relevance").isNull() | (F.col("_r") > F.col("relevance")))
+        found = both.select("node", F.coalesce("depth", F.lit(k)).alias("depth"), F.greatest("relevance", "_r").alias("relevance"), better.alias("moved"))
+        found = saved(found, "reached")
+        if found.filter("moved").isEmpty():
+            break
+    return found.drop("moved")
 
 
 def paths(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
@@ -136,7 +145,7 @@ def plan_layers(steps: DataFrame, needs: DataFrame, most: int = 1000) -> DataFra
     done = steps.join(wants, "step", "left_anti").withColumn("layer", F.lit(0))
     total, settled = steps.count(), 0
     for _ in range(most):
-        done = done.checkpoint()
+        done = saved(done, "layers")
         now = done.count()
         if now in (settled, total):
             break

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from cairnlake.shared import saved
 
 
 def sessions(df: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id", gap_seconds: int = 1800) -> DataFrame:
@@ -35,33 +43,62 @@ def storms(starts: DataFrame, key: str, ts: str = "ts", window_seconds: int = 12
     return starts.withColumn("starts", F.count("*").over(w)).filter(F.col("starts") > most)
 
 
+class _Spaced:
+    """Rows (key, micros) in order: per key the number of events and of those that
+    follow the last counted one by the spacing. State is one key's last time."""
+
+    def __init__(self, spacing: int, schema: pa.Schema) -> None:
+        self.spacing, self.schema = spacing, schema
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, events, spaced, last, begun = None, 0, 0, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(0))
+            times, low, done = batch.column(1).to_numpy(), 0, []
+            for value, high in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if begun and value != key:
+                    done.append((key, events, spaced))
+                if not begun or value != key:
+                    key, events, spaced, last, begun = value, 0, 0, None, True
+                some = times[low:high]
+                events += len(some)
+                at = 0 if last is None else int(np.searchsorted(some, last + self.spacing))
+                while at < len(some):
+                    last, spaced = int(some[at]), spaced + 1
+                    at = int(np.searchsorted(some, last + self.spacing))
+                low = high
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), self.schema, strict=True)], schema=self.schema)
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((key, events, spaced), self.schema, strict=True)], schema=self.schema)
+
+
 def spaced_counts(df: DataFrame, key: str = "user_id", ts: str = "ts", spacing_seconds: int = 43_200, scale: float = 4.0) -> DataFrame:
     """(key, events, spaced, score): events count only if they follow the last
-    counted one by the spacing. The times of one key meet in one row: give the
-    events of a window of time, so that a key's share is bounded."""
-    times = F.col("_t")
-    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(ts))).alias("_t"), F.count("*").alias("events"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"))
-    step = lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= spacing_seconds * 1_000_000), F.struct((s["n"] + 1).alias("n"), t.alias("last"))).otherwise(s)
-    spaced = F.aggregate(times, zero, step, lambda s: s["n"])
-    out = grouped.select(key, "events", spaced.alias("spaced"))
+    counted one by the spacing. Events go by in order of their key and time, so
+    memory does not grow with a key's events; events without a time are left out."""
+    kind = df.schema[key].dataType
+    schema = pa.schema([(key, to_arrow_type(kind)), ("events", pa.int64()), ("spaced", pa.int64())])
+    rows = df.select(key, F.unix_micros(ts).alias("_t")).filter("_t is not null").repartition(key).sortWithinPartitions(key, "_t")
+    out = rows.mapInArrow(_Spaced(spacing_seconds * 1_000_000, schema), f"`{key}` {kind.simpleString()}, events long, spaced long")
     return out.withColumn("score", 1 - F.exp(-F.col("spaced") / scale))
 
 
-def over_capacity(df: DataFrame, capacity: float, size: str = "strength", id_col: str = "id", buckets: int = 4096) -> DataFrame:
-    """The weakest rows that must go until the rest sums to ``capacity`` at most.
+def over_capacity(df: DataFrame, capacity: float, size: str = "strength", id_col: str = "id") -> DataFrame:
+    """The weakest rows that must go until the rest sums to ``capacity`` at most, ties by id.
 
-    A running sum over all rows in one task would not scale: rows fall into
-    buckets by value, sums of buckets run over a small table, and rows run
-    within their bucket.
+    Rows are dealt to ranges of (size, id), so equal sizes are split too; sums of
+    the ranges run over a small table, and rows run within their range.
     """
-    edges = df.agg(F.min(size).alias("low"), F.max(size).alias("high"), F.sum(size).alias("all")).first()
-    if not edges["all"] or edges["all"] <= capacity:
+    total = df.agg(F.sum(size)).first()[0]
+    if not total or total <= capacity:
         return df.limit(0)
-    width = (edges["high"] - edges["low"]) / buckets or 1.0
-    put = df.withColumn("_b", F.least(F.floor((F.col(size) - edges["low"]) / width), F.lit(buckets - 1)).cast("int"))
-    sums = put.groupBy("_b").agg(F.sum(size).alias("_s"))
-    sums = sums.select("_b", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
-    inside = W.partitionBy("_b").orderBy(size, id_col).rowsBetween(W.unboundedPreceding, -1)
-    put = put.withColumn("_own", F.coalesce(F.sum(size).over(inside), F.lit(0.0))).join(sums, "_b")
-    return put.filter(F.lit(edges["all"]) - F.col("_before") - F.col("_own") > capacity).drop("_b", "_own", "_before")
+    ranged = df.repartitionByRange(size, id_col).sortWithinPartitions(size, id_col).withColumn("_range", F.spark_partition_id())
+    ranged = saved(ranged, "ranged")
+    sums = ranged.groupBy("_range").agg(F.sum(size).alias("_s"))
+    sums = sums.select("_range", F.coalesce(F.sum("_s").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    inside = W.partitionBy("_range").orderBy(size, id_col).rowsBetween(W.unboundedPreceding, -1)
+    put = ranged.withColumn("_own", F.coalesce(F.sum(size).over(inside), F.lit(0.0))).join(sums, "_range")
+    return put.filter(F.lit(total) - F.col("_before") - F.col("_own") > capacity).drop("_range", "_own", "_before")

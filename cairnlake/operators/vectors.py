@@ -153,10 +153,11 @@ def assigned(df: DataFrame, centers: DataFrame, most: int = 3, least: float = 0.
         parts.append(df.select(F.col(id_col).cast("long"), vector_col).mapInArrow(found, "id long, cluster long, similarity double"))
     if not parts:
         return df.sparkSession.createDataFrame([], "id long, cluster long, similarity double")
-    if len(parts) == 1:
-        return parts[0]
-    order = W.partitionBy("id").orderBy(F.desc("similarity"), "cluster")
-    return reduce(DataFrame.unionByName, parts).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+    out = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        order = W.partitionBy("id").orderBy(F.desc("similarity"), "cluster")
+        out = out.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
+    return out.select("id", F.col("cluster").cast(centers.schema["cluster"].dataType).alias("cluster"), "similarity")
 
 
 def nearest_of_type(df: DataFrame, query: list[float], k: int, wins: Column, tries: Column) -> DataFrame:

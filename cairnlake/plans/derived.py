@@ -49,7 +49,7 @@ TABLES = {
     "edges": """SELECT l_orderkey AS src, CASE WHEN l_linenumber % 4 = 0 THEN l_orderkey ELSE l_partkey END AS dst,
       CASE l_linenumber % 4 WHEN 0 THEN 'RELATED' WHEN 1 THEN 'SUPPORTS' WHEN 2 THEN 'CONTRADICTS' ELSE 'MEMBER_OF' END AS rel,
       CASE WHEN l_linenumber = 5 THEN NULL ELSE l_quantity / 50.0 END AS strength, l_extendedprice AS seq, l_suppkey AS concept FROM lineitem""",
-    "drives": """SELECT 'drive ' || CAST(s_suppkey AS STRING) AS name, (s_suppkey % 23) / 20.0 AS current_level, 0.5 AS baseline, CASE WHEN s_suppkey % 6 = 0 THEN 0.0 ELSE 0.8 END AS urgency_threshold,
+    "drives": """SELECT 'drive ' || CAST(s_suppkey AS STRING) AS name, CAST((s_suppkey % 23) / 20.0 AS DOUBLE) AS current_level, CAST(0.5 AS DOUBLE) AS baseline, CAST(CASE WHEN s_suppkey % 6 = 0 THEN 0.0 ELSE 0.8 END AS DOUBLE) AS urgency_threshold,
       s_suppkey AS drive_id FROM supplier""",
     "states": f"""SELECT 'heartbeat_state' AS key, '{{"current_energy":' || CAST(event_id % 20 AS STRING) || ',"heartbeat_count":' || {_ID} || ',"last_heartbeat_at":"' || {_DAY} || '","is_paused":'
       || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || CASE WHEN event_id % 3 = 0 THEN ',"affective_state":{{"valence":0.25,"arousal":0.5,"primary_emotion":"calm","intensity":0.75}}' ELSE '' END || '}}' AS value,
@@ -59,7 +59,7 @@ TABLES = {
       ts + INTERVAL 20 HOUR AS last_seen_at FROM events""",
 }
 #: Memories with their vectors, trust and corrections.
-TABLES["recallable"] = f"""SELECT m.*, e.embedding, (m.id % 5) / 5.0 AS trust_level, CASE WHEN m.id % 21 = 4 THEN true ELSE false END AS invalid_precedent, (m.id % 4) / 8.0 AS activation_boost
+TABLES["recallable"] = f"""SELECT m.*, e.embedding, CAST((m.id % 5) / 5.0 AS DOUBLE) AS trust_level, CASE WHEN m.id % 21 = 4 THEN true ELSE false END AS invalid_precedent, CAST((m.id % 4) / 8.0 AS DOUBLE) AS activation_boost
       FROM ({TABLES["memories"]}) m JOIN embeddings e ON e.vec_id = m.id"""
 
 

@@ -214,7 +214,7 @@ def contacts_per_week(spark, sf_dir):
 
 @query(f"""{ctes("runs")} SELECT id, round(coalesce(CASE WHEN id % 6 > 0 THEN least(1.5, 0.75 + greatest(energy_spent / 30 - 0.5, 0) * 0.5) END, 1.0), 6) AS multiplier,
 round(CASE WHEN id % 3 > 0 THEN (energy_spent / 100) * (1 - 0.1 * (1.5 - coalesce(CASE WHEN id % 4 > 0 THEN 0.25 END, 0.5))) + 0.5 * 0.1 * (1.5 - coalesce(CASE WHEN id % 4 > 0 THEN 0.25 END, 0.5)) ELSE (energy_spent / 100) * (1 - 0.1 * (1.5 - coalesce(CASE WHEN id % 4 > 0 THEN 0.25 END, 0.5))) END, 8) AS valence,
-round(0.3 * (1 - 0.05 * (1.5 - coalesce(CASE WHEN id % 4 > 0 THEN 0.25 END, 0.5))) + 0.3 * 0.05 * (1.5 - coalesce(CASE WHEN id % 4 > 0 THEN 0.25 END, 0.5)), 6) AS arousal,
+round(0.3 * (1 - 0.05 * (1.5 - coalesce(CASE WHEN id % 4 > 0 THEN 0.25 END, 0.5))) + 0.3 * 0.05 * (1.5 - coalesce(CASE WHEN id % 4 > 0 THEN 0.25 END, 0.5)), 6)::DOUBLE AS arousal,
 least(1.0, greatest(0.0, CASE tool_name WHEN 'click' THEN 0.7 WHEN 'error' THEN 1.5 ELSE 0.45 END))::DOUBLE AS trust FROM runs""")
 def mood_and_trust(spark, sf_dir):
     e, i = F.col("energy_spent"), F.col("id")

@@ -62,7 +62,7 @@ def recent_workers(spark, sf_dir):
     return surface.distinct_recent(derived(spark, sf_dir, "runs"), "worker", "created_at", _at("2024-01-10"))
 
 
-@query("""WITH h AS (SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS score FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) SELECT doc_id, h.score, source, length(text) AS n_chars FROM h JOIN documents USING (doc_id)""")
+@query("""WITH h AS (SELECT doc_id, (length(text) - length(replace(text, 'e', '')))::INTEGER AS score FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) SELECT doc_id, h.score, source, length(text)::INTEGER AS n_chars FROM h JOIN documents USING (doc_id)""")
 def attributed_hits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     hits = docs.filter("doc_id % 3 = 0 and text is not null").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))).alias("score"))
