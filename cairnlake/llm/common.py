@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnlake.shared import clear_saved, own_dir, saved, shared_dir
+
+__all__ = ["clear_saved", "own_dir", "saved", "shared_dir"]
+
 #: One ASCII space character; words are the runs between them.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -15,30 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A session without that setting is an error: a folder of the driver's machine
-    would not be seen by executors elsewhere.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation,
-    and several consumers share one computation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: At most so many keys count as hot, so what salted_join broadcasts is bounded.
 HOT_KEYS = 5_000
 #: Keys of fewer rows are never hot.

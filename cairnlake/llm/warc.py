@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.common import saved, shared_dir, table
+from cairnlake.llm.common import own_dir, saved, table
 
 #: Shorter payloads are always stored.
 LEAST_REVISITED = 100
@@ -215,7 +215,7 @@ def transactions(records: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_captures(table(spark, sf_dir, "pages"), path)
     found = transactions(saved(read_records(spark, path, with_payload=False).drop("payload"), "warc-records"))
     return found.select(

@@ -129,3 +129,71 @@ def passages(rows, kinds=("line", "paragraph"), least=25):
         edges = [i for i in range(len(gone) + 1) if (gone[i - 1] if i else 0) != (gone[i] if i < len(gone) else 0)]
         out.append((d, len(some), list(zip(edges[::2], edges[1::2], strict=True))))
     return out
+
+
+def told(net, text, window=384):
+    """(language, score) of one text by the network itself: every filter at every place."""
+    import numpy as np
+
+    data = (text or "").encode()
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    probs = []
+    for k in range(0, len(data), window):
+        k = min(k, max(len(data) - window, 0))
+        x = net.embedding[np.frombuffer(data[k : k + window].ljust(window, b"\0"), np.uint8)].astype(np.float64)
+        pooled = []
+        for f, bias in zip(net.filters, net.bias, strict=True):
+            w = len(f)
+            at = [sum(x[i + j] @ f[j] for j in range(w)) for i in range(window - w + 1)]
+            pooled.append(np.max(at, 0) + bias)
+        z = np.maximum(np.concatenate(pooled), 0) @ net.weights + net.offset
+        probs.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    mean = np.mean(probs, 0)
+    return net.languages[int(mean.argmax())], float(mean.max())
+
+
+def weak_statistics(text):
+    """The labellers' statistics of one text, by name."""
+    text = text or ""
+    data = text.encode()
+    words = [w.encode() for w in WORD.findall(text)]
+    n = max(len(words), 1)
+    lines = [tuple(WORD.findall(x)) for x in text.split("\n") if WORD.search(x)]
+    counts = Counter(words)
+    symbols, letters = b"#*$%&|<>~^=_{}[]\\@+", sum(65 <= b <= 90 or 97 <= b <= 122 for b in data)
+    # A word's last byte and the byte before that, also where the word has one only.
+    loud = sum(data[m.end() - 1] in b"!?" and data[max(m.end() - 2, 0)] in b"!?" for m in re.finditer(rb"[^\x20\x09-\x0D]+", data))
+    return {
+        "n_words": len(words), "symbols_per_byte": sum(b in symbols for b in data) / max(len(data), 1), "symbol_words": sum(w[-1] in symbols or w[0] in symbols for w in words) / n,
+        "distinct_words": min(len(counts) / min(n, 200), 1.0), "again": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "upper": sum(65 <= b <= 90 for b in data) / max(letters, 1),
+        "loud": loud / n, "top_word": max(counts.values(), default=0) / n, "dup_lines": (len(lines) - len(set(lines))) / max(len(lines), 1),
+        "ends": sum(w[-1] in b".!?" for w in words) / n, "short_words": sum(len(w) <= 3 for w in words) / n,
+    }
+
+
+def weak_posteriors(votes, good=0.8, rounds=200):
+    """P(good) of each row of votes by expectation-maximisation, row by row."""
+    from math import exp, log
+
+    k = len(votes[0])
+    table = [[[0.35, 0.4, 0.25], [0.03, 0.7, 0.27]] for _ in range(k)]
+
+    def posterior(v):
+        gap = log(1 - good) - log(good) + sum(log(table[j][0][v[j]]) - log(table[j][1][v[j]]) for j in range(k))
+        return 1 / (1 + exp(max(-60, min(60, gap))))
+
+    for _ in range(rounds):
+        p = [posterior(v) for v in votes]
+        new = []
+        for j in range(k):
+            mass = [[0.5] * 3, [0.5] * 3]
+            for v, x in zip(votes, p, strict=True):
+                mass[0][v[j]] += 1 - x
+                mass[1][v[j]] += x
+            new.append([[m / sum(row) for m in row] for row in mass])
+        moved = max(abs(a - b) for x, y in zip(new, table, strict=True) for r, q in zip(x, y, strict=True) for a, b in zip(r, q, strict=True))
+        good, table = min(0.99, max(0.01, (sum(p) + 1) / (len(p) + 2))), new
+        if moved < 1e-7:
+            break
+    return [posterior(v) for v in votes]

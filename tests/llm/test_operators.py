@@ -4,9 +4,10 @@ import gzip
 import re
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
-from brute import leaks, near, passages, quality, repeats
+from brute import leaks, near, passages, quality, repeats, told, weak_posteriors, weak_statistics
 
 from cairnlake.llm import bytehash, decontamination, language_id, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup, url_filters, warc, weak_quality
 from cairnlake.llm.common import words, word_count
@@ -419,3 +420,83 @@ def test_weak_quality(spark, sf):
     found = {r["doc_id"]: r for r in weak_quality.score_quality(odd(spark)).collect()}
     assert len(found) == len(ODD) and not found[1]["kept"] and not found[2]["kept"] and found[6]["score"] == found[8]["score"]
     assert weak_quality.score_quality(odd(spark).limit(0)).count() == 0
+
+
+def test_language_by_brute_force(spark, sf, docs):
+    """Predictions against the network itself, filter by filter and place by place."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(d, t) for d, t in [*docs[:12], *ODD] if len(t or "") < 1500]
+    windows = np.stack([np.frombuffer((t or "").encode().ljust(384, b"\0")[:384], np.uint8) for _, t in rows])
+    net = language_id.train(windows, rng.integers(0, 3, len(rows)), ["de", "en", "fr"], epochs=2)
+    rows += [(None, rows[0][1]), (77, rows[1][1]), (77, rows[1][1]), (77, rows[0][1])]
+    got = language_id.identify(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, letters int, lang string"), net).collect()
+    key = lambda r: (str(r[0]), r[1], round(r[2], 4))
+    assert sorted(key((r["doc_id"], r["lang_pred"], r["score"])) for r in got) == sorted(key((d, *told(net, t))) for d, t in rows)
+
+
+def test_sample_is_bounded(spark):
+    """Rows that share an id and text do not exceed the sample."""
+    rows = [(None, "the same text for all of them", "en")] * 400 + [(i, f"anderer text nummer {i}", "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.learn(df, sample_texts=20)
+    assert net.languages in (["de"], ["de", "en"], ["en"])
+    assert weak_quality.score_quality(df.select("doc_id", "text"), sample_texts=10).count() == 450
+
+
+def test_weak_labels_by_brute_force(spark, docs):
+    """Votes and posteriors against plain Python, over the table and odd texts."""
+    import numpy as np
+
+    rows = [*docs, *ODD, (None, docs[0][1]), (None, None), (5, docs[1][1])]
+    stats = [weak_statistics(t) for _, t in rows]
+    votes = [[int(v) for v in weak_quality.votes({k: np.array([x]) for k, x in s.items()})[0]] for s in stats]
+    got = weak_quality.score_quality(spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, score double")).collect()
+    key = lambda d, p: (str(d), round(p, 5))
+    assert sorted(key(r["doc_id"], r["posterior"]) for r in got) == sorted(key(d, p) for (d, _), p in zip(rows, weak_posteriors(votes), strict=True))
+
+
+def test_features_in_bounded_batches(spark):
+    """Many tiny texts are scored some at a time, each as if alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    data, at = bytehash.flat(pa.array(["tiny text", None, "", "x\ny\nx", "A!! b?? " * 50]))
+    together, votes = weak_quality.features(data, at)
+    for k in range(5):
+        alone, one = weak_quality.features(data[at[k] : at[k + 1]], np.array([0, at[k + 1] - at[k]]))
+        assert np.allclose(together[k], alone[0]) and (votes[k] == one[0]).all()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(["tiny text"] * 10_000)], ["doc_id", "text"])
+    assert max(b.num_rows for b in bytehash.pieces([batch], "text", rows=weak_quality.ROWS)) == weak_quality.ROWS
+
+
+def test_quality_of_odd_labels(spark):
+    """Repeated rows and null ids are judged alike; ties and single classes give rules or none."""
+    rows = [(None, LONG), (6, LONG), (6, LONG), (6, None), (7, "")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n_words int, bad int")
+    judged, _ = quality_rules.judge(df, spark.createDataFrame([(6, 0), (6, 1), (7, 0)], "doc_id long, quality int"))
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in judged.collect()) == [(0, True), (6, False), (6, True), (6, True), (7, False)]
+    flat = spark.range(40).selectExpr("id % 2 as y", *[f"cast(0.5 as double) as {f}" for f in quality_rules.FEATURES])
+    assert quality_rules.learn_rules(flat, "y") == [] and quality_rules.learn_rules(flat.filter("y = 0"), "y") == []
+    split = spark.range(300).selectExpr("cast(id % 10 < 3 as int) as y", *[f"cast((id % 10 + {k}) / 10.0 as double) as {f}" for k, f in enumerate(quality_rules.FEATURES)])
+    rules = quality_rules.learn_rules(split, "y")
+    kept, _ = quality_rules.verdict(rules)
+    assert rules and split.select("y", kept.alias("k")).filter("k = (y = 0)").count() == 0
+
+
+def test_saved_is_cleared(spark):
+    from cairnlake.llm.common import clear_saved, own_dir, saved, shared_dir
+
+    assert saved(spark.range(3), "some").count() == 3
+    clear_saved(spark)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    # A local session may have a folder of its own; on a cluster none is an error.
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="local[4]", applicationId="x"))
+    assert shared_dir(bare) == shared_dir(bare) and shared_dir(bare).startswith("file:")
+    bare.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        shared_dir(bare)
