@@ -173,14 +173,15 @@ def task_status(spark, sf_dir):
     return review.task_status(runs)
 
 
-@query("""WITH s AS (SELECT user_id, CASE event_id % 11 WHEN 0 THEN 'durable_memory' WHEN 1 THEN 'contradiction_resolved' WHEN 2 THEN 'goal_advanced' WHEN 3 THEN 'user_feedback' ELSE 'other' END AS kind, value / 100 AS amount FROM events WHERE ts < TIMESTAMP '2024-01-04'),
-t AS (SELECT user_id, least(count(*) FILTER (kind = 'durable_memory'), 2) * 0.35 + least(count(*) FILTER (kind = 'contradiction_resolved'), 2) * 0.5 + least(count(*) FILTER (kind = 'goal_advanced'), 2) * 0.3 + least(coalesce(sum(amount) FILTER (kind = 'user_feedback'), 0), 1.0) * 0.5 AS s FROM s GROUP BY 1)
-SELECT user_id, round(s, 6) AS score, CASE WHEN s >= 1 THEN 'high_value' WHEN s > 0 THEN 'useful' ELSE 'none' END AS tier FROM t""")
+@query("""WITH s AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS run, CASE event_id % 11 WHEN 0 THEN 'durable_memory' WHEN 1 THEN 'contradiction_resolved' WHEN 2 THEN 'goal_advanced' WHEN 3 THEN 'user_feedback' ELSE 'other' END AS kind, value / 100 AS amount FROM events),
+t AS (SELECT run, least(count(*) FILTER (kind = 'durable_memory'), 2) * 0.35 + least(count(*) FILTER (kind = 'contradiction_resolved'), 2) * 0.5 + least(count(*) FILTER (kind = 'goal_advanced'), 2) * 0.3 + least(coalesce(sum(amount) FILTER (kind = 'user_feedback'), 0), 1.0) * 0.5 AS s FROM s GROUP BY 1)
+SELECT run, round(s, 6) AS score, CASE WHEN s >= 1 THEN 'high_value' WHEN s > 0 THEN 'useful' ELSE 'none' END AS tier FROM t""")
 def outcome_scores(spark, sf_dir):
     e = F.col("event_id") % 11
     kind = F.when(e == 0, "durable_memory").when(e == 1, "contradiction_resolved").when(e == 2, "goal_advanced").when(e == 3, "user_feedback").otherwise("other")
-    some = events(spark, sf_dir).filter(F.col("ts") < F.lit("2024-01-04").cast("timestamp"))
-    return review.outcome_scores(some.select("user_id", kind.alias("kind"), (F.col("value") / 100).alias("amount")), "user_id").withColumn("score", F.round("score", 6))
+    run = F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd"))
+    some = events(spark, sf_dir).select(run.alias("run"), kind.alias("kind"), (F.col("value") / 100).alias("amount"))
+    return review.outcome_scores(some, "run").withColumn("score", F.round("score", 6))
 
 
 @query("""WITH n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'archived' ELSE 'active' END AS status, (o_orderkey % 7 = 0)::INTEGER AS c, (o_orderkey % 4)::INTEGER AS s, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 101) / 101.0 END AS conf, (o_orderkey % 21) / 21.0 AS tr, (o_orderkey % 31) / 31.0 AS im FROM orders),
