@@ -38,6 +38,18 @@ NO_SPANS = "array<struct<start:int,end:int>>"
 KINDS = ("line", "block", "paragraph")
 
 
+#: Every ASCII space character as a blank.
+BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
+
+
+def squeezed(data: bytes) -> bytes:
+    """Runs of ASCII space as one blank, none outside; no list of words is made."""
+    data = data.translate(BLANKS)
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    return data.strip(b" ")
+
+
 class _Units:
     """Digests and spans of the units of each text."""
 
@@ -47,13 +59,13 @@ class _Units:
         self.kinds, self.least_words = kinds, least_words
 
     @staticmethod
-    def parts(text: str, ends: str) -> list[tuple[int, int, list[bytes]]]:
-        """(start, end, normalised words) of the parts that have words."""
+    def parts(text: str, ends: str) -> list[tuple[int, int, bytes, int]]:
+        """(start, end, normalised text, number of words) of the parts that have words."""
         out, at = [], 0
         for stop in [*(m.end() for m in re.finditer(ends, text)), len(text)]:
             part = text[at:stop]
-            if found := part.encode().lower().split():
-                out.append((at, at + len(part.rstrip(" \t\n\x0b\x0c\r")), found))
+            if bare := squeezed(part.encode().lower()):
+                out.append((at, at + len(part.rstrip(" \t\n\x0b\x0c\r")), bare, bare.count(b" ") + 1))
             at = stop
         return out
 
@@ -61,15 +73,20 @@ class _Units:
         spans: dict[tuple[int, int], bytes] = {}
         for kind, ends in (("line", LINE_END), ("block", BLANK_LINE)):
             if kind in self.kinds:
-                spans |= {(a, b): b" ".join(w) for a, b, w in self.parts(text, ends) if len(w) >= self.least_words}
+                spans |= {(a, b): self.digest(bare) for a, b, bare, n in self.parts(text, ends) if n >= self.least_words}
         if "paragraph" in self.kinds:
             sentences = self.parts(text, SENTENCE_END)
-            total = [0, *accumulate(len(w) for _, _, w in sentences)]
-            for k, (start, _, _) in enumerate(sentences):
+            total = [0, *accumulate(n for *_, n in sentences)]
+            for k, (start, _, bare, _) in enumerate(sentences):
                 last = bisect_left(total, total[k] + self.least_words)
                 if last < len(total):
-                    spans[start, sentences[last - 1][1]] = b" ".join(x for _, _, w in sentences[k:last] for x in w)
-        return [{"digest": hashlib.blake2b(w, digest_size=16).digest(), "start": a, "end": b} for (a, b), w in spans.items()]
+                    whole = b" ".join(x[2] for x in sentences[k:last]) if last > k + 1 else bare
+                    spans[start, sentences[last - 1][1]] = self.digest(whole)
+        return [{"digest": d, "start": a, "end": b} for (a, b), d in spans.items()]
+
+    @staticmethod
+    def digest(bare: bytes) -> bytes:
+        return hashlib.blake2b(bare, digest_size=16).digest()
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -135,8 +152,8 @@ def repeated_units(docs: DataFrame, kinds: tuple[str, ...] = ("line", "paragraph
     empty texts have no units. Every row has its own units, also where rows share
     a doc_id or have none; of equal rows one keeps what is first there and the
     others lose all their units. An empty table gives no rows; other columns are
-    not read. A text of any length is one row of one task, with about a hundred
-    bytes a word in memory.
+    not read. A text of any length is one row of one task, with about ten bytes
+    a byte in memory.
     """
     rows, spans = _repeated(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), kinds, least_words)
     out = rows.join(spans, F.col("row") == F.col("_row"), "left")
