@@ -39,8 +39,9 @@ def clear_saved(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def saved(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``by`` names a
+    column with few values, each of which gets a folder of its own.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation,
     and several consumers share one computation. The files stay until the caller
@@ -48,5 +49,5 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
