@@ -117,7 +117,7 @@ def word_bounds(data: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> tuple[np
 SEGMENT = 2 << 20
 
 
-def _segments(data: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, int]]:
+def segments(data: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of about SEGMENT bytes that no word crosses."""
     begin, n = 0, len(data)
     while begin < n:
@@ -132,7 +132,7 @@ def _segments(data: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, int]]:
 def word_hashes(data: np.ndarray, at: np.ndarray, kinds: np.ndarray = NO_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first) of the words of each text, as ``word_bounds``."""
     found = []
-    for begin, stop in _segments(data, kinds):
+    for begin, stop in segments(data, kinds):
         part = data[begin:stop]
         starts, ends, _ = word_bounds(part, np.clip(at - begin, 0, len(part)), kinds)
         found.append((substring(prefix(part), starts, ends), starts + begin, ends + begin))

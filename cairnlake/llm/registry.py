@@ -16,6 +16,9 @@ MODULES = {
     "op8_language_id": "language_id",
     "op9_decontamination": "decontamination",
     "op10_suffix_array_dedup": "suffix_dedup",
+    "op11_periodic_runs": "runs",
+    "op12_source_divergence": "source_divergence",
+    "op13_line_dedup": "frequent_lines",
 }
 
 
@@ -24,6 +27,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from cairnlake.llm import line_dedup, url_filters, warc
-
-    return {"op3_warc": warc.op3_sql(), "op6_url_filters": url_filters.op6_sql(), "op7_line_dedup": line_dedup.op7_sql()}
+    from cairnlake.llm import frequent_lines, line_dedup, source_divergence, url_filters, warc
+
+    return {
+        "op3_warc": warc.op3_sql(),
+        "op6_url_filters": url_filters.op6_sql(),
+        "op7_line_dedup": line_dedup.op7_sql(),
+        "op12_source_divergence": source_divergence.op12_sql(),
+        "op13_line_dedup": frequent_lines.op13_sql(),
+    }
