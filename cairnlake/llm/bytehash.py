@@ -1,8 +1,12 @@
 """Vectorised hashing of UTF-8 texts inside tasks: words, windows and substrings.
 
 Texts of a batch lie one behind the other in one byte array. A prefix sum of
-``table[byte] * BASE**i`` (mod 2**64) gives the hash of any substring in two
-lookups; BASE is odd, so powers have inverses.
+``table[byte] * base**i`` modulo the prime 2**31 - 1 gives the hash of any
+substring in two lookups; two such polynomials with bases of their own make a
+hash of 62 bits. ``kind`` 0 and 1 are two hashes that share nothing, so both
+together are 124 bits. The modulus is a prime because modulo a power of two
+texts of a thousand bytes over two letters can be written down that collide for
+every base.
 """
 
 from __future__ import annotations
@@ -14,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+P = (1 << 31) - 1
+#: Bases of the four polynomials, two for each kind of hash. Each has an order of
+#: P - 1 modulo P, so that no short cycle of its powers lines up.
+BASES = (1_132_489_760, 715_136_305, 1_083_338_154, 1_433_925_857)
 U = np.uint64
 
 
@@ -28,37 +34,57 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def constants(n: int, salt: int) -> np.ndarray:
     """n odd pseudorandom 64-bit constants."""
-    return mix((np.arange(1, n + 1, dtype=U) + U(salt << 20)) * U(BASE)) | U(1)
+    return mix((np.arange(1, n + 1, dtype=U) + U(salt << 20)) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-@lru_cache(1)
-def _table() -> np.ndarray:
-    return constants(256, 7)
+@lru_cache(4)
+def _table(lane: int) -> np.ndarray:
+    return constants(256, 7 + lane) % U(P - 1) + U(1)
 
 
-_powers: list[np.ndarray] = []
+_powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n at least."""
-    if not _powers or len(_powers[0]) < n:
-        m = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, U), np.full(m - 1, b, U)])) for b in (BASE, INVERSE)]
-    return _powers[0], _powers[1]
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """base**i modulo P for i < n at least."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.ones(1, np.uint32)
+        while len(known) < max(n, 1 << 20):
+            step = U(pow(base, len(known), P))
+            known = np.concatenate([known, (known.astype(U) * step % U(P)).astype(np.uint32)])
+        _powers[base] = known
+    return known
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums, one longer than the data."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(_table()[data] * up[: len(data)], out=out[1:])
-    return out
+class Prefix:
+    """Prefix sums of both polynomials of a ``kind`` over ``data``."""
 
+    def __init__(self, data: np.ndarray, kind: int = 0) -> None:
+        self.n, self.lanes = len(data), (2 * kind, 2 * kind + 1)
+        self.sums = [self._sums(data, lane) for lane in self.lanes]
 
-def substring(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end]."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+    @staticmethod
+    def _sums(data: np.ndarray, lane: int) -> np.ndarray:
+        out = np.zeros(len(data) + 1, U)
+        terms = _table(lane)[data]
+        terms *= _powers_of(BASES[lane], len(data))[: len(data)]
+        terms %= U(P)
+        np.cumsum(terms, out=out[1:])  # below 2**31 times the length
+        return out
+
+    def lane(self, k: int, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        """Values of one polynomial (31 bits) for data[start:end]."""
+        down = _powers_of(pow(BASES[self.lanes[k]], -1, P), self.n + 1)
+        value = (self.sums[k][end] - self.sums[k][start]) % U(P)
+        value *= down[: self.n + 1][start]
+        value %= U(P)
+        return value
+
+    def substring(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of data[start:end]."""
+        both = self.lane(0, start, end) | (self.lane(1, start, end) << U(31))
+        return mix(both + mix(np.asarray(end - start).astype(U)))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,26 +155,26 @@ def segments(data: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, kinds: np.ndarray = NO_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, kinds: np.ndarray = NO_SPACE, kind: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first) of the words of each text, as ``word_bounds``."""
     found = []
     for begin, stop in segments(data, kinds):
         part = data[begin:stop]
         starts, ends, _ = word_bounds(part, np.clip(at - begin, 0, len(part)), kinds)
-        found.append((substring(prefix(part), starts, ends), starts + begin, ends + begin))
+        found.append((Prefix(part, kind).substring(starts, ends), starts + begin, ends + begin))
     if not found:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     hashed, starts, ends = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
     return hashed, starts, ends, np.searchsorted(starts, at)
 
 
-def shingles(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, at: np.ndarray, size: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): hashes of the ``size``-word windows of each text; a text
     of fewer words, but not none, has one of all its words."""
-    word, _, _, first = word_hashes(data, at)
+    word, _, _, first = word_hashes(data, at, kind=kind)
     counts = np.diff(first)
     text = np.repeat(np.arange(len(counts)), counts)
-    by = constants(size, 11)
+    by = constants(size, 11 + 12 * kind)
     n = len(word) - size + 1
     if n > 0:
         hashed = word[:n] * by[0]

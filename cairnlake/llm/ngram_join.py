@@ -5,7 +5,7 @@ MinHash values meet in a bucket, where their signatures are compared step by
 step: a pair drops out as soon as the posterior probability that its similarity
 reaches the threshold falls below the tolerance. What is left links classes to
 groups of close texts, and only within these whole texts are verified, on their
-exact shingle sets. Large buckets and groups are dealt to tasks as pairs of
+exact shingle sets (124 bits a shingle, of two hashes that share nothing). Large buckets and groups are dealt to tasks as pairs of
 chunks, so no task holds a large one, and tasks return sums and spanning links,
 never all pairs.
 """
@@ -32,6 +32,8 @@ HASHES = 96
 STEP = 16
 TOLERANCE = 1e-6
 CHUNK = 512
+#: Bytes of whole texts in a chunk, on average; a longer text is a chunk of its own.
+CHUNK_BYTES = 16 << 20
 #: Pairs that are compared at once.
 LOT = 1 << 18
 
@@ -69,8 +71,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.column(1),
                 pa.array([row.tobytes() for row in values], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64))),
+                pa.array(np.diff(at)[some], pa.int64()),
             ],
-            ["key", "values", "bands"],
+            ["key", "values", "bands", "bytes"],
         )
 
 
@@ -176,6 +179,19 @@ def _values(rows: pa.Table) -> np.ndarray:
     return flat(rows.column("values"))[0].view(np.uint32).reshape(rows.num_rows, HASHES)
 
 
+def _numbered(text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, first) of the shingles of texts; shingles share a number if both
+    of their hashes are equal."""
+    hashed, first = shingles(text, begin, SHINGLE)
+    other, _ = shingles(text, begin, SHINGLE, kind=1)
+    _, at, number = np.unique(hashed, return_index=True, return_inverse=True)
+    if (other[at][number] != other).any():
+        order = np.lexsort((other, hashed))
+        fresh = (np.diff(hashed[order]) != 0) | (np.diff(other[order]) != 0)
+        number[order] = np.cumsum(np.concatenate([[False], fresh]))
+    return number, first
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of buckets: spanning links of the pairs that pruning leaves."""
     limits = _limits()
@@ -201,8 +217,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = (np.concatenate([p[x] for p in pairs]) if pairs else np.zeros(0, np.int64) for x in (0, 1))
             if not len(a):
                 continue
-            hashed, first = shingles(text[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo], SHINGLE)
-            ok = _jaccard([np.unique(hashed[first[x] : first[x + 1]]) for x in range(hi - lo)], a, b)
+            number, first = _numbered(text[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo])
+            ok = _jaccard([np.unique(number[first[x] : first[x + 1]]) for x in range(hi - lo)], a, b)
             a, b = a[ok], b[ok]
             links = np.bincount(a, weight[lo + b], hi - lo) + np.bincount(b, weight[lo + a], hi - lo)
             root = _roots(hi - lo, a, b)
@@ -216,8 +232,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
     """Members (grp, n: size of the group, node, columns) as sorted rows (grp, i, j,
     side, columns) for tasks: a group of up to CHUNK at once, a larger one as all
-    pairs of its chunks, so that its rows are repeated once a chunk."""
-    chunked = members.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    pairs of its chunks, so that its rows are repeated once a chunk. Where members
+    have ``total``, the bytes of their group's texts, these are cut likewise."""
+    chunks = F.ceil(F.col("n") / CHUNK)
+    if "total" in members.columns:
+        chunks = F.greatest(chunks, F.ceil(F.col("total") / CHUNK_BYTES))
+    chunked = members.withColumn("chunks", chunks.cast("int"))
     chunked = chunked.withColumn("chunk", F.expr("cast(pmod(xxhash64(node, 1), chunks) as int)"))
     paired = chunked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     side = (F.col("chunk") > F.col("with")).cast("int").alias("side")
@@ -241,20 +261,26 @@ def _near(classes: DataFrame) -> DataFrame:
     return components(star.select(F.explode(F.array_union(F.array("a"), "all")).alias("a"), F.col("least").alias("b")).distinct())
 
 
+def _text_key():
+    """128 bits of SHA-256 of the text."""
+    return F.unhex(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))
+
+
 def _rooted(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (of the text), root (the least key
     that links lead to; null for texts without words) and n_links."""
-    docs = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
+    docs = docs.select("doc_id", _text_key().alias("key"), "text")
     keyed = saved(docs.select("doc_id", "key"), "ngram-keys")
-    signed = docs.mapInArrow(_signatures, "key binary, values binary, bands array<bigint>")
+    signed = docs.mapInArrow(_signatures, "key binary, values binary, bands array<bigint>, bytes long")
     # Copies carry equal values, so any of a class will do.
-    classes = signed.groupBy("key").agg(F.count("*").alias("copies"), F.first("values").alias("values"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("key").agg(F.count("*").alias("copies"), F.first("values").alias("values"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     classes = saved(classes.withColumn("node", F.xxhash64("key")), "ngram-classes")
     near = _near(classes)
 
-    sizes = near.groupBy("component").agg(F.count("*").alias("n"))
+    sized = near.join(classes.select("node", "bytes"), "node")
+    sizes = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
     members = salted_join(near, sizes.withColumn("_n", F.col("n")), "component", "_n", near.count(), F.col("node"))
-    chosen = classes.drop("bands").join(members.withColumnRenamed("component", "grp"), "node")
+    chosen = classes.drop("bands", "bytes").join(members.withColumnRenamed("component", "grp"), "node")
     # The texts: one document of each chosen class.
     heads = keyed.join(chosen.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("head"))
     heads = heads.withColumnRenamed("key", "_key")
@@ -287,7 +313,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near copies: one row of each class stays, with all its
-    columns: the one with the smallest doc_id (null last), then the smallest MD5
+    columns: the one with the smallest doc_id (null last), then the smallest digest
     of the text, then the smallest other columns as JSON.
 
     Rows are told apart by doc_id and text, so rows that share a doc_id but not
@@ -304,7 +330,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rest = F.to_json(F.struct(*[c for c in given if c != "text"]), {"ignoreNullFields": "false"})
     wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # Rows of one doc_id and text are combined before they are moved.
-    rows = docs.filter(wordy).select(*by, F.unhex(F.md5("text")).alias(key), F.struct(*given).alias("row"), rest.alias("rest"))
+    rows = docs.filter(wordy).select(*by, _text_key().alias(key), F.struct(*given).alias("row"), rest.alias("rest"))
     rows = rows.groupBy(none, number, key).agg(F.min_by("row", "rest").alias("row"))
     return rows.join(heads, [none, number, key]).select("row.*").unionByName(docs.filter(~wordy))
 

@@ -3,9 +3,10 @@
 Every 200-byte string is assigned to the least hash among its 48-byte strings,
 so equal ones get the same key. Neighbouring starts with one key form a stretch
 (its starts and the 199 bytes behind them). Stretches whose key occurs once
-can't repeat. Equal stretches collapse to one with its count; the remaining
-different stretches of a key meet in one shard, whose suffix array (induced
-sorting) and permuted common prefixes tell which strings start twice.
+can't repeat. Equal stretches, told by 124 bits of hashes that share nothing,
+collapse to one with its count; the remaining different stretches of a key meet
+in one shard, whose suffix array (induced sorting) and permuted common prefixes
+tell which strings start twice.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm.bytehash import U, flat, mix, pieces, powers, prefix, substring
+from cairnlake.llm.bytehash import Prefix, U, flat, pieces
 from cairnlake.llm.common import salted_join, saved, table
 from cairnlake.llm.suffix_sort import repeated_starts
 
@@ -34,12 +35,16 @@ PIECE = 1 << 20
 PLACE, HIGH = U((1 << 32) - 1), U(((1 << 32) - 1) << 32)
 SPREAD = U(0x9E3779B97F4A7C15)
 
-STRETCH = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("digest", pa.int64())])
-STRETCH_SQL = "struct<first:int,n:int,key:long,digest:long>"
+#: The columns that two stretches must share to count as equal.
+SAME = ["key", "digest", "check"]
+STRETCH = pa.struct([("first", pa.int32()), ("n", pa.int32()), *((c, pa.int64()) for c in SAME)])
+STRETCH_SQL = "struct<first:int,n:int,key:long,digest:long,check:long>"
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 SPANS_SQL = "array<struct<start:int,end:int>>"
-PARTS = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()), ("copies", pa.int64()), ("part", pa.binary()), ("h", pa.int64()), ("g", pa.int64())])
-PARTS_SQL = "row long, key long, digest long, first int, copies long, part binary, h long, g long"
+PARTS = pa.schema(
+    [("row", pa.int64()), *((c, pa.int64()) for c in SAME), ("first", pa.int32()), ("copies", pa.int64()), ("part", pa.binary()), ("h", pa.int64()), ("g", pa.int64())]
+)
+PARTS_SQL = "row long, key long, digest long, check long, first int, copies long, part binary, h long, g long"
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -51,14 +56,13 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - width)], x[w - width :]) if w > width else x
 
 
-def _stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, first start, number of starts, key, digest) of each stretch."""
+def _stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, first start, number of starts, key, digest, check) of each stretch."""
     n, sizes = len(data), np.diff(at)
     if not len(sizes) or sizes.max() < LENGTH:
-        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U), np.zeros(0, U))
-    sums = prefix(data)
-    hashed = sums[KEY:] - sums[:-KEY]
-    hashed *= powers(n + 1)[1][: n - KEY + 1]
+        return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, U) for _ in range(3)))
+    sums, others = Prefix(data), Prefix(data, 1)
+    hashed = sums.lane(0, slice(0, n - KEY + 1), slice(KEY, n + 1))
     best = _window_min((hashed * SPREAD & HIGH) | np.arange(n - KEY + 1, dtype=U), LENGTH - KEY + 1)
     chosen = best & PLACE
     # Starts whose string lies inside one text.
@@ -73,8 +77,9 @@ def _stretches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[:-1] &= ~fits[1:] | other
     first, final = np.flatnonzero(head), np.flatnonzero(last)
     number = np.searchsorted(at, first, "right") - 1
-    key = mix(hashed[chosen[first].astype(np.int64)])
-    return number, first - at[number], final - first + 1, key, substring(sums, first, final + LENGTH)
+    place = chosen[first].astype(np.int64)
+    hashes = sums.substring(place, place + KEY), sums.substring(first, final + LENGTH), others.substring(first, final + LENGTH)
+    return number, first - at[number], final - first + 1, *hashes
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +90,15 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [_stretches(data, at)]
         else:
             found = [_one(data, begin) for begin in range(0, max(1, len(data) - LENGTH + 1), PIECE)]
-        number, first, n, key, digest = (np.concatenate(x) for x in zip(*found, strict=True))
-        rows = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))], fields=list(STRETCH))
+        number, first, n, *hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows = [pa.array(first, pa.int32()), pa.array(n, pa.int32()), *(pa.array(h.view(np.int64)) for h in hashes)]
+        rows = pa.StructArray.from_arrays(rows, fields=list(STRETCH))
         ends = pa.array(np.searchsorted(number, np.arange(batch.num_rows + 1)), pa.int32())
         counts = pa.array(np.bincount(number, minlength=batch.num_rows), pa.int64())
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "th")), counts, pa.ListArray.from_arrays(ends, rows)], ["row", "doc_id", "th", "n_stretches", "stretches"])
 
 
-def _one(data: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _one(data: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
     """The stretches of the PIECE starts of one text from ``begin`` on."""
     part = data[begin : begin + PIECE + LENGTH - 1]
     number, first, *more = _stretches(part, np.array([0, len(part)]))
@@ -145,25 +151,24 @@ def _parts(row: int, text: np.ndarray, x: dict[str, np.ndarray]) -> Iterator[pa.
         some = chosen[at : at + 4096]
         parts = [raw[a:b] for a, b in zip(x["first"][some].tolist(), stop[some].tolist(), strict=True)]
         none = pa.nulls(len(some), pa.int64())
-        columns = [np.full(len(some), row), x["key"][some], x["digest"][some], x["first"][some], x["copies"][some]]
+        columns = [np.full(len(some), row), *(x[c][some] for c in (*SAME, "first", "copies"))]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, PARTS, strict=False)), pa.array(parts, pa.binary()), none, none], schema=PARTS)
     for k in np.flatnonzero(~x["sort"]).tolist():
         first, n = int(x["first"][k]), int(x["n"][k])
-        sums, start = prefix(text[first : first + n - 1 + LENGTH]), np.arange(n)
-        h = substring(sums, start, start + LENGTH)
-        g = substring(sums, start + 7, start + LENGTH) ^ (substring(sums, start, start + LENGTH - 11) << U(1))
-        columns = [np.full(n, row), np.full(n, x["key"][k]), np.full(n, x["digest"][k]), first + start, np.full(n, x["copies"][k])]
+        part, start = text[first : first + n - 1 + LENGTH], np.arange(n)
+        h, g = (Prefix(part, kind).substring(start, start + LENGTH) for kind in (0, 1))
+        columns = [np.full(n, row), *(np.full(n, x[c][k]) for c in SAME), first + start, np.full(n, x["copies"][k])]
         hashes = [pa.array(h.view(np.int64)), pa.array(g.view(np.int64))]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, PARTS, strict=False)), pa.nulls(n, pa.binary()), *hashes], schema=PARTS)
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches in the order of (key, digest); whole keys go to a shard of about
+    """Stretches in the order of SAME; whole keys go to a shard of about
     SHARD_BYTES. For those that occur once: the row and spans of repeated strings."""
 
     def shard(held: list[tuple]) -> pa.RecordBatch:
-        row, first, copies = (np.array(x) for x in zip(*(r[2:5] for r in held), strict=True))
-        found = repeated_starts([r[5] for r in held], copies, LENGTH)
+        row, first, copies = (np.array(x) for x in zip(*(r[3:6] for r in held), strict=True))
+        found = repeated_starts([r[6] for r in held], copies, LENGTH)
         out = [(k, *runs(x)) for k, x in enumerate(found) if len(x) and copies[k] == 1]
         spans = [[{"start": a, "end": b} for a, b in zip((first[k] + low).tolist(), (first[k] + high + LENGTH).tolist(), strict=True)] for k, low, high in out]
         return pa.RecordBatch.from_arrays([pa.array([int(row[k]) for k, *_ in out], pa.int64()), pa.array(spans, pa.list_(SPAN))], ["row", "more"])
@@ -171,14 +176,14 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for x in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "row", "first", "copies", "part")), strict=True):
-            if held and x[:2] == held[-1][:2]:
+        for x in zip(*(batch.column(c).to_pylist() for c in (*SAME, "row", "first", "copies", "part")), strict=True):
+            if held and x[:3] == held[-1][:3] and x[6] == held[-1][6]:
                 continue
             if size >= SHARD_BYTES and x[0] != held[-1][0]:
                 yield shard(held)
                 held, size = [], 0
             held.append(x)
-            size += len(x[5])
+            size += len(x[6])
     if held:
         yield shard(held)
 
@@ -221,24 +226,24 @@ def _marks(listed: DataFrame) -> DataFrame:
     repeated = saved(salted_join(each, again, "key", "_n", _total(listed, "n_stretches"), spread), "suffix-repeated")
     n_repeated = repeated.count()
 
-    kinds = repeated.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first")).alias("head"))
+    kinds = repeated.groupBy(*SAME).agg(F.count("*").alias("copies"), F.min(F.struct("row", "first")).alias("head"))
     per_key = kinds.groupBy("key").agg(F.count("*").alias("different"))
     kinds = salted_join(kinds, per_key.withColumn("_n", F.col("different")), "key", "_n", n_repeated, F.col("digest"))
     kinds = saved(kinds.withColumn("_n", F.col("copies")), "suffix-kinds")
 
-    marked = salted_join(repeated, kinds, ["key", "digest"], "_n", n_repeated, spread)
+    marked = salted_join(repeated, kinds, SAME, "_n", n_repeated, spread)
     whole = F.when(F.col("copies") > 1, F.struct(F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("end")))
     # Of equal stretches one is looked into, for the strings it shares with others.
     # A key with one stretch only is done: its copies are equal throughout.
     is_head = F.col("head") == F.struct("row", "first")
     sort = (F.col("different") <= MOST_STRETCHES).alias("sort")
-    open_one = F.when((F.col("different") > 1) & ((F.col("copies") == 1) | is_head), F.struct("key", "digest", "first", "n", "copies", sort))
+    open_one = F.when((F.col("different") > 1) & ((F.col("copies") == 1) | is_head), F.struct(*SAME, "first", "n", "copies", sort))
     return saved(marked.groupBy("row").agg(F.collect_list(whole).alias("spans"), F.collect_list(open_one).alias("open")), "suffix-marks")
 
 
 def _inner_repeats(parts: DataFrame) -> DataFrame:
     """(row, more): spans of strings that repeat in stretches which occur once."""
-    shards = parts.filter("part is not null").repartition("key").sortWithinPartitions("key", "digest")
+    shards = parts.filter("part is not null").repartition("key").sortWithinPartitions(*SAME)
     from_sorting = shards.mapInArrow(_sorted_shards, f"row long, more {SPANS_SQL}")
     strings = parts.filter("part is null").dropDuplicates(["row", "first"]).select("row", "first", "copies", "h", "g")
     twice = strings.groupBy("h", "g").agg(F.count("*").alias("_n")).filter("_n > 1")
