@@ -238,10 +238,10 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     table gives no rows; other columns are not read. Of long texts some thousand
     windows are held at a time.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", has_letters(F.col("text")).alias("letters"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", has_letters(F.col("text")).alias("letters"))
     if net is None:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_Predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_Predict(net), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:

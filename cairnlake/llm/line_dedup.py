@@ -98,8 +98,9 @@ class _Units:
 def _repeated(docs: DataFrame, kinds: tuple[str, ...], least_words: int) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n_units) of ``docs`` (row, doc_id, text), where ``row`` tells rows
     apart, and (_row, removed) of the rows that lose something."""
-    rows = docs.select("row", F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    schema = f"row long, doc_id long, th long, n_units long, units {UNITS_SQL}"
+    rows = docs.select("row", "doc_id", F.xxhash64("text").alias("th"), "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {id_type}, th long, n_units long, units {UNITS_SQL}"
     listed = saved(rows.mapInArrow(_Units(kinds, least_words), schema), "units")
     total = listed.agg(F.sum("n_units")).first()[0] or 0
 

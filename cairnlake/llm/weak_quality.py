@@ -215,8 +215,9 @@ def score_quality(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, threshold:
     score alike, also in rows that share a doc_id or have none. An empty table
     gives no rows; other columns are not read. Long texts are read in segments.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = saved(docs.mapInArrow(_Votes(), "doc_id long, pattern int"), "weak-votes")
+    docs = docs.select("doc_id", "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    seen = saved(docs.mapInArrow(_Votes(), f"doc_id {id_type}, pattern int"), "weak-votes")
     counted = seen.groupBy("pattern").count().collect()
     codes = np.array([r["pattern"] for r in counted], np.int64)
     total = int(sum(r["count"] for r in counted))
@@ -234,7 +235,7 @@ def score_quality(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, threshold:
         code = np.array([r["pattern"] for r in got], np.int64)
         y = model.posterior(code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3)
         w, b = fit_scorer(_Rows(got), y)
-    return docs.mapInArrow(_Score(w, b, model, threshold), "doc_id long, score double, posterior double, kept boolean")
+    return docs.mapInArrow(_Score(w, b, model, threshold), f"doc_id {id_type}, score double, posterior double, kept boolean")
 
 
 class _Rows:

@@ -156,3 +156,13 @@ def test_large_texts_are_chunked_by_bytes(spark, monkeypatch):
     texts = [(k, " ".join([*base[: 20_000 + k], f"own{k}", *base[20_000 + k :]])) for k in range(6)] + [(9, "short text")]
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.jaccard_groups(rows(spark, texts)).collect()}
     assert got == near(texts) and got[0] == (0, 5)
+
+
+def test_other_operators_keep_the_type_of_ids(spark):
+    from cairnlake.llm import language_id, line_dedup, weak_quality
+
+    frame = spark.createDataFrame([("x1", "one two. three"), ("x2", None), (None, "one two. three")], "doc_id string, text string")
+    for out in (weak_quality.score_quality(frame), line_dedup.repeated_units(frame, ("line",), 1), language_id.identify(frame, None)):
+        assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == ["None", "x1", "x2"]
+    spans = {r["doc_id"]: len(r["removed"]) for r in line_dedup.repeated_units(frame, ("line",), 1).collect()}
+    assert spans == {"x1": 0, "x2": 0, None: 1}
