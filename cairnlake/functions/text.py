@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 
 
-#: One white-space code point of Unicode, or a separator U+001C to U+001F (fixed values).
-WHITE = r"[\u0009-\u000d\u001c-\u001f\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space of Unicode, and the separators U+001C to U+001F, but for the blank (fixed values).
+WHITE = "".join(chr(x) for x in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: One ASCII space character.
 SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -18,13 +18,14 @@ SPACE = r"[ \t\n\x0B\f\r]"
 def normalized(text: Column) -> Column:
     """Line ends to LF, no blanks at line ends, no outer empty lines; empty for null."""
     lf = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.btrim(F.regexp_replace(lf, "(?md)[ \t]+$", ""), F.lit("\n"))
+    # A run of blanks is tried at its first one only, so long runs take linear time.
+    return F.btrim(F.regexp_replace(lf, "(?md)(?<![ \t])[ \t]++$", ""), F.lit("\n"))
 
 
 def canonical(text: Column) -> Column:
     """Outer white space gone, inner squeezed to one blank, lower case; empty for null."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{WHITE}+|{WHITE}+$", "")
-    return F.lower(F.regexp_replace(bare, f"{WHITE}+", " "))
+    blank = F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE))
+    return F.lower(F.btrim(F.regexp_replace(blank, " +", " "), F.lit(" ")))
 
 
 def content_hash(text: Column) -> Column:
@@ -38,7 +39,7 @@ def squeezed(text: Column, most: int = 4000) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """Squeezed and lower-cased, without spaces and ASCII punctuation at the end."""
-    return F.lower(F.regexp_replace(squeezed(text), r"[ \t\n\x0B\f\r\p{Punct}]+$", ""))
+    return F.lower(F.regexp_replace(squeezed(text), r"(?<![ \t\n\x0B\f\r\p{Punct}])[ \t\n\x0B\f\r\p{Punct}]++$", ""))
 
 
 def error_shape(text: Column) -> Column:
