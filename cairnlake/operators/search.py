@@ -124,16 +124,3 @@ def cover_ranks(df: DataFrame, query: WebQuery, id_col: str = "doc_id", text_col
     noise = (F.col("pos") - F.col("_from")["pos"]) - (F.col("_n") - F.col("_from")["n"])
     r = cover.groupBy("id").agg(F.count("*").alias("covers"), F.sum(0.1 / (1 + noise)).alias("r"))
     return r.select("id", "covers", (F.col("r") / (F.col("r") + 1)).alias("score"))
-
-
-def document_search(documents: DataFrame, parts: DataFrame, query: WebQuery, k: int, offset: int = 0, keep: Column | None = None) -> DataFrame:
-    """(id, score, best_part, rank): documents (id, text) by the greater of their own rank
-    and that of the best of their parts (id, part, text); a page of them."""
-    documents = documents if keep is None else documents.filter(keep)
-    own = cover_ranks(documents, query, "id").select("id", F.col("score").alias("_own"))
-    keyed = parts.select(F.struct("id", "part").alias("key"), "text")
-    best = cover_ranks(keyed, query, "key").select("id.id", F.struct("score", (-F.col("id.part")).alias("p")).alias("s")).groupBy("id").agg(F.max("s").alias("s"))
-    both = own.join(best.select("id", F.col("s.score").alias("_part"), (-F.col("s.p")).alias("best_part")), "id", "full")
-    both = both.join(documents.select("id"), "id", "left_semi").withColumn("score", F.greatest("_own", "_part"))
-    page = both.orderBy(F.desc("score"), "id").offset(offset).limit(k)
-    return page.select("id", "score", "best_part", (F.row_number().over(W.orderBy(F.desc("score"), "id")) + offset).alias("rank"))

@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
-from cairnlake.operators import graph, lifecycle, rollups, search, temporal, vectors
-from cairnlake.plans import memory, status, surface, upkeep
+from cairnlake.operators import graph, lifecycle, postings, rollups, search, temporal, vectors
+from cairnlake.plans import lexical, memory, status, surface, upkeep
 from cairnlake.plans.base import ORACLES, QUERIES, QUERY_ID, SQL_CANONICAL, SQL_SIM, query
 from cairnlake.plans.base import as_of as _as_of
 from cairnlake.plans.base import events as _events
 from cairnlake.plans.base import table as _t
 from cairnlake.plans.base import vector as _vector
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "memory", "status", "surface", "upkeep"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "lexical", "memory", "status", "surface", "upkeep"]
 FLAGSHIP = "hybrid_recall"
 
 # Vectors
@@ -116,7 +116,7 @@ lex AS (SELECT id, a + b AS hits, (a + b) / sqrt(n::DOUBLE) / (1 + (a + b) / sqr
 
 @query(f"WITH {_SQL_TERMS} SELECT id, hits::INTEGER AS hits, round(score, 6) AS score FROM lex")
 def term_search(spark, sf_dir):
-    out = search.term_scores(_t(spark, sf_dir, "documents"), ["er", "en"])
+    out = postings.term_scores(lexical.documents_index(spark, sf_dir), ["er", "en"])
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -126,7 +126,7 @@ f AS (SELECT coalesce(v.id, t.id) AS id, CASE WHEN v.id IS NULL THEN least(1.0,
 SELECT id, round(s, 6) AS score, source FROM f ORDER BY s DESC, id LIMIT 50""")
 def hybrid_recall(spark, sf_dir):
     by_vector = vectors.nearest(_t(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 100).select(F.col("vec_id").alias("id"), F.col("similarity").alias("score"))
-    out = search.fused(by_vector, search.term_scores(_t(spark, sf_dir, "documents"), ["er", "en"]))
+    out = search.fused(by_vector, postings.term_scores(lexical.documents_index(spark, sf_dir), ["er", "en"]))
     return out.orderBy(F.desc("score"), "id").limit(50).select("id", F.round("score", 6).alias("score"), "source")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnlake.operators import recall, search, surface, vectors
+from cairnlake.operators import postings, recall, search, surface, vectors
 from cairnlake.plans.base import SQL_SIM, query, table, vector
 from cairnlake.plans.derived import ctes, derived
+from cairnlake.plans.lexical import documents_index, parts_index
 from cairnlake.plans.upkeep import _SQL_NEAR, _j, _near
 
 
@@ -174,7 +175,7 @@ _ASKED = 'the er en OR ed -"zz top"'
 
 @query(f"""WITH src AS (SELECT doc_id AS id, text AS t FROM documents), {_SQL_COVER} SELECT id, covers, round(r / (r + 1), 6) AS score FROM r""")
 def ranked_search(spark, sf_dir):
-    return search.cover_ranks(table(spark, sf_dir, "documents"), search.web_query(_ASKED)).withColumn("score", F.round("score", 6))
+    return postings.cover_ranks(documents_index(spark, sf_dir), search.web_query(_ASKED)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH d AS (SELECT doc_id, text FROM documents WHERE source <> 'src0'), k AS (SELECT doc_id, i AS part, substr(text, i * 1680 + 1, 1800) AS t FROM documents, LATERAL (SELECT unnest(range(0, (greatest(length(text) - 1, 0) // 1680) + 1)) AS i) WHERE length(text) > 0),
@@ -182,7 +183,6 @@ src AS (SELECT doc_id * 100000 + 99999 AS id, text AS t FROM d UNION ALL SELECT
 g AS (SELECT id // 100000 AS doc_id, id % 100000 AS part, r / (r + 1) AS s FROM r), b AS (SELECT doc_id, max(s) FILTER (part = 99999) AS own, max({{'s': s, 'p': -part}}) FILTER (part < 99999) AS m FROM g GROUP BY 1)
 SELECT doc_id AS id, round(greatest(own, m.s), 6) AS score, (-m.p)::INTEGER AS best_part, (row_number() OVER (ORDER BY greatest(own, m.s) DESC, doc_id))::INTEGER AS rank FROM b WHERE doc_id IN (SELECT doc_id FROM d) ORDER BY greatest(own, m.s) DESC, doc_id LIMIT 10 OFFSET 5""")
 def document_search(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    parts = search.chunks(docs).select(F.col("doc_id").alias("id"), F.col("chunk_index").alias("part"), F.col("content").alias("text"))
-    found = search.document_search(docs.select(F.col("doc_id").alias("id"), "text", "source"), parts, search.web_query(_ASKED), 10, 5, F.col("source") != "src0")
+    wanted = table(spark, sf_dir, "documents").filter(F.col("source") != "src0").select(F.col("doc_id").alias("id"))
+    found = postings.document_search(documents_index(spark, sf_dir), parts_index(spark, sf_dir), wanted, search.web_query(_ASKED), 10, 5)
     return found.withColumn("score", F.round("score", 6))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made for local sessions, by application.
 _local_dirs: dict[str, str] = {}
+#: What an application has stored and may use again, by its folder and a name.
+_kept: dict[tuple[str, ...], object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,8 @@ def own_dir(spark: SparkSession) -> str:
 
 def clear_saved(spark: SparkSession) -> None:
     """Remove all that this application saved; results that read it are void then."""
+    for key in [k for k in _kept if k[0] == own_dir(spark)]:
+        del _kept[key]
     path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -51,3 +55,12 @@ def saved(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: tuple[str, ...], make):
+    """What ``make`` gives, made once for an application and a name, until
+    ``clear_saved``: for tables that many queries read, such as a word index."""
+    key = (own_dir(spark), *name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
