@@ -14,6 +14,7 @@ from cairnlake.operators.reports import meta
 from cairnlake.operators.rollups import top_of_each
 from cairnlake.operators.search import term_scores
 from cairnlake.operators.vectors import cosine
+from cairnlake.shared import saved
 
 
 def spread(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
@@ -75,7 +76,9 @@ def opened(chunks: DataFrame, wanted: Column, doc: str = "doc_id", index: str =
     """The wanted chunks with the handles of the nearest lower and higher chunk of
     the whole document. Index numbers are unique within a document."""
     w = W.partitionBy(doc).orderBy(index)
-    return chunks.withColumns({"previous": F.lag(index).over(w), "following": F.lead(index).over(w)}).filter(wanted)
+    # Only chunks of documents that have a wanted one are put in order.
+    some = chunks.join(chunks.filter(wanted).select(doc).distinct(), doc, "left_semi")
+    return some.withColumns({"previous": F.lag(index).over(w), "following": F.lead(index).over(w)}).filter(wanted)
 
 
 def first_of_equal(ranked: DataFrame, kind: str, content: str, *order: Column) -> DataFrame:
@@ -170,9 +173,10 @@ def in_context(
     tier = F.coalesce(*[F.when(F.col("type") == t, F.lit(name)) for t, name in TIERS.items()])
     live = live.withColumns({"similarity": cosine(F.col("embedding"), query), "tier": tier}).drop("embedding").filter("similarity is not null and tier is not null")
 
-    most = F.coalesce(*[F.when(F.col("tier") == t, F.lit(2 * k)) for t, k in ks.items()])
-    ranked = live.select("id", "tier", "similarity").withColumn("_r", F.row_number().over(W.partitionBy("tier").orderBy(F.desc("similarity"), "id")))
-    seeds = ranked.filter(F.col("_r") <= most).select("id", F.col("similarity").alias("vector"))
+    # The best of one tier after the other, each with a limit that cuts in every task.
+    near = live.select("id", "tier", "similarity")
+    seeds = [near.filter(F.col("tier") == t).orderBy(F.desc("similarity"), "id").limit(2 * k) for t, k in ks.items()]
+    seeds = saved(reduce(DataFrame.unionByName, seeds).select("id", F.col("similarity").alias("vector")), "recall-seeds")
 
     near = neighbours.join(seeds, "id").groupBy(F.col("neighbour").alias("id")).agg(F.max(F.col("weight") * F.col("vector")).alias("association"))
     called = edges.filter(F.col("rel").isin(*CALLING)).select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight"))

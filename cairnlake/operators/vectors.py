@@ -104,28 +104,26 @@ class _Near:
 def nearest_of_each(df: DataFrame, queries: DataFrame, k: int, least: float = -1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, similarity, rank): for each query its k most similar other rows.
 
-    Queries go to the tasks in blocks; each batch of rows is one matrix product
-    that leaves the best k of each query, so rows to rank grow with the number
-    of batches and not with the rows.
+    Up to ``QUERY_BLOCK`` queries, counted first, go to the tasks as one block, and
+    each batch of rows is a matrix product that leaves the best k of each query.
+    More of them are joined block by block (``vector_join``).
     """
-    listed = queries.select(F.col(id_col).alias("i"), F.col(vector_col).alias("v")).filter("v is not null and i is not null").orderBy("i").toLocalIterator()
-    parts, block = [], []
-
-    def search(some: list) -> DataFrame:
-        found = _Search([r["i"] for r in some], np.array([r["v"] for r in some], np.float64), k, least)
-        return df.select(F.col(id_col).cast("long"), vector_col).mapInArrow(found, "query_id long, id long, similarity double")
-
-    for row in listed:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(search(block))
-            block = []
-    if block:
-        parts.append(search(block))
-    if not parts:
+    some = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")).filter("v is not null and i is not null")
+    if some.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        from cairnlake.operators.vector_join import nearest_of_all
+
+        return nearest_of_all(df, queries, k, least, id_col, vector_col)
+    listed = some.orderBy("i").collect()
+    if not listed:
         return df.sparkSession.createDataFrame([], "query_id long, id long, similarity double, rank int")
+    rows, parts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col), []
+    for width in sorted({len(r["v"]) for r in listed}):
+        block = [r for r in listed if len(r["v"]) == width]
+        search = _Search([r["i"] for r in block], np.array([r["v"] for r in block], np.float64), k, least)
+        parts.append(rows.mapInArrow(search, "query_id long, id long, similarity double"))
+    found = reduce(DataFrame.unionByName, parts)
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def routed(neighbours: DataFrame, duplicate: float = 0.92, related: float = 0.8) -> DataFrame:
