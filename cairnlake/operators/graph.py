@@ -66,10 +66,36 @@ def merged_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an end that is not among ``nodes`` (node)."""
+    """Edges with an end that is not among ``nodes`` (node); null ends are not."""
     known = nodes.select("node").distinct()
-    whole = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return edges.exceptAll(whole.select(*edges.columns))
+    ends = [known.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}")) for c in ("src", "dst")]
+    out = edges.join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    return out.filter("_src is null or _dst is null").select(*edges.columns)
+
+
+def subgraph(edges: DataFrame, live: DataFrame, seeds: DataFrame, depth: int = 2, budget: int = 40, rels: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): what lies round ``seeds`` (node) within ``depth`` edges either way.
+
+    ``live`` (node, alive) tells of the nodes that can be dead; an edge counts if both of
+    its ends live. nodes are (node, depth, relevance): the least depth and the greatest
+    product of weights on a way that meets no node twice (weights up to one, so the
+    best way never does), of these the ``budget`` nearest and most relevant. Of the
+    edges those are returned that run between them. Each hop is written to the shared
+    folder and goes on from what it has raised.
+    """
+    depth, budget = min(max(depth, 0), 6), min(max(budget, 1), 500)
+    some = edges if rels is None else edges.filter(F.col("rel").isin(*rels))
+    dead = live.filter("not alive").select("node").distinct()
+    for end in ("src", "dst"):
+        some = some.join(dead.withColumnRenamed("node", end), end, "left_anti")
+    some = saved(some.select("src", "dst", "rel", F.coalesce("weight", F.lit(1.0)).alias("weight")), "subgraph-edges")
+    start = seeds.select("node").distinct().join(dead, "node", "left_anti")
+    found = reached(some, start, depth)
+    kept = saved(found.orderBy("depth", F.desc("relevance"), "node").limit(budget), "subgraph-nodes")
+    # At most 500 nodes, so their names are small.
+    names = F.broadcast(kept.select("node"))
+    between = some.join(names.withColumnRenamed("node", "src"), "src", "left_semi").join(names.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return kept, between.select("src", "dst", "rel", "weight").distinct()
 
 
 def together(members: DataFrame, item: int, k: int = 10) -> DataFrame:
@@ -133,24 +159,23 @@ def goal_links(edges: DataFrame, goal: int, names: dict[str, str]) -> DataFrame:
     return ends.select(F.when(F.col("src") == goal, F.col("dst")).otherwise(F.col("src")).alias("id"), link.alias("link")).distinct()
 
 
-def plan_layers(steps: DataFrame, needs: DataFrame, most: int = 1000) -> DataFrame:
+def plan_layers(steps: DataFrame, needs: DataFrame) -> DataFrame:
     """(step, layer) of steps in the order of what they need (step, needs): each is one
     layer after the last of those. Steps of a circle, or behind one, have none.
 
-    Each round settles the steps whose needs are settled, so rounds are as many
-    as layers; a step that needs what is not listed is never settled.
+    Each round settles the steps whose last need was settled by the round before, so
+    rounds are as many as layers, and a round reads the last layer and the needs that
+    are still open. A step that needs what is not listed is never settled.
     """
     steps, needs = steps.select("step").distinct(), needs.select("step", "needs").distinct()
-    wants = needs.groupBy("step").agg(F.count("*").alias("_want"))
-    done = steps.join(wants, "step", "left_anti").withColumn("layer", F.lit(0))
-    total, settled = steps.count(), 0
-    for _ in range(most):
-        done = saved(done, "layers")
-        now = done.count()
-        if now in (settled, total):
-            break
-        settled = now
-        ready = needs.join(done.select(F.col("step").alias("needs"), "layer"), "needs").groupBy("step").agg(F.count("*").alias("_have"), F.max("layer").alias("layer"))
-        ready = ready.join(wants, "step").filter("_have = _want").join(steps, "step", "left_semi").select("step", (F.col("layer") + 1).alias("layer"))
-        done = done.unionByName(ready.join(done.select("step"), "step", "left_anti"))
-    return done
+    wants = needs.groupBy("step").agg(F.count("*").alias("open"))
+    layers = [saved(steps.join(wants, "step", "left_anti").withColumn("layer", F.lit(0)), "layer")]
+    waiting = saved(steps.join(wants, "step"), "waiting")
+    while True:
+        met = needs.join(layers[-1].select(F.col("step").alias("needs")), "needs").groupBy("step").agg(F.count("*").alias("_met"))
+        waiting = saved(waiting.join(met, "step", "left").select("step", (F.col("open") - F.coalesce("_met", F.lit(0))).alias("open")), "waiting")
+        ready = saved(waiting.filter("open = 0").select("step", F.lit(len(layers)).alias("layer")), "layer")
+        if ready.isEmpty():
+            return reduce(DataFrame.unionByName, layers)
+        layers.append(ready)
+        waiting = waiting.filter("open > 0").select("step", "open")

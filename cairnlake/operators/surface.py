@@ -142,3 +142,58 @@ def item_documents(items: DataFrame) -> DataFrame:
     latest = items.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
     key = F.sha2(F.concat_ws("\x1e", F.col("connection").cast("string"), F.col("item").cast("string"), F.coalesce("content", F.lit(""))), 256)
     return latest.select("connection", "item", key.alias("content_hash"), F.coalesce(F.nullif("sensitivity", F.lit("")), F.lit("private")).alias("sensitivity"))
+
+
+def ingestion_stats(metrics: DataFrame, since: Column, until: Column) -> DataFrame:
+    """One row ``stats``: all of what came in since a time, as JSON, in one pass.
+
+    ``metrics`` are (source_type, mode, created_at, word_count, extraction_count,
+    memory_count, dedup_count, llm_calls, duration_seconds, valence, arousal,
+    intensity). Grouping sets give the counts by source, by mode, and the totals;
+    the rows of these few groups are then put into one object.
+    """
+    some = metrics.filter(F.col("created_at") >= since).withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("source_type", "mode")})
+    sums = {c: F.sum(c).alias(c) for c in ("word_count", "extraction_count", "memory_count", "dedup_count", "llm_calls", "duration_seconds")}
+    means = {c: F.avg(c).alias(f"_{c}") for c in ("word_count", "extraction_count", "duration_seconds", "valence", "arousal", "intensity")}
+    kind = F.grouping_id().alias("_kind")
+    sets = some.groupingSets([[F.col("source_type")], [F.col("mode")], []], "source_type", "mode")
+    found = sets.agg(kind, F.count("*").alias("n"), *sums.values(), *means.values())
+    r = lambda c: F.round(F.col(c), 6)
+    by_source = F.struct(F.col("n").alias("count"), r("_word_count").alias("avg_words"), r("_extraction_count").alias("avg_extractions"), r("_duration_seconds").alias("avg_duration"))
+    totals = F.struct(
+        F.col("word_count").alias("total_words"), F.col("extraction_count").alias("total_extractions"), F.col("memory_count").alias("total_memories"), F.col("llm_calls").alias("total_llm_calls"),
+        r("duration_seconds").alias("total_duration_seconds"), r("_valence").alias("avg_valence"), r("_arousal").alias("avg_arousal"), r("_intensity").alias("avg_intensity"),
+    )
+    rate = F.when(F.col("extraction_count") > 0, r("_rate")).otherwise(F.lit(0.0))
+    found = found.withColumn("_rate", F.try_divide(F.col("dedup_count").cast("double"), F.col("extraction_count").cast("double")))
+    dedup = F.struct(F.col("dedup_count").alias("total_deduped"), rate.alias("dedup_rate"))
+    pairs = lambda level, key, value: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_kind") == level, F.struct(F.col(key).alias("k"), value.alias("v"))))))
+    whole = lambda value: F.max(F.when(F.col("_kind") == 3, value))
+    out = found.agg(
+        F.coalesce(whole(F.col("n")), F.lit(0)).alias("total_ingestions"), pairs(1, "source_type", by_source).alias("by_source_type"), pairs(2, "mode", F.col("n")).alias("by_mode"),
+        whole(totals).alias("totals"), whole(dedup).alias("dedup_stats"),
+    )
+    told = F.struct(since.cast("string").alias("period_start"), until.cast("string").alias("period_end"), *out.columns)
+    return out.select(F.to_json(told).alias("stats"))
+
+
+def carryover(turns: DataFrame, as_of: Column, most: int = 8, window_minutes: int = 1440, max_chars: int = 5000, line_chars: int = 700) -> DataFrame:
+    """(session, turns, chars, body): for each session its latest turns within the window,
+    up to ``most`` and as many as fit ``max_chars`` when counted from the end, in order.
+
+    ``turns`` are (session, turn, role, text, at). A line is the role and the text with
+    blanks squeezed, cut to ``line_chars``. The last turn stays in any case, cut to the
+    budget; sessions without a turn in the window have no row.
+    """
+    bare = F.btrim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     "), " +", " "))
+    line = F.concat(F.col("role"), F.lit(": "), F.left(bare, F.lit(line_chars)))
+    inside = F.col("at").isNull() | (F.unix_micros("at") >= F.unix_micros(as_of) - window_minutes * 60_000_000)
+    some = turns.filter(inside).select("session", "turn", line.alias("line"))
+    from_end = W.partitionBy("session").orderBy(F.desc("turn"))
+    late = some.withColumn("_r", F.row_number().over(from_end)).filter(F.col("_r") <= most)
+    # A line break stands before every line but the last.
+    used = F.sum(F.length("line") + F.when(F.col("_r") > 1, 1).otherwise(0)).over(from_end.rowsBetween(W.unboundedPreceding, 0))
+    fits = late.withColumn("_used", used).filter((F.col("_used") <= max_chars) | (F.col("_r") == 1))
+    out = fits.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]).alias("lines"))
+    body = F.left(F.array_join("lines", "\n"), F.lit(max_chars))
+    return out.select("session", F.size("lines").alias("turns"), F.length(body).alias("chars"), body.alias("body"))

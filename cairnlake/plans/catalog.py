@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
 from cairnlake.operators import graph, lifecycle, postings, rollups, search, temporal, vectors
-from cairnlake.plans import associative, lexical, memory, status, surface, upkeep
+from cairnlake.plans import associative, lexical, memory, passes, status, surface, upkeep
 from cairnlake.plans.base import ORACLES, QUERIES, QUERY_ID, SQL_CANONICAL, SQL_SIM, query
 from cairnlake.plans.base import as_of as _as_of
 from cairnlake.plans.base import events as _events
 from cairnlake.plans.base import table as _t
 from cairnlake.plans.base import vector as _vector
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "associative", "lexical", "memory", "status", "surface", "upkeep"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "associative", "lexical", "memory", "passes", "status", "surface", "upkeep"]
 FLAGSHIP = "hybrid_recall"
 
 # Vectors
@@ -330,12 +330,12 @@ def page_of_hits(spark, sf_dir):
     return some.orderBy(F.desc_nulls_last("n_chars"), "doc_id").offset(20).limit(10).withColumn("total", F.lit(total).cast("long"))
 
 
-@query("""SELECT user_id AS id, CASE WHEN bool_or(ts >= TIMESTAMP '2024-01-16') THEN 'added' ELSE 'expired' END AS change FROM events WHERE event_type = 'purchase'
-GROUP BY user_id HAVING bool_or(ts >= TIMESTAMP '2024-01-16') <> bool_or(ts < TIMESTAMP '2024-01-16')""")
+@query("""WITH b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-03'), a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-29')
+SELECT user_id AS id, 'added' AS change FROM a WHERE user_id NOT IN (SELECT user_id FROM b) UNION ALL SELECT user_id, 'expired' FROM b WHERE user_id NOT IN (SELECT user_id FROM a)""")
 def snapshot_difference(spark, sf_dir):
     df = _events(spark, sf_dir).filter("event_type = 'purchase'").withColumnRenamed("user_id", "id")
-    half = F.lit("2024-01-16").cast("timestamp")
-    return temporal.difference(df.filter(F.col("ts") < half), df.filter(F.col("ts") >= half))
+    at = lambda day: F.lit(day).cast("timestamp")
+    return temporal.difference(df.filter(F.col("ts") < at("2024-01-03")), df.filter(F.col("ts") >= at("2024-01-29")))
 
 
 # Time

@@ -92,11 +92,11 @@ def by_ids(spark, sf_dir):
     return recall.by_ids(derived(spark, sf_dir, "memories"), [3, 5, 8, 13, 21, 34, 1_000_000], 12).select("id", "type", "content")
 
 
-@query(f"""{ctes("memories")} SELECT m.id, round(0.5 * importance + 0.1, 6) AS score FROM memories m WHERE type IN ('semantic', 'episodic') AND importance >= 0.3 AND content_hash = 'doc9' AND created_at >= TIMESTAMP '2024-01-03' AND created_at < {NOW} AND {_j("source")} = 'click' ORDER BY score DESC, created_at DESC, id LIMIT 15""")
+@query(f"""{ctes("memories")} SELECT m.id, round(0.5 * importance + 0.1, 6) AS score FROM memories m WHERE type IN ('worldview', 'goal') AND importance >= 0.03 AND content_hash = 'doc9' AND created_at >= TIMESTAMP '2024-01-03' AND created_at < {NOW} AND {_j("source")} = 'click' ORDER BY score DESC, created_at DESC, id LIMIT 15""")
 def structured_recall(spark, sf_dir):
     memories = derived(spark, sf_dir, "memories")
     hits = memories.select("id", (F.col("importance") * 0.5 + 0.1).alias("score"))
-    out = recall.structured(hits, memories, 15, types=["semantic", "episodic"], least_importance=0.3, content_hash="doc9", after=F.lit("2024-01-03").cast("timestamp"), before=_now(), holds={"source": "click"})
+    out = recall.structured(hits, memories, 15, types=["worldview", "goal"], least_importance=0.03, content_hash="doc9", after=F.lit("2024-01-03").cast("timestamp"), before=_now(), holds={"source": "click"})
     return out.select("id", F.round("score", 6).alias("score"))
 
 
@@ -239,12 +239,15 @@ def merged_groups(spark, sf_dir):
     return out.select("user_id", "ids", F.sha2("content", 256).alias("content_hash"), "importance", F.round("valence", 6).alias("valence"), "private")
 
 
-@query(f"""{ctes("memories")}, d AS (SELECT content_hash, count(*) AS memory_count, max(epoch_us({NOW}) - epoch_us(created_at)) AS old, min(epoch_us({NOW}) - epoch_us(greatest(last_reinforced, last_accessed, created_at))) AS idle
+_STALE = "TIMESTAMP '2024-03-01'"
+
+
+@query(f"""{ctes("memories")}, d AS (SELECT content_hash, count(*) AS memory_count, max(epoch_us({_STALE}) - epoch_us(created_at)) AS old, min(epoch_us({_STALE}) - epoch_us(greatest(last_reinforced, last_accessed, created_at))) AS idle
 FROM memories WHERE status = 'active' AND content_hash IS NOT NULL AND NOT coalesce({_j("protected")}::BOOLEAN, false) GROUP BY 1)
-SELECT content_hash, memory_count FROM d WHERE old >= 20 * 86400000000 AND idle >= 2 * 86400000000 AND content_hash NOT IN ('doc9', 'doc18')""")
+SELECT content_hash, memory_count FROM d WHERE old >= 20 * 86400000000 AND idle >= 29 * 86400000000 AND content_hash NOT IN ('doc9', 'doc18')""")
 def stale_documents(spark, sf_dir):
     asked = spark.createDataFrame([("doc9", "pending"), ("doc18", "pending"), ("doc27", "denied")], "content_hash string, status string")
-    return upkeep.stale_documents(derived(spark, sf_dir, "memories"), asked, _now(), 20, 2)
+    return upkeep.stale_documents(derived(spark, sf_dir, "memories"), asked, F.lit("2024-03-01").cast("timestamp"), 20, 29)
 
 
 @query(f"""{ctes("units", "tasks")}, o AS (SELECT trigger_unit_id AS id FROM tasks WHERE status IN ('pending', 'in_progress') UNION SELECT source_unit_id FROM tasks WHERE status IN ('pending', 'in_progress'))
