@@ -22,6 +22,8 @@ from cairnlake.llm.common import saved, table, unused, word_count, words
 
 #: Rows that are ordered together while blocks are packed.
 ROWS_PER_BIN = 4_000
+#: A column of documents, if there, by which rows of one id and size are told apart.
+SPREAD = "_spread"
 ROUNDS = 12
 #: Words of a block, at most: a source's blocks are of one length, which divides
 #: it into equal parts, so that a source of a few blocks meets its target too.
@@ -109,7 +111,10 @@ def _packed(docs: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     known = sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target", "n_block", "bins")
     out = docs.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # An order of its own mixes neighbours; bins of it are ordered one by one.
-    out = out.withColumn("_mixed", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_bin", F.pmod("_mixed", "bins"))
+    # What tells rows apart is hashed too, so that rows without an id, or with one id
+    # for all, and of one size do not meet in one bin.
+    apart = [F.col(c) for c in (SPREAD, "text") if c in out.columns][:1]
+    out = out.withColumn("_mixed", F.xxhash64(F.lit(seed), "doc_id", "size", *apart)).withColumn("_bin", F.pmod("_mixed", "bins"))
     sums = out.groupBy("source_no", "_bin").agg(F.sum("size").alias("_sum"))
     before = W.partitionBy("source_no").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("source_no", "_bin", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_from"))
@@ -139,7 +144,8 @@ def _picks(spark: SparkSession, sources: DataFrame, seed: int) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20240131) -> Mix:
-    """Plan the mix of ``docs`` (doc_id, source and size columns, and any others).
+    """Plan the mix of ``docs`` (doc_id, source and size columns, and any others). Rows of
+    one doc_id and size are spread by a column SPREAD, or by ``text``, where there is one.
 
     Sources in code point order, null last, take ``weights`` in turn. A document
     without words, or of null size, is taken 0 times. Rows that repeat are separate
@@ -201,5 +207,7 @@ def mixed_blocks(mix: Mix, text_col: str = "text") -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    # Rows without an id are numbered, once and for all, since even their texts may be equal.
+    spread = F.xxhash64("text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), spread.alias(SPREAD)), "mix-sizes")
     return taken_words(plan_mix(sized)).select("doc_id", "size", "source_size", "target", "taken")

@@ -24,9 +24,10 @@ from cairnlake.llm.common import own_dir, saved, table
 
 #: Shorter payloads are always stored.
 LEAST_REVISITED = 100
-#: An archive holds so many captures whose payloads are small, and of larger ones
-#: as many as stay under a limit of bytes, since archives are read file by file.
-CAPTURES_A_FILE, SMALL, MOST_BYTES = 1_000, 1 << 20, 1 << 30
+#: Archives are read file by file, so each stays under a limit of bytes: pages go by
+#: size, up to SMALL, four times that, and so on, and an archive holds as many as the
+#: limit has room for, but no more than CAPTURES_A_FILE.
+CAPTURES_A_FILE, SMALL, MOST_BYTES = 1_000, 64 << 10, 64 << 20
 CRLF = "\r\n"
 DATE = "2024-01-31T00:00:00Z"
 
@@ -49,8 +50,8 @@ def write_captures(pages: DataFrame, path: str, date: str = DATE) -> None:
     others as revisits without a body. A null html is an empty payload; a null
     url leaves the URI out, line ends in it are percent-encoded. A null page_id
     ranks last and is not written. An empty table gives no archives; other columns
-    are not read. Archives stay under about a gigabyte (a payload over that has one
-    of its own), so that any is read back.
+    are not read. Archives stay under about 64 megabytes (a payload over that has one
+    of its own), so that any is read back in little memory; a page is one row of one task.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
@@ -74,11 +75,11 @@ def write_captures(pages: DataFrame, path: str, date: str = DATE) -> None:
     noted = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record(noted, ("WARC-Type", "metadata"), ("WARC-Record-ID", F.col("metadata_id")), ("WARC-Concurrent-To", F.col("response_id")), ("WARC-Date", date), target, ("Content-Type", "application/warc-fields"))
     records = F.explode(F.array(request, F.when(F.col("revisit"), again).otherwise(response), metadata)).alias("value")
-    # Few pages are larger than SMALL; they have archives of their own.
-    some = [(rows.filter(F.col("size") <= SMALL), CAPTURES_A_FILE)]
-    if largest > SMALL:
-        some.append((rows.filter(F.col("size") > SMALL), max(1, MOST_BYTES // largest)))
-    for part, captures in some:
+    # One write for each class of sizes that occurs; most tables have the first only.
+    low, high = -1, SMALL
+    while low < largest:
+        part, captures = rows.filter((F.col("size") > low) & (F.col("size") <= high)), min(CAPTURES_A_FILE, max(1, MOST_BYTES // high))
+        low, high = high, 4 * high
         writer = part.select(records).write.mode("append").option("lineSep", CRLF + CRLF)
         writer.option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(path)
 

@@ -166,3 +166,37 @@ def test_other_operators_keep_the_type_of_ids(spark):
         assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == ["None", "x1", "x2"]
     spans = {r["doc_id"]: len(r["removed"]) for r in line_dedup.repeated_units(frame, ("line",), 1).collect()}
     assert spans == {"x1": 0, "x2": 0, None: 1}
+
+
+def test_archives_stay_small(spark, tmp_path, monkeypatch):
+    from cairnlake.llm import warc
+
+    monkeypatch.setattr(warc, "MOST_BYTES", 1 << 20)
+    monkeypatch.setattr(warc, "SMALL", 1 << 14)
+    rng = random.Random(1)
+    html = lambda n: "".join(chr(rng.randrange(33, 1000)) for _ in range(n))
+    pages = [(k, f"http://h{k}.org/", html(n)) for k, n in enumerate([10] * 90 + [20_000] * 40 + [90_000] * 12 + [900_000])] + [(500, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_captures(df, f"file://{tmp_path}/out")
+    files = sorted((tmp_path / "out").glob("*.gz"), key=lambda f: f.stat().st_size)
+    # All but the one payload over the limit are in archives under it.
+    assert files[-2].stat().st_size < 1 << 20 < files[-1].stat().st_size and len(files) > 5
+    records = warc.read_records(spark, f"file://{tmp_path}/out")
+    assert warc.transactions(records).count() == len(pages)
+
+
+def test_rows_without_ids_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from cairnlake.llm import mixing
+    from cairnlake.llm.common import saved
+
+    rows = spark.range(0, 30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("two words").alias("text"), F.lit(2).cast("long").alias("size"), F.xxhash64("id").alias(mixing.SPREAD))
+    sources = mixing._sources(rows.drop(mixing.SPREAD), (1.0,), 1.5, 2.0)
+    known = saved(rows, "spread")
+    places = mixing._packed(known, sources, 7).select("start").collect()
+    assert len({r["start"] for r in places}) == 30_000 and max(r["start"] for r in places) == 59_998
+    bins = F.pmod(F.xxhash64(F.lit(7), "doc_id", "size", mixing.SPREAD), F.lit(8))
+    assert max(r["count"] for r in known.groupBy(bins).count().collect()) < 5000
+    texts = known.drop(mixing.SPREAD).withColumn("text", F.monotonically_increasing_id().cast("string"))
+    assert len({r["start"] for r in mixing._packed(saved(texts, "spread"), sources, 7).select("start").collect()}) == 30_000
