@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.functions.stems import ENGLISH_STOP, EXCEPTIONS, FOURTH, REGION, SECOND, SETTLED, SHORT, THIRD, with_stems
-from cairnlake.operators import postings, search
-from cairnlake.plans.base import query, table
+from cairnlake.operators import chunk_search, postings, search
+from cairnlake.plans.base import query, table, vector
 from cairnlake.shared import kept
 
 
@@ -88,7 +88,7 @@ def stemmed_search(spark, sf_dir):
     return postings.cover_ranks(documents_index(spark, sf_dir, True), search.web_query(ASKED)).withColumn("score", F.round("score", 6))
 
 
-_SQL_SHOWN = """pc AS (SELECT doc_id AS id, regexp_extract_all(text, '[^A-Za-z0-9]*[A-Za-z0-9]+') AS p FROM documents),
+_SQL_SHOWN = """pc AS (SELECT id, regexp_extract_all(t, '[^A-Za-z0-9]*[A-Za-z0-9]+') AS p FROM src),
 fr AS (SELECT id, hits, noise, CASE WHEN least(last - first + 1, 45) = 45 THEN first ELSE greatest(first - (45 - (last - first + 1)) // 2, 0) END AS a, len(p) AS n FROM c JOIN pc USING (id)),
 rk AS (SELECT *, least(a + 45, n) AS b, row_number() OVER (PARTITION BY id ORDER BY hits DESC, noise, a, least(a + 45, n)) AS r FROM fr),
 o1 AS (SELECT * FROM rk WHERE r = 1), o2 AS (SELECT k.* FROM rk k JOIN o1 USING (id) WHERE k.b <= o1.a OR k.a >= o1.b QUALIFY row_number() OVER (PARTITION BY k.id ORDER BY k.r) = 1),
@@ -102,3 +102,68 @@ def headlines(spark, sf_dir):
     top = postings.cover_ranks(index, asked).withColumn("_s", F.round("score", 9)).orderBy(F.desc("_s"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(top, "id")
     return postings.fragments(index, asked, texts).join(top, "id")
+
+
+_NOW = "TIMESTAMP '2024-01-31'"
+_SQL_CHUNKS = f"""pt AS (SELECT doc_id AS doc, i AS part, substr(text, i * 1680 + 1, 1800) AS t, source FROM documents, LATERAL (SELECT unnest(range(0, (greatest(length(text) - 1, 0) // 1680) + 1)) AS i) WHERE length(text) > 0),
+cx AS (SELECT doc * 100000 + part AS id, doc, part, t, CASE WHEN doc % 17 = 3 THEN 'archived' ELSE 'active' END AS status, '/Home/' || source || '/f' || doc || '.txt' AS path, CASE WHEN doc % 3 = 0 THEN 'email' ELSE 'file' END AS source_type,
+  CASE WHEN part % 2 = 0 THEN 'page' ELSE 'sheet' END AS locator_kind, part + 1 AS first_page, part + 2 AS last_page, {_NOW} - to_days((doc % 100)::INTEGER) AS created_at, {_NOW} - to_days((doc % 45)::INTEGER) AS updated_at,
+  (doc % 10) / 10.0 AS trust, (doc + part) % 9 = 0 AS desk, CASE WHEN doc % 8 = 5 THEN 'private' END AS sensitivity, (doc * 7 + part) % 500 AS vec FROM pt),
+lx AS (SELECT * FROM cx WHERE status = 'active' AND contains(lower(path), 'src1') AND last_page >= 1 AND first_page <= 6 AND created_at >= {_NOW} - INTERVAL 90 DAY AND created_at < {_NOW} AND coalesce(sensitivity, '') <> 'private')"""
+
+
+def _chunks(spark, sf_dir):
+    now, doc, part = F.lit("2024-01-31").cast("timestamp"), F.col("id"), F.col("part")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    days = lambda n: now - F.make_dt_interval((doc % n).cast("int"))
+    rows = parts_of(spark, sf_dir).join(docs, "id").select(
+        F.struct("id", "part").alias("id"), doc.alias("doc"), part.alias("chunk_index"), "text", F.when(doc % 17 == 3, "archived").otherwise("active").alias("status"),
+        F.concat(F.lit("/Home/"), "source", F.lit("/f"), doc.cast("string"), F.lit(".txt")).alias("path"), F.when(doc % 3 == 0, "email").otherwise("file").alias("source_type"),
+        F.when(part % 2 == 0, "page").otherwise("sheet").alias("locator_kind"), F.lit(None).cast("string").alias("sheet"), (part + 1).alias("first_page"), (part + 2).alias("last_page"),
+        days(100).alias("created_at"), days(45).alias("updated_at"), (doc % 10 / 10.0).alias("trust"), ((doc + part) % 9 == 0).alias("desk"), F.when(doc % 8 == 5, "private").alias("sensitivity"), ((doc * 7 + part) % 500).alias("vec_id"),
+    )
+    wanted = chunk_search.Wanted(path="SRC1", source_type=" ", first_page=1, last_page=6, after=now - F.make_dt_interval(F.lit(90)), before=now, show_private=False)
+    return rows.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "left").drop("vec_id"), wanted, now
+
+
+_SQL_RANKED = f"""vh AS (SELECT lx.id, list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS v FROM lx JOIN embeddings e ON e.vec_id = lx.vec ORDER BY v DESC, lx.id LIMIT 20),
+rw AS (SELECT id, sum(0.1 / (1 + noise)) AS r FROM c GROUP BY id), lh AS (SELECT id, r / (r + 1) AS raw FROM rw SEMI JOIN lx USING (id) ORDER BY raw DESC, id LIMIT 20), ln AS (SELECT id, raw / (SELECT max(raw) FROM lh) AS l FROM lh),
+mg AS (SELECT coalesce(vh.id, ln.id) AS id, v, l FROM vh FULL JOIN ln ON vh.id = ln.id),
+sc AS (SELECT lx.*, v, l, exp(-greatest((epoch_us({_NOW}) - epoch_us(updated_at)) / 86400000000.0, 0.0) * ln(2) / 30.0) AS rec FROM mg JOIN lx USING (id)),
+rk0 AS (SELECT *, 0.6 * coalesce(v, 0) + 0.4 * coalesce(l, 0) + 0.1 * rec + 0.1 * trust + CASE WHEN desk THEN 0.05 ELSE 0 END AS rank FROM sc ORDER BY rank DESC, updated_at DESC, doc, part LIMIT 10 OFFSET 2)"""
+
+
+@query(f"""WITH {_SQL_CHUNKS}, src AS (SELECT id, t FROM cx), {_SQL_FOUND}, {_SQL_RANKED}, {_SQL_SHOWN}, hl AS (SELECT id, string_agg(t, ' ... ' ORDER BY a) AS h FROM sh GROUP BY id)
+SELECT doc, part::INTEGER AS chunk_index, round(rank, 6) AS rank, round(v, 6) AS vector, round(l, 6) AS lexical, round(rec, 6) AS recency, left(coalesce(CASE WHEN l IS NOT NULL THEN h END, t), 600) AS snippet, false AS degraded FROM rk0 LEFT JOIN hl USING (id)""")
+def filtered_chunk_search(spark, sf_dir):
+    rows, wanted, now = _chunks(spark, sf_dir)
+    out = chunk_search.found_chunks(rows, parts_index(spark, sf_dir, True), search.web_query(ASKED), vector(spark, sf_dir), now, 10, 2, wanted)
+    six = [F.round(c, 6).alias(c) for c in ("rank", "vector", "lexical", "recency")]
+    return out.select(F.col("id.id").alias("doc"), F.col("id.part").alias("chunk_index"), *six, "snippet", "degraded")
+
+
+@query(f"""WITH {_SQL_CHUNKS} SELECT doc, part::INTEGER AS chunk_index, left(t, 600) AS snippet FROM lx ORDER BY updated_at DESC, doc, part LIMIT 10 OFFSET 5""")
+def browsed_chunks(spark, sf_dir):
+    rows, wanted, now = _chunks(spark, sf_dir)
+    out = chunk_search.found_chunks(rows, parts_index(spark, sf_dir, True), None, None, now, 10, 5, wanted)
+    return out.select(F.col("id.id").alias("doc"), F.col("id.part").alias("chunk_index"), "snippet")
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_name AS name, ['@' || c_custkey, 'c' || c_nationkey || '7'] AS handles, CASE WHEN c_custkey % 5 = 0 THEN 'met ' || c_mktsegment || ' C117 folk' END AS notes, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 37 % 1000 END AS last_seen FROM customer),
+h AS (SELECT *, CASE WHEN lower(name) = 'c117' THEN 1 WHEN list_contains(list_transform(handles, lambda x: lower(x)), 'c117') THEN 2 WHEN contains(lower(name), 'c117') THEN 3 WHEN contains(lower(coalesce(notes, '')), 'c117') THEN 4 END AS how FROM c)
+SELECT id, name, ['name', 'handle', 'part', 'notes'][how] AS how FROM h WHERE how IS NOT NULL ORDER BY h.how, last_seen DESC NULLS LAST, id LIMIT 100 OFFSET 3""")
+def contact_search(spark, sf_dir):
+    i = F.col("c_custkey")
+    handles = F.array(F.concat(F.lit("@"), i.cast("string")), F.concat(F.lit("c"), F.col("c_nationkey").cast("string"), F.lit("7")))
+    notes = F.when(i % 5 == 0, F.concat(F.lit("met "), "c_mktsegment", F.lit(" C117 folk")))
+    contacts = table(spark, sf_dir, "customer").select(i.alias("id"), F.col("c_name").alias("name"), handles.alias("handles"), notes.alias("notes"), F.when(i % 3 > 0, i * 37 % 1000).alias("last_seen"))
+    return chunk_search.found_people(contacts, " C117 ", 100, 3)
+
+
+@query(f"""WITH src AS (SELECT doc_id AS id, text AS t FROM documents), {_SQL_FOUND}, r AS (SELECT id, sum(0.1 / (1 + noise)) AS r FROM c GROUP BY id)
+SELECT id, round(r / (r + 1), 6) AS score FROM r JOIN documents d ON d.doc_id = r.id WHERE source IN ('src0', 'src1', 'src2') AND doc_id % 60 >= 10 ORDER BY round(r / (r + 1), 9) DESC, doc_id % 60 DESC, id LIMIT 15""")
+def journal_search(spark, sf_dir):
+    i = F.col("doc_id")
+    journal = table(spark, sf_dir, "documents").select(i.alias("id"), "text", F.col("source").alias("kind"), (i % 60).alias("at"))
+    out = chunk_search.found_entries(journal, documents_index(spark, sf_dir, True), search.web_query(ASKED), 15, ["src0", "src1", "src2"], F.lit(10))
+    return out.select("id", F.round("score", 6).alias("score"))
