@@ -13,13 +13,15 @@ ROWS = [
     (4, 3, 0, "nothing of it", None, "active", "/B/z", "email", "sheet", "S2", 7, 9, 9, 30, 1.0, False, None),
     (5, 4, 0, "alpha beta", [1.0, 0.0], "archived", "/A/w", "file", "page", None, 1, 1, 1, 40, 1.0, True, None),
 ]
-NOW = F.timestamp_seconds(F.lit(86_400 * 50))
+
+
+def day(n):
+    return F.timestamp_seconds(F.lit(86_400 * n))
 
 
 def frame(spark):
     df = spark.createDataFrame(ROWS, "id long, doc long, chunk_index int, text string, embedding array<double>, status string, path string, source_type string, locator_kind string, sheet string, first_page int, last_page int, c int, u int, trust double, desk boolean, sensitivity string")
-    day = lambda c: F.timestamp_seconds(F.col(c) * 86_400)
-    return df.withColumns({"created_at": day("c"), "updated_at": day("u")})
+    return df.withColumns({"created_at": F.timestamp_seconds(F.col("c") * 86_400), "updated_at": F.timestamp_seconds(F.col("u") * 86_400)})
 
 
 def ids(df):
@@ -33,28 +35,29 @@ def index(spark):
 
 @pytest.mark.parametrize(("wanted", "want"), [
     ({}, {1, 2, 3, 4}), ({"show_private": False}, {1, 2, 4}), ({"path": "a/X"}, {1, 2}), ({"source_type": "email"}, {3, 4}), ({"locator_kind": "sheet", "sheet": "S1"}, {3}), ({"sheet": "  "}, {1, 2, 3, 4}),
-    ({"first_page": 2}, {1, 2, 4}), ({"first_page": 2, "last_page": 3}, {1, 2}), ({"after": F.timestamp_seconds(F.lit(5 * 86_400))}, {3, 4}), ({"before": F.timestamp_seconds(F.lit(5 * 86_400))}, {1, 2}),
+    ({"first_page": 2}, {1, 2, 4}), ({"first_page": 2, "last_page": 3}, {1, 2}), ({"after": 5}, {3, 4}), ({"before": 5}, {1, 2}),
 ])
 def test_filters(spark, wanted, want):
+    wanted = {k: day(v) if k in ("after", "before") else v for k, v in wanted.items()}
     assert set(ids(chunk_search.Wanted(**wanted).of(frame(spark)))) == want
 
 
 def test_browse_mode(spark, index):
-    got = chunk_search.found_chunks(frame(spark), index, None, None, NOW, 2, 1).collect()
+    got = chunk_search.found_chunks(frame(spark), index, None, None, day(50), 2, 1).collect()
     assert sorted(r["id"] for r in got) == [1, 3] and all(r["rank"] == 0 and not r["degraded"] for r in got)
-    assert len(chunk_search.found_chunks(frame(spark), index, search.web_query("the of"), None, NOW, 9).collect()) == 4  # no words are no query
+    assert len(chunk_search.found_chunks(frame(spark), index, search.web_query("the of"), None, day(50), 9).collect()) == 4  # no words are no query
 
 
 def test_words_alone_and_both(spark, index):
     query = search.web_query("alphas beta")
-    words = {r["id"]: r for r in chunk_search.found_chunks(frame(spark), index, query, None, NOW).collect()}
+    words = {r["id"]: r for r in chunk_search.found_chunks(frame(spark), index, query, None, day(50)).collect()}
     assert set(words) == {1, 3} and all(r["degraded"] and r["vector"] is None for r in words.values()) and max(r["lexical"] for r in words.values()) == 1.0
-    both = {r["id"]: r for r in chunk_search.found_chunks(frame(spark), index, query, [1.0, 0.0], NOW).collect()}
+    both = {r["id"]: r for r in chunk_search.found_chunks(frame(spark), index, query, [1.0, 0.0], day(50)).collect()}
     assert set(both) == {1, 2, 3} and both[2]["lexical"] is None and both[1]["vector"] == pytest.approx(1.0) and not both[1]["degraded"]
     recency = 2 ** (-40 / 30)
     assert both[1]["rank"] == pytest.approx(0.6 + 0.4 * both[1]["lexical"] + 0.1 * recency + 0.05)
     assert both[1]["snippet"] == "alpha beta gamma" and both[2]["snippet"] == "alpha alone here"
-    near = chunk_search.found_chunks(frame(spark), index, None, [0.0, 1.0], NOW, 1).collect()
+    near = chunk_search.found_chunks(frame(spark), index, None, [0.0, 1.0], day(50), 1).collect()
     assert [r["id"] for r in near] == [2]
 
 
