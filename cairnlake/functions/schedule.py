@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,3 +109,56 @@ def next_cron(cron: str, after: Column) -> Column:
     later = F.filter(F.sequence(F.date_add(today, 1), F.date_add(today, CRON_DAYS)), fits)
     first_later = at(F.get(later, F.lit(0)), F.get(times, F.lit(0)))
     return F.coalesce(F.when(fits(today), F.get(left_today, F.lit(0))), first_later)
+
+
+def known_zone(zone: Column) -> Column:
+    """The name of a time zone without blanks around it; UTC for none, null for a name
+    that no zone has."""
+    bare = F.nullif(F.btrim(zone), F.lit(""))
+    return F.when(bare.isNull(), "UTC").when(bare.isin(*sorted(available_timezones())), bare)
+
+
+def time_of_day(text: Column) -> Column:
+    """Seconds from midnight of ``HH:MM`` or ``HH:MM:SS``; null for anything else."""
+    bare = F.btrim(text)
+    part = lambda n: F.coalesce(F.try_element_at(F.split(bare, ":"), F.lit(n)).cast("int"), F.lit(0))
+    fits = bare.rlike(r"^([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?$")
+    return F.when(fits, part(1) * 3600 + part(2) * 60 + part(3))
+
+
+#: Names and numbers of the days of the week, Monday first (fixed values).
+DAY_NAMES = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
+
+def day_of_week(text: Column) -> Column:
+    """1 (Monday) to 7 of a name, its first three letters, or a number (0 is Sunday too)."""
+    low = F.lower(F.btrim(text))
+    named = F.coalesce(*[F.when(low.isin(name, name[:3], str(n)), F.lit(n)) for n, name in enumerate(DAY_NAMES, 1)])
+    return F.when(low == "0", 7).otherwise(named)
+
+
+def next_run(kind: Column, schedule: Column, zone: Column, after: Column, crons: tuple[str, ...] = ()) -> Column:
+    """When a task runs next after ``after``; null if never, or if what it needs is missing.
+
+    ``kind`` is once, interval, daily, weekly or cron; ``schedule`` is JSON: run_at; one of
+    every_seconds, every_minutes and every_hours, with anchor_at; time; time and weekday;
+    or cron, one of the expressions ``crons`` that a plan may have. Times of day and cron
+    are those of the zone. The session's own zone must be UTC.
+    """
+    kind, zone = F.lower(F.btrim(kind)), known_zone(zone)
+    field = lambda name: F.nullif(F.get_json_object(schedule, f"$.{name}"), F.lit(""))
+    local = F.from_utc_timestamp(after, zone)
+    back = lambda t: F.to_utc_timestamp(t, zone)
+    once = F.try_to_timestamp(field("run_at"))
+    number = lambda name, by: F.coalesce(field(name).try_cast("long"), F.lit(0)) * by
+    every = F.coalesce(*[F.when(number(name, by) > 0, number(name, by)) for name, by in (("every_seconds", 1), ("every_minutes", 60), ("every_hours", 3600))])
+    anchor = F.coalesce(F.try_to_timestamp(field("anchor_at")), after)
+    at = time_of_day(field("time"))
+    today = F.timestamp_seconds(F.unix_seconds(F.date_trunc("day", local)) + at)
+    daily = F.when(back(today) > after, back(today)).otherwise(back(today + F.expr("interval 1 day")))
+    weekly = back(next_weekly(day_of_week(field("weekday")), at, local))
+    named = [F.when(F.btrim(field("cron")) == cron, back(next_cron(cron, local))) for cron in crons]
+    return (
+        F.when(kind == "once", F.when(once > after, once)).when(kind == "interval", F.when(every > 0, next_on_grid(anchor, every, after)))
+        .when(kind == "daily", daily).when(kind == "weekly", weekly).when(kind == "cron", F.coalesce(*named) if named else F.lit(None).cast("timestamp"))
+    )

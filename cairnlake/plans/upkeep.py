@@ -342,13 +342,44 @@ def addresses(spark, sf_dir):
 _CRONS = ("*/15 8-18 * * MON-FRI", "5 0 1,15 * *", "30 6 13 * 5", "0 12 29 2 *", "10/20 23 * JAN,DEC 0,7", "0 0 5 * * 30")
 
 
-@query(f"""WITH c AS (SELECT event_id, ts, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END AS kind FROM events WHERE event_id % 40 < 5),
-d AS (SELECT event_id, kind, ts, unnest(range(date_trunc('day', ts), date_trunc('day', ts) + INTERVAL 1500 DAY, INTERVAL 1 DAY)) AS day FROM c),
+_SQL_CRON = """d AS (SELECT event_id, kind, ts, unnest(range(date_trunc('day', ts), date_trunc('day', ts) + INTERVAL 1 DAY * CASE kind WHEN 3 THEN 1500 WHEN 0 THEN 5 WHEN 4 THEN 360 ELSE 70 END, INTERVAL 1 DAY)) AS day FROM c),
 e AS (SELECT *, isodow(day) % 7 AS w, day(day) AS dom, month(day) AS mon FROM d),
-ok AS (SELECT * FROM e WHERE CASE kind WHEN 0 THEN w BETWEEN 1 AND 5 WHEN 1 THEN dom IN (1, 15) WHEN 2 THEN dom = 13 OR w = 5 WHEN 3 THEN dom = 29 AND mon = 2 ELSE mon IN (1, 12) AND w = 0 END),
-f AS (SELECT event_id, ts, day, unnest(CASE kind WHEN 0 THEN range(480, 1140, 15) WHEN 1 THEN [5] WHEN 2 THEN [390] WHEN 3 THEN [720] ELSE [1390, 1410, 1430] END) AS m FROM ok)
+ok AS (SELECT * FROM e WHERE CASE kind WHEN 0 THEN w BETWEEN 1 AND 5 WHEN 1 THEN dom IN (1, 15) WHEN 2 THEN dom = 13 OR w = 5 WHEN 3 THEN dom = 29 AND mon = 2 WHEN 4 THEN mon IN (1, 12) AND w = 0 ELSE dom = 5 END),
+f AS (SELECT event_id, ts, day, unnest(CASE kind WHEN 0 THEN range(480, 1140, 15) WHEN 1 THEN [5] WHEN 2 THEN [390] WHEN 3 THEN [720] WHEN 4 THEN [1390, 1410, 1430] ELSE [0] END) AS m FROM ok)"""
+
+
+@query(f"""WITH c AS (SELECT event_id, ts, (event_id % 6)::INTEGER AS kind FROM events), {_SQL_CRON}
 SELECT event_id, min(day + to_minutes(m)) AS next_at FROM f WHERE day + to_minutes(m) > ts GROUP BY 1""")
 def cron_times(spark, sf_dir):
-    rows = events(spark, sf_dir).filter("event_id % 40 < 5")
-    found = [F.when(F.col("event_id") % 5 == k, schedule.next_cron(cron, F.col("ts"))) for k, cron in enumerate(_CRONS[:5])]
+    rows = events(spark, sf_dir)
+    found = [F.when(F.col("event_id") % 6 == k, schedule.next_cron(cron, F.col("ts"))) for k, cron in enumerate(_CRONS)]
     return rows.select("event_id", F.coalesce(*found).alias("next_at"))
+
+
+#: Zones by event: known ones, none, a blank one, and one that there is not.
+_ZONES = ("America/New_York", " Asia/Tokyo ", "Europe/Berlin", "", "Mars/Olympus", "UTC")
+_SQL_ZONE = "CASE event_id % 7 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Asia/Tokyo' WHEN 2 THEN 'Europe/Berlin' WHEN 4 THEN NULL ELSE 'UTC' END"
+
+
+@query(f"""WITH z AS (SELECT event_id, ts AS utc, event_id % 7 = 4 AS unknown, coalesce({_SQL_ZONE}, 'UTC') AS zone, event_id % 5 AS kind FROM events),
+l AS (SELECT *, timezone(zone, utc::TIMESTAMPTZ) AS ts, to_seconds((event_id % 24) * 3600 + 1800) AS tod, event_id % 7 + 1 AS dow FROM z),
+c AS (SELECT event_id, ts, 0 AS kind FROM l WHERE kind = 4), {_SQL_CRON}, cr AS (SELECT event_id, min(day + to_minutes(m)) AS nxt FROM f WHERE day + to_minutes(m) > ts GROUP BY 1),
+r AS (SELECT l.event_id, unknown, CASE l.kind WHEN 0 THEN CASE WHEN TIMESTAMP '2024-01-20 05:00:00' > utc THEN TIMESTAMP '2024-01-20 05:00:00' END
+  WHEN 1 THEN CASE WHEN l.event_id % 3 = 0 THEN NULL WHEN utc < TIMESTAMP '2024-01-10' THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2024-01-10' + to_seconds((floor((epoch_us(utc) - epoch_us(TIMESTAMP '2024-01-10')) / 5400000000.0) + 1) * 5400) END
+  WHEN 2 THEN timezone(zone, CASE WHEN date_trunc('day', l.ts) + tod > l.ts THEN date_trunc('day', l.ts) + tod ELSE date_trunc('day', l.ts) + tod + INTERVAL 1 DAY END)::TIMESTAMP
+  WHEN 3 THEN timezone(zone, CASE WHEN date_trunc('day', l.ts) + to_days(((dow - isodow(l.ts) + 7) % 7)::INTEGER) + tod > l.ts THEN date_trunc('day', l.ts) + to_days(((dow - isodow(l.ts) + 7) % 7)::INTEGER) + tod
+    ELSE date_trunc('day', l.ts) + to_days(((dow - isodow(l.ts) + 7) % 7 + 7)::INTEGER) + tod END)::TIMESTAMP
+  ELSE timezone(zone, cr.nxt)::TIMESTAMP END AS nxt, l.kind FROM l LEFT JOIN cr USING (event_id))
+SELECT event_id, CASE WHEN unknown AND kind > 1 THEN NULL ELSE nxt END AS next_at FROM r""")
+def zoned_runs(spark, sf_dir):
+    e, ts = F.col("event_id"), F.col("ts")
+    zone = F.coalesce(*[F.when(e % 7 == k, F.lit(z)) for k, z in ((0, _ZONES[0]), (1, _ZONES[1]), (2, _ZONES[2]), (3, _ZONES[3]), (4, _ZONES[4]), (5, _ZONES[5]))])
+    hour, day = (e % 24).cast("string"), F.element_at(F.array(*[F.lit(x) for x in schedule.DAY_NAMES]), (e % 7 + 1).cast("int"))
+    interval = F.when(e % 3 == 0, '{"every_minutes":0}').when(e % 3 == 1, '{"every_minutes":90,"anchor_at":"2024-01-10 00:00:00"}').otherwise('{"every_seconds":5400,"anchor_at":"2024-01-10T00:00:00Z"}')
+    plan = (
+        F.when(e % 5 == 0, '{"run_at":"2024-01-20 05:00:00"}').when(e % 5 == 1, interval).when(e % 5 == 2, F.concat(F.lit('{"time":"'), hour, F.lit(':30"}')))
+        .when(e % 5 == 3, F.concat(F.lit('{"time":"'), hour, F.lit(':30:00","weekday":" '), F.initcap(day), F.lit('"}'))).otherwise('{"cron":"' + _CRONS[0] + '"}')
+    )
+    kind = F.element_at(F.array(*map(F.lit, ("Once", "interval", " daily", "weekly", "cron"))), (e % 5 + 1).cast("int"))
+    found = schedule.next_run(kind, plan, zone, ts, _CRONS[:1])
+    return events(spark, sf_dir).select("event_id", found.alias("next_at"))
