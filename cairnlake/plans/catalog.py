@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scoring, text
 from cairnlake.operators import graph, lifecycle, postings, rollups, search, temporal, vectors
-from cairnlake.plans import associative, exchanges, lexical, memory, passes, status, streams, surface, upkeep
+from cairnlake.plans import associative, exchanges, ledger, lexical, memory, passes, status, streams, surface, upkeep
 from cairnlake.plans.base import ORACLES, QUERIES, QUERY_ID, SQL_CANONICAL, SQL_SIM, query
 from cairnlake.plans.base import as_of as _as_of
 from cairnlake.plans.base import events as _events
 from cairnlake.plans.base import table as _t
 from cairnlake.plans.base import vector as _vector
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "associative", "exchanges", "lexical", "memory", "passes", "status", "streams", "surface", "upkeep"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "associative", "exchanges", "ledger", "lexical", "memory", "passes", "status", "streams", "surface", "upkeep"]
 FLAGSHIP = "hybrid_recall"
 
 # Vectors

@@ -45,7 +45,7 @@ TABLES = {
       CASE WHEN event_id % 4 = 2 THEN ts + INTERVAL 100 HOUR END AS last_accessed, CASE WHEN event_id % 31 = 9 THEN ts END AS pinned_at, CAST(event_id % 4 AS INTEGER) AS attempts FROM events""",
     "tasks": """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'failed' WHEN 3 THEN 'completed' ELSE 'dropped' END AS status,
       ts + INTERVAL 30 HOUR AS next_attempt_at, ts AS created_at, CASE WHEN event_id % 5 > 2 THEN ts + INTERVAL 1 HOUR END AS completed_at, ts + INTERVAL 2 HOUR AS updated_at,
-      event_id * 3 % 500 AS trigger_unit_id, event_id * 7 % 500 AS source_unit_id, CAST(event_id % 4 AS INTEGER) AS attempts FROM events WHERE event_id % 3 = 0""",
+      event_id * 3 % 500 AS trigger_unit_id, event_id * 7 % 500 AS source_unit_id, CAST(event_id % 4 AS INTEGER) AS attempts FROM events""",
     "edges": """SELECT l_orderkey AS src, CASE WHEN l_linenumber % 4 = 0 THEN l_orderkey ELSE l_partkey END AS dst,
       CASE l_linenumber % 4 WHEN 0 THEN 'RELATED' WHEN 1 THEN 'SUPPORTS' WHEN 2 THEN 'CONTRADICTS' ELSE 'MEMBER_OF' END AS rel,
       CASE WHEN l_linenumber = 5 THEN NULL ELSE l_quantity / 50.0 END AS strength, l_extendedprice AS seq, l_suppkey AS concept FROM lineitem""",
@@ -53,7 +53,7 @@ TABLES = {
       s_suppkey AS drive_id FROM supplier""",
     "states": f"""SELECT 'heartbeat_state' AS key, '{{"current_energy":' || CAST(event_id % 20 AS STRING) || ',"heartbeat_count":' || {_ID} || ',"last_heartbeat_at":"' || {_DAY} || '","is_paused":'
       || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || CASE WHEN event_id % 3 = 0 THEN ',"affective_state":{{"valence":0.25,"arousal":0.5,"primary_emotion":"calm","intensity":0.75}}' ELSE '' END || '}}' AS value,
-      ts AS updated_at, event_id AS instance FROM events WHERE event_id % 50 = 0""",
+      ts AS updated_at, event_id AS instance FROM events""",
     "runs": """SELECT event_id AS id, event_type AS tool_name, CASE WHEN event_id % 3 = 0 THEN 'chat' ELSE 'heartbeat' END AS tool_context, event_id % 7 > 0 AS success, value AS energy_spent,
       CASE WHEN event_id % 5 > 0 THEN value / 7 END AS duration_seconds, ts AS created_at, CASE WHEN event_id % 3 = 0 THEN 'running' ELSE 'stopped' END AS status, user_id AS worker,
       ts + INTERVAL 20 HOUR AS last_seen_at FROM events""",
