@@ -100,3 +100,12 @@ def test_streamed_sessions(spark, sf, tmp_path):
     assert got.count() == lifecycle.sessions(events).count() and got.columns == ["user_id", "start", "end", "events"]
     batch = lifecycle.sessions(events)
     assert flows.closed_sessions(events).count() == batch.count()
+
+
+def test_no_oracle_is_empty():
+    """Rows to compare on the tables that results are held against."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    empty = [name for name, sql in catalog.ORACLES.items() if con.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] == 0]
+    assert empty == []
