@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnlake.functions.scoring import noisy_or
@@ -38,15 +39,34 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int = 2, directed: bool =
     return found.drop("moved")
 
 
-def paths(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
-    """(seed, node, depth, weight, path): simple directed paths from each seed."""
+def _longer(front: DataFrame, step: DataFrame, k: int) -> DataFrame:
+    """The paths of ``k`` edges that go on from those of one fewer."""
+    on = front.join(step, F.col("node") == F.col("_a")).filter(~F.array_contains("path", F.col("_b")))
+    return on.select("seed", F.col("_b").alias("node"), F.lit(k).alias("depth"), (F.col("weight") * F.col("_w")).alias("weight"), F.concat("path", F.array("_b")).alias("path"))
+
+
+def paths(edges: DataFrame, seeds: DataFrame, depth: int = 4, most: int | None = None) -> DataFrame:
+    """(seed, node, depth, weight, path): simple directed paths from each seed.
+
+    With ``most`` only so many of each seed, the shortest first, then the heaviest, then
+    by the path written out. A seed that has as many goes no further, and one that has
+    fewer has all of its paths so far, so no hop starts from more than ``most`` of a
+    seed. Each hop is written to the shared folder once.
+    """
     step = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b"), F.col("weight").alias("_w"))
     front = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("weight"), F.array("node").alias("path"))
     levels = []
     for k in range(1, depth + 1):
-        front = front.join(step, F.col("node") == F.col("_a")).filter(~F.array_contains("path", F.col("_b")))
-        front = front.select("seed", F.col("_b").alias("node"), F.lit(k).alias("depth"), (F.col("weight") * F.col("_w")).alias("weight"), F.concat("path", F.array("_b")).alias("path"))
+        front = _longer(front, step, k)
+        if most is not None:
+            written = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+            best = W.partitionBy("seed").orderBy(F.desc("weight"), written)
+            front = front.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= most).drop("_r")
+        front = saved(front, "paths")
         levels.append(front)
+        if most is not None:
+            found = reduce(DataFrame.unionByName, levels).groupBy("seed").agg(F.count("*").alias("_n"))
+            front = front.join(found.filter(F.col("_n") < most).select("seed"), "seed", "left_semi")
     return reduce(DataFrame.unionByName, levels)
 
 

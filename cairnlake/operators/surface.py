@@ -128,7 +128,7 @@ def lifetime(memories: DataFrame, as_of: Column) -> DataFrame:
 
 def context_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 10) -> DataFrame:
     """Up to ``most`` paths from each seed, the shortest and then the heaviest first."""
-    found = graph.paths(edges, seeds, depth)
+    found = graph.paths(edges, seeds, depth, most)
     steps = F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path")
     w = W.partitionBy("seed").orderBy("depth", F.desc("weight"), "path")
     return found.select("seed", "node", "depth", "weight", steps).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)

@@ -97,3 +97,19 @@ def test_a_dry_run_changes_nothing_and_tells_what_would(spark, sf):
     gists = rested.memories.filter("id < 0").collect()
     merged = rested.memories.filter("status = 'archived' and superseded_by < 0").groupBy("superseded_by").agg(F.count("*").alias("n")).collect()
     assert {r["id"]: r["content"].count("\n\n---\n\n") + 1 for r in gists} == {r["superseded_by"]: r["n"] for r in merged}
+
+
+def test_paths_are_cut_hop_by_hop(spark):
+    rng = random.Random(2)
+    edges = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(30)})
+    weight = {e: rng.choice([0.5, 1.0]) for e in edges}
+    df = spark.createDataFrame([(a, b, weight[a, b]) for a, b in edges], "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(0,), (4,), (77,)], "node long")
+    rows = graph.paths(df, seeds, 4).collect()
+    for most in (1, 5, 20):
+        want = []
+        for seed in (0, 4):
+            mine = sorted((r["depth"], -r["weight"], ">".join(map(str, r["path"]))) for r in rows if r["seed"] == seed)
+            want += [(seed, p) for *_, p in mine[:most]]
+        got = surface.context_paths(df, seeds, 4, most).collect()
+        assert sorted((r["seed"], r["path"]) for r in got) == sorted(want)
