@@ -62,7 +62,8 @@ def with_stems(words: DataFrame, word: str = "word", stem: str = "stem") -> Data
     plain = F.coalesce(F.col(word).rlike("^[a-z]{3,}$"), F.lit(False))
     special = F.coalesce(*[F.when(F.col(word) == a, F.lit(b)) for a, b in EXCEPTIONS.items()])
     # y counts as a consonant, written Y, at the beginning and behind a vowel.
-    out = words.withColumn("_w", F.regexp_replace(F.regexp_replace(F.col(word), "^y", "Y"), "([aeiouy])y", "$1Y"))
+    # Words that are their own stems are null from here on, which costs nothing.
+    out = words.withColumn("_w", F.when(plain, F.regexp_replace(F.regexp_replace(F.col(word), "^y", "Y"), "([aeiouy])y", "$1Y")))
     head = F.length(F.regexp_extract(w, "^(gener|commun|arsen)", 0))
     first = F.greatest(head, F.when(head > 0, F.lit(0)).otherwise(F.length(F.regexp_extract(w, REGION, 0))))
     out = out.withColumn("_r1", F.when(first > 0, first).otherwise(F.length(w)))
