@@ -50,14 +50,14 @@ class Wanted:
 
 
 def found_chunks(
-    chunks: DataFrame, index: postings.Index, query: WebQuery | None, vector: list[float] | None, as_of: Column, k: int = 10, offset: int = 0, wanted: Wanted | None = None,
+    chunks: DataFrame, index: postings.Index | None, query: WebQuery | None, vector: list[float] | None, as_of: Column, k: int = 10, offset: int = 0, wanted: Wanted | None = None,
     half_life: float = 30.0, snippet_chars: int = 600, weights: dict[str, float] | None = None,
 ) -> DataFrame:
     """(id, rank, vector, lexical, recency, snippet, degraded): a page of chunks.
 
     ``chunks`` are (id, doc, chunk_index, text, embedding, status, path, source_type,
     locator_kind, sheet, first_page, last_page, created_at, updated_at, trust, desk,
-    sensitivity), and ``index`` has their words. The 2k nearest and the 2k best by words
+    sensitivity), and ``index`` has their words; browsing needs none. The 2k nearest and the 2k best by words
     are joined; the score by words is divided by the greatest of these. ``degraded`` is
     true where a query has no vector, so that words alone decide. Without query and
     vector, chunks come by the last change of their document.
@@ -125,6 +125,8 @@ def found_entries(journal: DataFrame, index: postings.Index, query: WebQuery, k:
         late = some.orderBy(F.desc_nulls_last("at"), "id").limit(k)
         return late.select("id", F.lit(0.0).alias("score"), F.left("text", F.lit(200)).alias("excerpt"))
     hits = postings.cover_ranks(index, query).select("id", "score")
-    best = saved(some.join(hits, "id").orderBy(F.desc("score"), F.desc_nulls_last("at"), "id").limit(k).select("id", "score", "text"), "journal-hits")
+    # Texts are looked up for the few that are shown.
+    first = some.select("id", "at").join(hits, "id").orderBy(F.desc("score"), F.desc_nulls_last("at"), "id").limit(k).select("id", "score")
+    best = saved(some.select("id", "text").join(F.broadcast(saved(first, "journal-hits")), "id"), "journal-texts")
     shown = postings.fragments(index, query, best.select("id", "text"), 20, 1)
     return best.join(shown, "id", "left").select("id", "score", F.coalesce("headline", F.left("text", F.lit(200))).alias("excerpt"))

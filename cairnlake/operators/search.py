@@ -34,15 +34,16 @@ def fused(by_vector: DataFrame, by_text: DataFrame, vector_weight: float = 0.6,
     return both.select("id", score.alias("score"), source.alias("source"))
 
 
-def chunks(df: DataFrame, size: int = 1800, overlap: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks of ``size`` characters that overlap, with offsets, hash and token estimate."""
+def chunks(df: DataFrame, size: int = 1800, overlap: int = 120, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of ``size`` characters that overlap, with offsets, hash and token estimate,
+    and the columns ``keep`` of their rows."""
     step = max(size - min(overlap, size // 2), 1)
-    some = df.select(id_col, text_col).filter(F.length(text_col) > 0)
+    some = df.select(id_col, text_col, *keep).filter(F.length(text_col) > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.length(text_col) - 1, F.lit(0)), F.lit(step))
-    out = some.select(id_col, text_col, F.posexplode(starts).alias("chunk_index", "char_start"))
+    out = some.select(id_col, text_col, *keep, F.posexplode(starts).alias("chunk_index", "char_start"))
     part = F.substr(F.col(text_col), F.col("char_start") + 1, F.lit(size))
     return out.select(
-        id_col, "chunk_index", "char_start", F.least(F.col("char_start") + size, F.length(text_col)).alias("char_end"),
+        id_col, *keep, "chunk_index", "char_start", F.least(F.col("char_start") + size, F.length(text_col)).alias("char_end"),
         F.sha2(part, 256).alias("content_hash"), F.greatest(F.lit(1), F.expr(f"length(substr({text_col}, char_start + 1, {size})) div 4")).cast("int").alias("token_count"), part.alias("content"),
     )
 

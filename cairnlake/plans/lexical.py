@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions.stems import ENGLISH_STOP, EXCEPTIONS, FOURTH, REGION, SECOND, SETTLED, SHORT, THIRD, with_stems
 from cairnlake.operators import chunk_search, postings, search
 from cairnlake.plans.base import query, table, vector
-from cairnlake.shared import kept
+from cairnlake.shared import kept, saved
 
 
 def documents_index(spark, sf_dir, stemmed: bool = False) -> postings.Index:
@@ -15,9 +15,9 @@ def documents_index(spark, sf_dir, stemmed: bool = False) -> postings.Index:
     return kept(spark, ("documents", sf_dir, str(stemmed)), lambda: postings.build(docs, stemmed))
 
 
-def parts_of(spark, sf_dir):
-    """(id, part, text): documents in chunks."""
-    return search.chunks(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("chunk_index").alias("part"), F.col("content").alias("text"))
+def parts_of(spark, sf_dir, *keep):
+    """(id, part, text) and the columns ``keep``: documents in chunks."""
+    return search.chunks(table(spark, sf_dir, "documents"), keep=keep).select(F.col("doc_id").alias("id"), F.col("chunk_index").alias("part"), F.col("content").alias("text"), *keep)
 
 
 def parts_index(spark, sf_dir, stemmed: bool = False) -> postings.Index:
@@ -100,7 +100,8 @@ SELECT id, string_agg(t, ' ... ' ORDER BY a) AS headline, count(*)::INTEGER AS f
 def headlines(spark, sf_dir):
     index, asked = documents_index(spark, sf_dir, True), search.web_query(ASKED)
     top = postings.cover_ranks(index, asked).withColumn("_s", F.round("score", 9)).orderBy(F.desc("_s"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(top, "id")
+    top = saved(top, "headline-hits")
+    texts = saved(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(top), "id"), "headline-texts")
     return postings.fragments(index, asked, texts).join(top, "id")
 
 
@@ -114,16 +115,17 @@ lx AS (SELECT * FROM cx WHERE status = 'active' AND contains(lower(path), 'src1'
 
 def _chunks(spark, sf_dir):
     now, doc, part = F.lit("2024-01-31").cast("timestamp"), F.col("id"), F.col("part")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     days = lambda n: now - F.make_dt_interval((doc % n).cast("int"))
-    rows = parts_of(spark, sf_dir).join(docs, "id").select(
+    rows = parts_of(spark, sf_dir, "source").select(
         F.struct("id", "part").alias("id"), doc.alias("doc"), part.alias("chunk_index"), "text", F.when(doc % 17 == 3, "archived").otherwise("active").alias("status"),
         F.concat(F.lit("/Home/"), "source", F.lit("/f"), doc.cast("string"), F.lit(".txt")).alias("path"), F.when(doc % 3 == 0, "email").otherwise("file").alias("source_type"),
         F.when(part % 2 == 0, "page").otherwise("sheet").alias("locator_kind"), F.lit(None).cast("string").alias("sheet"), (part + 1).alias("first_page"), (part + 2).alias("last_page"),
         days(100).alias("created_at"), days(45).alias("updated_at"), (doc % 10 / 10.0).alias("trust"), ((doc + part) % 9 == 0).alias("desk"), F.when(doc % 8 == 5, "private").alias("sensitivity"), ((doc * 7 + part) % 500).alias("vec_id"),
     )
     wanted = chunk_search.Wanted(path="SRC1", source_type=" ", first_page=1, last_page=6, after=now - F.make_dt_interval(F.lit(90)), before=now, show_private=False)
-    return rows.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "left").drop("vec_id"), wanted, now
+    # The 500 vectors that chunks refer to.
+    vectors = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").between(0, 499)).select("vec_id", "embedding")
+    return rows.join(F.broadcast(vectors), "vec_id", "left").drop("vec_id"), wanted, now
 
 
 _SQL_RANKED = f"""vh AS (SELECT lx.id, list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS v FROM lx JOIN embeddings e ON e.vec_id = lx.vec ORDER BY v DESC, lx.id LIMIT 20),
@@ -145,7 +147,7 @@ def filtered_chunk_search(spark, sf_dir):
 @query(f"""WITH {_SQL_CHUNKS} SELECT doc, part::INTEGER AS chunk_index, left(t, 600) AS snippet FROM lx ORDER BY updated_at DESC, doc, part LIMIT 10 OFFSET 5""")
 def browsed_chunks(spark, sf_dir):
     rows, wanted, now = _chunks(spark, sf_dir)
-    out = chunk_search.found_chunks(rows, parts_index(spark, sf_dir, True), None, None, now, 10, 5, wanted)
+    out = chunk_search.found_chunks(rows, None, None, None, now, 10, 5, wanted)
     return out.select(F.col("id.id").alias("doc"), F.col("id.part").alias("chunk_index"), "snippet")
 
 
