@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cairnlake.operators.temporal import counted_within
 from cairnlake.shared import saved
 
 
@@ -39,8 +40,7 @@ def lease(tasks: DataFrame, as_of: Column, k: int, timeout_seconds: int = 600) -
 
 def storms(starts: DataFrame, key: str, ts: str = "ts", window_seconds: int = 120, most: int = 5) -> DataFrame:
     """Starts that come as more than ``most`` of a key within the window before them."""
-    w = W.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-window_seconds * 1_000_000, 0)
-    return starts.withColumn("starts", F.count("*").over(w)).filter(F.col("starts") > most)
+    return counted_within(starts, key, ts, window_seconds, "starts").filter(F.col("starts") > most)
 
 
 class _Spaced:

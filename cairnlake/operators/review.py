@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnlake.functions.scoring import clamp
 from cairnlake.functions.text import tokens
+from cairnlake.operators.temporal import counted_within
 
 
 def task_status(runs: DataFrame) -> DataFrame:
@@ -90,5 +90,4 @@ def trust_distribution(rows: DataFrame, kind: str, trust: Column, low: float = 0
 def running_totals(log: DataFrame, key: str, ts: str, window_seconds: int, most: int) -> DataFrame:
     """Adds ``notify``: no more than ``most`` log rows of the key came in the window
     that ends with this one. Rows are never dropped."""
-    w = W.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-window_seconds * 1_000_000, 0)
-    return log.withColumn("notify", F.count("*").over(w) <= most)
+    return counted_within(log, key, ts, window_seconds, "_in_window").withColumn("notify", F.col("_in_window") <= most).drop("_in_window")
