@@ -85,8 +85,9 @@ def next_cron(cron: str, after: Column) -> Column:
 
     Five fields (minute, hour, day, month, day of the week), or six of which the
     last, seconds, is left out. If both day fields are restricted, either will do.
-    The days to come are a sequence per row; of a day only its first time counts,
-    except of the day of ``after``, whose times are compared with it.
+    The days to come are looked at in three steps: the next week, then two months, and
+    then the days of such months as the expression names. Of a day only its first time
+    counts, except of the day of ``after``, whose next time is looked up by the minute.
     """
     fields = cron.split()
     fields = fields[:5] if len(fields) == 6 else fields
@@ -102,13 +103,19 @@ def next_cron(cron: str, after: Column) -> Column:
         right = F.lit(True) if any_day and any_weekday else by_weekday if any_day else by_day if any_weekday else by_day | by_weekday
         return right & F.month(d).isin(months)
 
-    times = F.lit([h * 60 + m for h in hours for m in minutes])
+    times = [h * 60 + m for h in hours for m in minutes]
+    # The first time from each minute of a day on.
+    since = F.lit([next((t for t in times if t >= m), -1) for m in range(1440)])
     at = lambda d, minute: F.timestamp_seconds(F.unix_seconds(d.cast("timestamp")) + minute * 60)
     today = F.to_date(after)
-    left_today = F.filter(F.transform(times, lambda m: at(today, m)), lambda t: t > after)
-    later = F.filter(F.sequence(F.date_add(today, 1), F.date_add(today, CRON_DAYS)), fits)
-    first_later = at(F.get(later, F.lit(0)), F.get(times, F.lit(0)))
-    return F.coalesce(F.when(fits(today), F.get(left_today, F.lit(0))), first_later)
+    gone = F.floor((F.unix_micros(after) - F.unix_micros(today.cast("timestamp"))) / F.lit(60_000_000)).cast("int")
+    left = F.nullif(F.get(since, gone + 1), F.lit(-1))
+    days_from = lambda low, high: F.filter(F.sequence(F.date_add(today, low), F.date_add(today, high)), fits)
+    month_starts = F.sequence(F.trunc(F.date_add(today, 63), "month").cast("date"), F.date_add(today, CRON_DAYS), F.expr("interval 1 month"))
+    in_months = F.flatten(F.transform(F.filter(month_starts, lambda d: F.month(d).isin(months)), lambda d: F.sequence(d, F.last_day(d))))
+    far = F.filter(in_months, lambda d: fits(d) & (d >= F.date_add(today, 63)) & (d <= F.date_add(today, CRON_DAYS)))
+    later = F.coalesce(*[F.get(x, F.lit(0)) for x in (days_from(1, 7), days_from(8, 62), far)])
+    return F.coalesce(F.when(fits(today), at(today, left)), at(later, F.lit(times[0])))
 
 
 def known_zone(zone: Column) -> Column:
