@@ -56,12 +56,25 @@ def not_private(sensitivity: Column, exclude: bool = True) -> Column:
 
 def any_key_join(rows: DataFrame, keys: DataFrame, row_id: str, by: dict[str, str]) -> DataFrame:
     """Pairs (row_id, key_id) where any of the columns named in ``by`` (of ``rows``: of
-    ``keys``) are equal: a union of equi-joins, each pair once."""
-    joins = []
-    for mine, theirs in by.items():
-        some = rows.select(row_id, F.col(mine).cast("string").alias("_k"))
-        joins.append(some.join(keys.select("key_id", F.col(theirs).cast("string").alias("_k")).filter("_k is not null"), "_k").select(row_id, "key_id"))
-    return reduce(DataFrame.unionByName, joins).distinct()
+    ``keys``) are equal: a union of equi-joins, each pair once.
+
+    A join leaves out what an earlier column has joined, so pairs of ids that stand for
+    one set of values each, mostly all, are not compared with each other; only pairs
+    of ids with several sets are.
+    """
+    n = range(len(by))
+    mine = rows.groupBy(row_id).agg(F.collect_set(F.struct(*[F.col(c).cast("string").alias(f"_m{i}") for i, c in enumerate(by)])).alias("_x"))
+    theirs = keys.groupBy("key_id").agg(F.collect_set(F.struct(*[F.col(c).cast("string").alias(f"_t{i}") for i, c in enumerate(by.values())])).alias("_y"))
+    once, often = F.size("_x") == 1, F.size("_y") > 1
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        left, right = left.select(row_id, F.inline("_x")), right.select("key_id", F.inline("_y"))
+        same = [F.col(f"_m{i}") == F.col(f"_t{i}") for i in n]
+        joins = [left.join(right, reduce(and_, [~F.coalesce(x, F.lit(False)) for x in same[:i]], same[i])) for i in n]
+        return reduce(DataFrame.unionByName, [j.select(row_id, "key_id") for j in joins])
+
+    several = met(mine.filter(~once), theirs).unionByName(met(mine.filter(once), theirs.filter(often)))
+    return met(mine.filter(once), theirs.filter(~often)).unionByName(several.distinct())
 
 
 def guarded_cast_join(left: DataFrame, text_key: str, right: DataFrame, key: str) -> DataFrame:
