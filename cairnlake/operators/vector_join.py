@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnlake.operators.vectors import ROWS_AT_ONCE, _first_k, _matrix, _unit
+from cairnlake.operators.vectors import ROWS_AT_ONCE, _matrix, _unit
 
 #: Vectors of a block, on average.
 BLOCK_ROWS = 8192
@@ -77,19 +77,53 @@ def _stacked(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray
 
 
 class _Best:
-    """For each query of a pair of blocks its k best rows of every lot of rows."""
+    """For each query of a pair of blocks its k best rows of the block beside it.
+
+    The best so far are held; of each lot of rows only those are looked at that
+    reach the k-th of them.
+    """
 
     def __init__(self, k: int, least: float) -> None:
         self.k, self.least = k, least
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x, others, y in _pairs(batches):
-            for low in range(0, len(ids), ROWS_AT_ONCE):
-                some = ids[low : low + ROWS_AT_ONCE]
+        ids: np.ndarray | None = None
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for mine, x, others, y in _pairs(batches):
+            if mine is not ids:
+                yield from self._told(ids, best)
+                ids, best = mine, {}
+            for low in range(0, len(mine), ROWS_AT_ONCE):
+                some = mine[low : low + ROWS_AT_ONCE]
                 similarity = x[low : low + ROWS_AT_ONCE] @ y.T
                 similarity[some[:, None] == others[None]] = -2
-                q, r = _first_k(similarity, others, self.k, self.least)
-                yield pa.RecordBatch.from_arrays([pa.array(some[q]), pa.array(others[r]), pa.array(similarity[q, r])], ["query_id", "id", "similarity"])
+                best[low] = self._best(similarity, others, best.get(low))
+        yield from self._told(ids, best)
+
+    def _best(self, similarity: np.ndarray, others: np.ndarray, held: tuple[np.ndarray, ...] | None) -> tuple[np.ndarray, ...]:
+        """(place of the query, id, similarity) of the k best of each, in order."""
+        n = len(similarity)
+        floor = np.full(n, -np.inf)
+        if held is None:
+            if len(others) > self.k:
+                floor = -np.partition(-similarity, self.k - 1, axis=1)[:, self.k - 1]
+                floor = np.where(np.isnan(floor), -np.inf, floor)
+        else:
+            last = np.flatnonzero(np.bincount(held[0], minlength=n) == self.k)
+            floor[last] = held[2][np.searchsorted(held[0], last, "right") - 1]
+        q, r = np.nonzero(similarity >= np.maximum(floor, self.least)[:, None])
+        found = q, others[r], similarity[q, r]
+        if held is not None:
+            found = tuple(np.concatenate(pair) for pair in zip(held, found, strict=True))
+        order = np.lexsort((found[1], -found[2], found[0]))
+        q, r, s = (v[order] for v in found)
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        return q[kept], r[kept], s[kept]
+
+    @staticmethod
+    def _told(ids: np.ndarray | None, best: dict[int, tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        for low, (q, r, s) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low + q]), pa.array(r), pa.array(s)], ["query_id", "id", "similarity"])
 
 
 class _Counts:

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cairnlake.functions import schedule
-from cairnlake.operators import chunk_search, filters, lifecycle, postings, review, search, temporal
+from cairnlake.operators import chunk_search, filters, lifecycle, postings, review, search, temporal, vector_join
 from cairnlake.plans import lexical
 
 
@@ -87,3 +89,18 @@ def test_texts_are_looked_up_for_shown_rows(spark, sf, monkeypatch):
     assert "text" not in seen["journal-hits"]
     rows, _, _ = lexical._chunks(spark, sf)
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_a_pair_of_blocks_gives_k_rows_a_query(spark, monkeypatch):
+    """However many lots of rows a block has; ties go to the lesser id."""
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-1, 2, (90, 3)).astype(float)
+    rows = [(0, 0, side, n, vectors[n].tolist()) for side in (0, 1) for n in range(90)]
+    monkeypatch.setattr(vector_join, "ROWS_AT_ONCE", 7)
+    batch = pa.RecordBatch.from_pylist([dict(zip(("i", "j", "side", "id", "vector"), r, strict=True)) for r in rows])
+    got = sorted((r["query_id"], r["id"]) for b in vector_join._Best(4, 0.3)(iter([batch])) for r in b.to_pylist())
+    unit = vectors / np.where(np.linalg.norm(vectors, axis=1) > 0, np.linalg.norm(vectors, axis=1), 1)[:, None]
+    each = unit @ unit.T
+    want = [(q, r) for q in range(90) for _, r in sorted((-round(each[q, r], 9), r) for r in range(90) if r != q and each[q, r] >= 0.3)[:4]]
+    rounded = lambda pairs: sorted((q, round(each[q, r], 9)) for q, r in pairs)
+    assert rounded(got) == rounded(want) and len(got) == len(set(got))
