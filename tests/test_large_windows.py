@@ -43,6 +43,37 @@ def test_pairs_by_any_key_without_a_shuffle_of_pairs(spark):
     assert out._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
 
 
+def test_pairs_of_one_value_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(filters, "BLOCK", 32, raising=False)
+    monkeypatch.setattr(filters, "TASK_PAIRS", 4096, raising=False)
+    # As with tables that are too large to be sent to each task.
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    left, right = spark.range(500).selectExpr("id", "id AS a", "7 AS b"), spark.range(300).selectExpr("id AS key_id", "id AS x", "7 AS y")
+    out = filters.any_key_join(left, right, "id", {"a": "x", "b": "y"})
+    try:
+        assert out.distinct().count() == out.count() == 500 * 300
+        most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert most < 500 * 300 / 8
+
+
+def test_pairs_by_blocks_of_any_size(spark, monkeypatch):
+    """Null and repeated ids on both sides, and pairs that several columns and values give."""
+    monkeypatch.setattr(filters, "BLOCK", 2, raising=False)
+    monkeypatch.setattr(filters, "TASK_PAIRS", 40, raising=False)
+    rng = random.Random(8)
+    some = lambda m: rng.choice([None, *range(m)])
+    rows = [(None if n % 30 == 7 else rng.randrange(60), some(90), some(5), some(4)) for n in range(90)]
+    keys = [(None if n % 30 == 7 else rng.randrange(30), some(90), some(5), some(4)) for n in range(50)]
+    left, right = spark.createDataFrame(rows, "id long, a long, b long, c long"), spark.createDataFrame(keys, "key_id long, x long, y long, z long")
+    out = filters.any_key_join(left, right, "id", {"a": "x", "b": "y", "c": "z"}).collect()
+    want = {(r[0], k[0]) for r in rows for k in keys if any(p is not None and p == q for p, q in zip(r[1:], k[1:], strict=True))}
+    assert {(i, None) for i, k in want if k is None} and {(None, k) for i, k in want if i is None}
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
 def test_cron_by_brute_force(spark):
     rng = random.Random(7)
     times = [datetime(2023, 12, 1) + timedelta(seconds=rng.randrange(150_000_000)) for _ in range(40)] + [datetime(2024, 2, 29, 12), datetime(2024, 2, 29, 11, 59), datetime(2024, 1, 5, 18, 45), datetime(2024, 12, 31, 23, 59, 59)]
